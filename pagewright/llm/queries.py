@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import digest, find_contamination
 from .sharding import shard
 
 
@@ -16,8 +17,15 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(find_contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op3_feistel_shards": op3_feistel_shards,
+    "op7_winnowing": op7_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
