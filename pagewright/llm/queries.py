@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import digest, find_contamination
+from .minhash import near_duplicates
+from .oracles import ORACLE_SQL
 from .sharding import shard
 
 
@@ -17,6 +19,11 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingle sets have a Jaccard similarity of 0.8 and more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,7 +32,8 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_feistel_shards": op3_feistel_shards,
+    "op5_circulant_minhash": op5_circulant_minhash,
     "op7_winnowing": op7_winnowing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
