@@ -9,6 +9,7 @@ from .common import table
 from .decontamination import digest, find_contamination
 from .minhash import near_duplicates
 from .oracles import ORACLE_SQL
+from .packing import pack, pieces
 from .sharding import shard
 
 
@@ -30,10 +31,25 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def word_bpe_path() -> str:
+    """The public tokenizer file that op9 and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens."""
+    cut = pieces(table(spark, sf_dir, "documents"), word_bpe_path())
+    slim = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pack(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op3_feistel_shards": op3_feistel_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op7_winnowing": op7_winnowing,
+    "op9_nnls_packing": op9_nnls_packing,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

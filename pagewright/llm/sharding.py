@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,27 +88,26 @@ def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     partitions are kept on shared storage in between, as the bounds of a range partitioning are drawn anew each time.
     """
 
-    def count(frames):
+    def count(batches):
         n = 0
-        for f in frames:
-            f["local_number"] = np.arange(n, n + len(f))
-            n += len(f)
-            yield f
+        for b in batches:
+            yield b.append_column("_local_number", pa.array(np.arange(n, n + b.num_rows)))
+            n += b.num_rows
 
-    schema = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("local_number", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local_number", T.LongType())])
     parts = durable(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).mapInPandas(count, schema), "numbered"
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).mapInArrow(count, schema), "numbered"
     )
-    counts = sorted((r["part"], r["count"]) for r in parts.groupBy("part").count().collect())
+    counts = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())
     n, starts = 0, {}
     for part, c in counts:
         starts[part] = n
         n += c
     if not n:
-        return parts.select(*df.columns, F.col("local_number").alias("row_number")), 0
+        return parts.select(*df.columns, F.col("_local_number").alias("row_number")), 0
     spark = df.sparkSession
-    start = spark.createDataFrame(list(starts.items()), "part int, start long")  # one row a partition
-    return parts.join(F.broadcast(start), "part").select(*df.columns, (F.col("start") + F.col("local_number")).alias("row_number")), n
+    start = spark.createDataFrame(list(starts.items()), "_part int, _part_start long")  # one row a partition
+    return parts.join(F.broadcast(start), "_part").select(*df.columns, (F.col("_part_start") + F.col("_local_number")).alias("row_number")), n
 
 
 def shard(docs: DataFrame, shards: int = 40, key: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
