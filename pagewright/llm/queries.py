@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import digest, find_contamination
+from .language_id import identify
 from .minhash import near_duplicates
 from .oracles import ORACLE_SQL
 from .packing import pack, pieces
@@ -25,6 +26,12 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op6_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a third of them is never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +55,7 @@ def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_feistel_shards": op3_feistel_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
+    "op6_naive_bayes_language": op6_naive_bayes_language,
     "op7_winnowing": op7_winnowing,
     "op9_nnls_packing": op9_nnls_packing,
 }

@@ -64,7 +64,7 @@ class Feistel:
         return x
 
     def _walk(self, x, step) -> np.ndarray:
-        x = step(np.array(x, dtype=M))
+        x = step(np.array(x, dtype=M, ndmin=1))
         while (out := x >= M(self.n)).any():
             x[out] = step(x[out])
         return x.astype(np.int64)
