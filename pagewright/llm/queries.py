@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fingerprints
 from .common import table
 from .decontamination import digest, find_contamination
 from .language_id import identify
@@ -14,6 +15,11 @@ from .packing import pack, pieces
 from .sharding import shard
 
 
+def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards, law `rows`."""
     return shard(table(spark, sf_dir, "documents"), shards=40).select(
@@ -53,6 +59,7 @@ def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bottom_k_fingerprints": op2_bottom_k_fingerprints,
     "op3_feistel_shards": op3_feistel_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_naive_bayes_language": op6_naive_bayes_language,
