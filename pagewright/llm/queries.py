@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .oracles import ORACLE_SQL
 from .packing import pack, pieces
 from .sharding import shard
+from .url_filter import judge
 
 
 def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,14 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the URL of every page."""
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
     cut = pieces(table(spark, sf_dir, "documents"), word_bpe_path())
@@ -64,6 +73,7 @@ QUERIES = {
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_naive_bayes_language": op6_naive_bayes_language,
     "op7_winnowing": op7_winnowing,
+    "op8_url_language_models": op8_url_language_models,
     "op9_nnls_packing": op9_nnls_packing,
 }
 
