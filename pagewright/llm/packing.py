@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .common import durable
 from .sharding import numbered
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
 CACHED = 500_000
+BLOCK = 256
 
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
@@ -50,43 +52,73 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_str(spec)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.marks = {m: self._encode([m])[0] for m in (b".", b",")}
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def ids(self, text: str) -> bytes:
-        raw = text.encode("utf-8", "replace")
-        # up to U+02FF nothing composes anew in lower case; "<|" may begin a special token
-        if not raw.translate(None, _PLAIN) and b"<|" not in raw:
-            raw = raw.lower()
-        chunks = raw.split()
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """All in one text: a word of letters alone ends with the first id that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self._encode(words)
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        split = []
+        for text in texts:
+            raw = text.encode("utf-8", "replace")
+            # up to U+02FF nothing composes anew in lower case; "<|" may begin a special token
+            if not raw.translate(None, _PLAIN) and b"<|" not in raw:
+                raw = raw.lower()
+            split.append(raw.split())
         known = self.known
-        if new := {c for c in chunks if c not in known}:
+        found = [[*map(known.get, chunks)] for chunks in split]
+        new: set[bytes] = set()
+        for ids, chunks in zip(found, split, strict=True):
+            if None in ids:
+                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
+        if new:
             if len(known) + len(new) > CACHED:
                 self.older = known
                 known = self.known = {}
-                new = {*chunks}
+                new = {c for chunks in split for c in chunks}
             self._learn(new)
-        return b"".join(map(known.__getitem__, chunks))
+            for at, chunks in enumerate(split):
+                if None in found[at]:
+                    found[at] = [known[c] if i is None else i for c, i in zip(chunks, found[at], strict=True)]
+        return [b"".join(ids) for ids in found]
 
     def _learn(self, new: set[bytes]) -> None:
         known, older = self.known, self.older
-        missing, marked = [], []
-        for c in new:
+        words, others, marked = [], [], []
+
+        def sort(c: bytes) -> None:
             if (ids := older.get(c)) is not None:
                 known[c] = ids
-            elif c[-1:] in self.marks and c[-2:-1].isalpha():
+            elif not c.translate(None, _PLAIN) and c.decode().isalpha():
+                words.append(c)
+            else:
+                others.append(c)
+
+        for c in new:
+            if c[-1:] in self.marks and c[-2:-1].isalpha() and c not in older:
                 marked.append(c)
                 if (stem := c[:-1]) not in known and stem not in new:
-                    if (ids := older.get(stem)) is not None:
-                        known[stem] = ids
-                    else:
-                        missing.append(stem)
+                    sort(stem)
             else:
-                missing.append(c)
-        known.update(zip(missing, self._encode(missing), strict=True))
+                sort(c)
+        words = [*dict.fromkeys(words)]
+        if words:
+            known.update(zip(words, self._encode_words(words), strict=True))
+        if others:
+            known.update(zip(others, self._encode(others), strict=True))
         for c in marked:
             known[c] = known[c[:-1]] + self.marks[c[-1:]]
 
@@ -110,10 +142,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = _loaded.get(hash(spec.value)) or _loaded.setdefault(hash(spec.value), ChunkTokenizer(spec.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, BLOCK):
                 rows, starts, lengths, totals, parts = [], [], [], [], []
-                for i in range(at, min(at + 256, batch.num_rows)):
-                    raw = tokenizer.ids(batch.column(1)[i].as_py() or "") + last
+                texts = batch.column(1).slice(at, BLOCK).fill_null("").to_pylist()
+                for i, raw in enumerate(tokenizer.ids(texts), at):
+                    raw += last
                     n = len(raw) // 4
                     for s in range(0, n, window):
                         rows.append(i)
@@ -241,6 +274,7 @@ def pack(cut: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = DE
     """`cut` (doc_id, start, length and what else the caller wants to carry) with sequence_id and offset."""
     bins = -(-window // step)
     order = ("bin", "doc_id", "start")
+    cut = durable(cut, "pieces")  # else the range partitioning, which draws a sample first, would tokenize twice
     rows, n = numbered(cut.withColumn("bin", F.ceil(F.col("length") / step).cast("int")), *order)
     kept = [c for c in rows.columns if c not in ("bin", "row_number")]
     counts = {r["bin"]: r["count"] for r in rows.groupBy("bin").count().collect()}  # at most `bins` rows

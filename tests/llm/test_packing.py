@@ -25,8 +25,9 @@ ODD = [
 def test_chunks_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
     monkeypatch.setattr("pagewright.llm.packing.CACHED", 8)
     own = ChunkTokenizer(open(word_bpe_path(), encoding="utf-8").read())
-    for text in ODD * 2:
-        assert np.frombuffer(own.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    for texts in (ODD, ODD[::-1], *([t] for t in ODD)):
+        for text, ids in zip(texts, own.ids(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 def verify(rows, docs, tokenizer):
