@@ -28,103 +28,149 @@ from pyspark.sql import functions as F
 
 from .common import durable
 from .sharding import numbered
+from .wordhash import LOWER, SPACED, Words, chunks
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
-CACHED = 500_000
-BLOCK = 256
+M = np.uint64
 
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
 
-class ChunkTokenizer:
-    """Ids of texts as little-endian 32-bit bytes, through a cache by white-space-separated chunk.
+class WordTokenizer:
+    """Ids of whole texts, through a cache by white-space-separated word.
 
-    For tokenizers that compose, lower-case and cut texts into words and runs of punctuation, so that a text's ids are its
-    chunks' ids in a row, and a word's are the same with and without a mark after it. Texts of plain letters are
-    lower-cased first, to need fewer chunks. Two generations of up to `CACHED` chunks are kept: what was used since the
-    last change of generations survives the next.
+    For tokenizers with word ends that compose, lower-case and cut texts into words and runs of punctuation: there a text's ids
+    are its words' ids in a row, and a word's are the same with and without a mark after it. Words are looked up by
+    their 64-bit hashes in a table of numpy arrays, a batch at a time; it points into one array of ids. Only words not seen yet
+    come to the tokenizer itself, many in one text. Words past U+02FF, and any with "<|", which may begin a special token,
+    are kept by their exact bytes instead. Table and ids are emptied when full.
     """
 
+    BITS, PROBES, MOST_IDS = 21, 8, 12_000_000
+
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: self._encode([m])[0] for m in (b".", b",")}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """All in one text: a word of letters alone ends with the first id that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(ends) != len(words):
+        self._clear()
+
+    def _clear(self) -> None:
+        n = (1 << self.BITS) + self.PROBES
+        self.keys, self.start, self.size = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.exact: dict[bytes, tuple[int, int]] = {}
+        self.pool, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Put the ids of some words into the pool; where each word's begin."""
+        end = self.used + len(ids)
+        while end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : end] = ids
+        start, self.used = self.used + np.cumsum(sizes) - sizes, end
+        return start
+
+    # encoding: (ids of all words, number of each one's)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False) if words else []
+        ids = [e.ids for e in found]
+        return np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64)
+
+    def _encode_letters(self, words: list[bytes], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All in one text; ends says how many ids of a word end something: one for its letters, one for a mark after them."""
+        if not words:
             return self._encode(words)
-        return [raw[i:j] for i, j in zip([0, *ends], ends)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = []
-        for text in texts:
-            raw = text.encode("utf-8", "replace")
-            # up to U+02FF nothing composes anew in lower case; "<|" may begin a special token
-            if not raw.translate(None, _PLAIN) and b"<|" not in raw:
-                raw = raw.lower()
-            split.append(raw.split())
-        known = self.known
-        found = [[*map(known.get, chunks)] for chunks in split]
-        new: set[bytes] = set()
-        for ids, chunks in zip(found, split, strict=True):
-            if None in ids:
-                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
-        if new:
-            if len(known) + len(new) > CACHED:
-                self.older = known
-                known = self.known = {}
-                new = {c for chunks in split for c in chunks}
-            self._learn(new)
-            for at, chunks in enumerate(split):
-                if None in found[at]:
-                    found[at] = [known[c] if i is None else i for c, i in zip(chunks, found[at], strict=True)]
-        return [b"".join(ids) for ids in found]
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, older = self.known, self.older
-        words, others, marked = [], [], []
-
-        def sort(c: bytes) -> None:
-            if (ids := older.get(c)) is not None:
-                known[c] = ids
-            elif not c.translate(None, _PLAIN) and c.decode().isalpha():
-                words.append(c)
-            else:
-                others.append(c)
-
-        for c in new:
-            if c[-1:] in self.marks and c[-2:-1].isalpha() and c not in older:
-                marked.append(c)
-                if (stem := c[:-1]) not in known and stem not in new:
-                    sort(stem)
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != sum(ends):
+            return self._encode(words)
+        return ids, np.diff(cuts[np.cumsum(ends) - 1], prepend=0)
+
+    def _encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(first id in the pool, number of ids) of lower-case words up to U+02FF, where nothing composes anew in lower case."""
+        simple, ends, rest = [], [], []
+        for i, w in enumerate(words):
+            marked = w[-1:] in b".," and len(w) > 1
+            if (w[:-1] if marked else w).decode().isalpha():
+                simple.append(i)
+                ends.append(1 + marked)
             else:
-                sort(c)
-        words = [*dict.fromkeys(words)]
-        if words:
-            known.update(zip(words, self._encode_words(words), strict=True))
-        if others:
-            known.update(zip(others, self._encode(others), strict=True))
-        for c in marked:
-            known[c] = known[c[:-1]] + self.marks[c[-1:]]
-
-
-_PLAIN = bytes([*range(0x80), *range(0x80, 0xC0), *range(0xC2, 0xCC)])  # UTF-8 of U+0000 to U+02FF
-_loaded: dict[int, ChunkTokenizer] = {}
+                rest.append(i)
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for at, (ids, sizes) in ((simple, self._encode_letters([words[i] for i in simple], ends)), (rest, self._encode([words[i] for i in rest]))):
+            start[at], size[at] = self._store(ids, sizes), sizes
+        return start, size
+
+    # lookup
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The table's place of each hash, -1 for those not in it."""
+        home = (hashes >> M(64 - self.BITS)).astype(np.int64)
+        place = np.where(self.keys[home] == hashes, home, -1)
+        left = np.flatnonzero(place < 0)
+        for probe in range(1, self.PROBES):
+            if not len(left):
+                break
+            at = home[left] + probe
+            hit = self.keys[at] == hashes[left]
+            place[left[hit]] = at[hit]
+            left = left[~hit]
+        return place
+
+    def _insert(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Into the first free place of each; where there's none, over another word."""
+        home = (hashes >> M(64 - self.BITS)).astype(np.int64)
+        left = np.arange(len(hashes))
+        for probe in range(self.PROBES + 1):
+            at = home[left] + (probe if probe < self.PROBES else (hashes[left] % M(self.PROBES)).astype(np.int64))
+            at, one = np.unique(at, return_index=True)
+            if probe < self.PROBES:
+                free = self.keys[at] == 0
+                at, one = at[free], one[free]
+            self.keys[at], self.start[at], self.size[at] = hashes[left[one]], start[left[one]], size[left[one]]
+            left = np.delete(left, one)
+
+    def batch(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end)."""
+        if self.used > self.MOST_IDS:
+            self._clear()
+        hashes, data = words.hashes(), words.data
+        odd_bytes = np.flatnonzero(~_PLAIN[data])
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        odd = np.zeros(len(hashes), bool)
+        if len(odd_bytes) + len(special):
+            odd[np.searchsorted(words.start, np.concatenate([odd_bytes, special]), "right") - 1] = True
+        place = self._find(hashes)
+        place[odd] = 0
+        start, size = self.start[place].astype(np.int64), self.size[place].astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            low = LOWER[data].tobytes()
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            first = missing[first]
+            s, n = self._encode_plain([low[i:j] for i, j in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])
+            start[missing], size[missing] = s[which], n[which]
+            self._insert(new, s, n)
+        if odd.any():
+            raw, at = data.tobytes(), np.flatnonzero(odd)
+            own = [raw[words.start[i] : words.end[i]] for i in at]
+            if new := [*{w for w in own if w not in self.exact}]:
+                ids, sizes = self._encode(new)
+                self.exact.update(zip(new, zip(self._store(ids, sizes).tolist(), sizes.tolist(), strict=True), strict=True))
+            start[at], size[at] = np.array([self.exact[w] for w in own]).T
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[words.first]
+
+
+#: Bytes of the UTF-8 of U+0000 to U+02FF.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(0xC0), *range(0xC2, 0xCC)]] = True
+_loaded: dict[int, WordTokenizer] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,28 +180,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    last = int(end_id).to_bytes(4, "little")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = _loaded.get(hash(spec.value)) or _loaded.setdefault(hash(spec.value), ChunkTokenizer(spec.value))
+        tokenizer = _loaded.get(hash(spec.value)) or _loaded.setdefault(hash(spec.value), WordTokenizer(spec.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                rows, starts, lengths, totals, parts = [], [], [], [], []
-                texts = batch.column(1).slice(at, BLOCK).fill_null("").to_pylist()
-                for i, raw in enumerate(tokenizer.ids(texts), at):
-                    raw += last
-                    n = len(raw) // 4
-                    for s in range(0, n, window):
-                        rows.append(i)
-                        starts.append(s)
-                        lengths.append(min(window, n - s))
-                        totals.append(n)
-                        parts.append(raw[4 * s : 4 * (s + window)])
-                doc = batch.column(0).take(pa.array(rows, pa.int64()))
-                columns = [doc, *(pa.array(x, pa.int64()) for x in (starts, lengths, totals)), pa.array(parts, pa.binary())]
+            for i, j, words in chunks(batch.column(1), SPACED):
+                ids, bounds = tokenizer.batch(words)
+                with_end = np.insert(ids, bounds[1:], end_id)
+                bounds = bounds + np.arange(j - i + 1)
+                totals = np.diff(bounds)
+                n = -(-totals // window)
+                row = np.repeat(np.arange(j - i), n)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * window
+                length = np.minimum(window, totals[row] - start)
+                offsets = np.concatenate([[0], np.cumsum(length)])
+                parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(4 * offsets), pa.py_buffer(with_end.astype("<u4"))])
+                columns = [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(totals[row]), parts.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

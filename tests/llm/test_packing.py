@@ -2,11 +2,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from pagewright.llm.packing import ChunkTokenizer, fillings, nnls, pack, pieces, plan, sequences
+from pagewright.llm.packing import WordTokenizer, fillings, nnls, pack, pieces, plan, sequences
 from pagewright.llm.queries import QUERIES, word_bpe_path
+from pagewright.llm.wordhash import SPACED, chunks
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,12 +24,16 @@ ODD = [
 ]
 
 
-def test_chunks_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
-    monkeypatch.setattr("pagewright.llm.packing.CACHED", 8)
-    own = ChunkTokenizer(open(word_bpe_path(), encoding="utf-8").read())
+@pytest.mark.parametrize("bits", [21, 3])
+def test_words_give_the_ids_of_whole_texts(tokenizer, monkeypatch, bits):
+    monkeypatch.setattr(WordTokenizer, "BITS", bits)
+    monkeypatch.setattr(WordTokenizer, "MOST_IDS", 10**6 if bits > 3 else 30)
+    own = WordTokenizer(open(word_bpe_path(), encoding="utf-8").read())
     for texts in (ODD, ODD[::-1], *([t] for t in ODD)):
-        for text, ids in zip(texts, own.ids(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        for i, _, words in chunks(pa.array(texts), SPACED):
+            ids, bounds = own.batch(words)
+            for text, a, b in zip(texts[i:], bounds, bounds[1:]):
+                assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 def verify(rows, docs, tokenizer):
