@@ -47,7 +47,24 @@ found AS (
   FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id))"""
 
 
+CHAT_SQL = """
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+cast_roles AS (
+  SELECT s.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+  FROM said s JOIN views v ON s.conv_id IS NOT DISTINCT FROM v.conv_id),
+heads AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, '<|' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) AS head FROM cast_roles),
+rendered AS (SELECT *, head || content || '<|end|>' || chr(10) AS rendered FROM heads),
+placed AS (
+  SELECT *, length(rendered) AS length, row_number() OVER w - 1 AS position,
+    (sum(length(rendered)) OVER (w ROWS UNBOUNDED PRECEDING) - length(rendered))::BIGINT AS start
+  FROM rendered WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, content))
+SELECT conv_id, perspective, position, turn, speaker, role, name, rendered, start, length,
+  CASE WHEN role = 'assistant' THEN start + length(head) END AS mask_start, CASE WHEN role = 'assistant' THEN start + length - 1 END AS mask_end
+FROM placed"""
+
 ORACLE_SQL = {
+    "op1_perspective_rotation": CHAT_SQL,
     "op5_circulant_minhash": f"WITH RECURSIVE {near_duplicates_sql('documents', 2, 80)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
     "op7_winnowing": f"WITH {contamination_sql('documents')} SELECT doc_id, n_words, n_hit, n_items, sha256(items) AS items_sha256, n_hit > 0 AS contaminated FROM found",
 }

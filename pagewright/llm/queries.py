@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints
+from . import fingerprints, html_text, licenses
+from .chat import perspectives
 from .common import table
 from .decontamination import digest, find_contamination
 from .language_id import identify
@@ -16,6 +17,11 @@ from .sharding import shard
 from .url_filter import judge
 
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each of its participants."""
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.digest(table(spark, sf_dir, "documents"))
@@ -28,6 +34,11 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets have a Jaccard similarity of 0.8 and more."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
@@ -67,14 +78,22 @@ def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_perspective_rotation": op1_perspective_rotation,
     "op2_bottom_k_fingerprints": op2_bottom_k_fingerprints,
     "op3_feistel_shards": op3_feistel_shards,
+    "op4_main_text": op4_main_text,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_naive_bayes_language": op6_naive_bayes_language,
     "op7_winnowing": op7_winnowing,
     "op8_url_language_models": op8_url_language_models,
     "op9_nnls_packing": op9_nnls_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
