@@ -2,5 +2,417 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import scalars
+from pagewright.operators import nodes as N
+from pagewright.operators import pages as P
+from pagewright.operators import side_tables, stats
+from pagewright.operators.crawl import attempts, crawl, totals
+from pagewright.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+# --- what the SQL side shares -----------------------------------------------------------------------------------------
+
+
+def _unescaped(text: str) -> str:
+    """Decoding of the references that the test pages have."""
+    for name, char in (("quot", "'\"'"), ("copy", "'©'"), ("middot", "'·'"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")):
+        text = f"replace({text}, '&{name};', {char})"
+    return text
+
+
+_TITLE = f"trim(regexp_replace({_unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '&amp$', '&'))"
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
+_LINK = f"{_ORIGIN} || '/' || replace(url_encode(regexp_replace(href, '^/', '')), '%2C', ',')"
+_CANONICAL = """regexp_extract(url, '^(https?://[^/?#]+)', 1)
+  || CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) END
+  || CASE WHEN url LIKE '%?page=2&ref=x%' THEN '?page=2' ELSE '' END"""
+_LINES = f"""
+WITH flat AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '\\s+', ' ', 'g') AS h FROM pages),
+cut AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|div|article|footer|nav|ul|li|h1|br|body)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM flat),
+lines AS (SELECT page_id, url, list_filter(list_transform(string_split({_unescaped("h")}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM cut)"""
+_LANG = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
+
+
+# --- sources, projections, content ------------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
+def page_title(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "title", "title").select("page_id", "title")
+
+
+@query(f"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY first) - 1)::INTEGER AS ord, link FROM (
+  SELECT page_id, link, min(i) AS first FROM (SELECT page_id, {_LINK} AS link, i FROM (SELECT page_id, url, unnest({_HREFS}) AS href, unnest(range(1, len({_HREFS}) + 1)) AS i FROM pages)) GROUP BY ALL)""")
+def page_links(spark, sf_dir):
+    """Distinct http(s) targets of each page in order."""
+    return P.with_view(_pages(spark, sf_dir), "links", "links").select("page_id", F.posexplode("links").alias("ord", "link"))
+
+
+@query(f"SELECT {_ORIGIN} AS origin, count(*) AS n_links FROM (SELECT DISTINCT page_id, url, unnest({_HREFS}) AS href FROM pages) GROUP BY ALL")
+def links_by_origin(spark, sf_dir):
+    links = P.with_view(_pages(spark, sf_dir), "links", "links").select(F.explode("links").alias("link"))
+    return links.groupBy(scalars.origin(F.col("link")).alias("origin")).agg(F.count(F.lit(1)).alias("n_links"))
+
+
+@query(f"SELECT page_id, len({_HREFS})::BIGINT AS n_anchors, len(list_distinct({_HREFS}))::BIGINT AS n_links FROM pages")
+def link_dedupe(spark, sf_dir):
+    both = P.with_views(_pages(spark, sf_dir), {"anchors": "anchors", "links": "links"})
+    return both.select("page_id", F.size("anchors").cast("long").alias("n_anchors"), F.size("links").cast("long").alias("n_links"))
+
+
+@query(f"SELECT page_id, 200 AS status, {_TITLE} AS title, len({_HREFS})::INTEGER AS n_links, len(regexp_extract_all(html, '<li>'))::INTEGER AS items FROM pages")
+def navigation_records(spark, sf_dir):
+    return P.navigation_records(_pages(spark, sf_dir), "li").select("page_id", "status", "title", F.size("links").alias("n_links"), "items")
+
+
+@query(f"{_LINES} SELECT page_id, array_to_string(l, chr(10)) AS text FROM lines")
+def page_text(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "text", "text").select("page_id", "text")
+
+
+@query(f"{_LINES} SELECT regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang, count(*) AS n_pages, sum(len(l))::BIGINT AS n_lines, sum(length(array_to_string(l, chr(10))))::BIGINT AS n_chars FROM lines GROUP BY ALL")
+def text_stats(spark, sf_dir):
+    texts = P.with_view(_pages(spark, sf_dir), "text", "text").select(F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("lang"), "text")
+    return texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"), F.sum(F.char_length("text")).cast("long").alias("n_chars"))
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "markdown", "markdown").select("page_id", "markdown")
+
+
+@query("SELECT page_id, count(*) AS n_headings FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>')) FROM pages) GROUP BY ALL")
+def markdown_headings(spark, sf_dir):
+    lines = P.with_view(_pages(spark, sf_dir), "markdown", "markdown").select("page_id", F.explode(F.split("markdown", "\n")).alias("line"))
+    return lines.where(F.col("line").startswith("# ")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_headings"))
+
+
+@query()
+def page_html(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "html", "html").select("page_id", "html")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<!--'))::BIGINT AS n_comments, len(regexp_extract_all(html, '<script'))::BIGINT AS n_scripts, len(regexp_extract_all(html, '<script[^>]* src'))::BIGINT AS n_external FROM pages")
+def script_counts(spark, sf_dir):
+    found = P.nodes(_pages(spark, sf_dir))
+    script = F.col("tag") == "SCRIPT"
+    return found.groupBy("page_id").agg(F.count(F.when(F.col("kind") == 8, 1)).alias("n_comments"), F.count(F.when(script, 1)).alias("n_scripts"), F.count(F.when(script & F.col("attrs")["src"].isNotNull(), 1)).alias("n_external"))
+
+
+@query(f"{_LINES} SELECT page_id, false AS js_required, 0 AS scripts, 'server-rendered content present' AS reason FROM lines")
+def needs_scripts(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "d", "needs_scripts").select("page_id", "d.js_required", "d.scripts", "d.reason")
+
+
+@query("SELECT page_id, 0 AS n_json_ld, 0 AS n_states, true AS no_next FROM pages")
+def hydration(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "h", "hydration").select("page_id", F.size("h.json_ld").alias("n_json_ld"), F.size("h.states").alias("n_states"), F.isnull("h.next").alias("no_next"))
+
+
+@query("SELECT page_id, 0 AS n_forms FROM pages")
+def page_forms(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "f", "forms").select("page_id", F.size("f").alias("n_forms"))
+
+
+@query(f"SELECT page_id, unnest(range(0, len({_HREFS})))::INTEGER AS i, 'a' AS tag, 'link' AS role, unnest({_HREFS}) AS raw, true AS visible FROM pages")
+def interactive_elements(spark, sf_dir):
+    found = P.with_views(_pages(spark, sf_dir), {"x": "interactive_visible"})
+    each = found.select("page_id", F.explode("x").alias("x"))
+    # in the test pages an anchor's text is its path
+    return each.select("page_id", "x.i", "x.tag", "x.role", F.concat(F.lit("/"), "x.name").alias("raw"), "x.visible")
+
+
+@query("""SELECT role, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(nav|ul|li|a|article|h1|footer)[ >]', 1)) AS tag FROM pages)
+  JOIN (VALUES ('nav', 'navigation'), ('ul', 'list'), ('li', 'listitem'), ('a', 'link'), ('article', 'article'), ('h1', 'heading'), ('footer', 'contentinfo')) r(tag, role) USING (tag) GROUP BY ALL""")
+def accessibility_roles(spark, sf_dir):
+    found = P.with_view(_pages(spark, sf_dir), "a", "ax_nodes").select(F.explode("a").alias("a")).where("a.role <> 'paragraph'")
+    return found.groupBy(F.col("a.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def aria_snapshots(spark, sf_dir):
+    return P.with_views(_pages(spark, sf_dir), {"snapshot": "aria_snapshot", "tree": "ax"}).select("page_id", "snapshot", "tree")
+
+
+@query(f"SELECT page_id, {_HREFS}[1] AS first_href, true AS shown, false AS checked, true AS enabled, false AS editable, 'link' AS role FROM pages")
+def first_link_properties(spark, sf_dir):
+    views = {"first_href": P.attribute_view("a", "href"), "shown": P.property_view("a", "is_visible"), "checked": P.property_view("a", "is_checked"), "enabled": P.property_view("a", "is_enabled"), "editable": P.property_view("a", "is_editable"), "role": P.property_view("a", "role")}
+    return P.with_views(_pages(spark, sf_dir), views).select("page_id", *views)
+
+
+@query("SELECT page_id, 'navigate' AS action FROM pages")
+def click_targets(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "c", P.property_view("nav a", "click")).select("page_id", "c.action")
+
+
+# --- selection --------------------------------------------------------------------------------------------------------
+
+_LI = "regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1)"
+
+
+@query(f"SELECT page_id, {_unescaped(f'{_LI}[2]')} AS item FROM pages WHERE len({_LI}) >= 2")
+def xpath_second_li(spark, sf_dir):
+    return P.query(_pages(spark, sf_dir), "//ul/li[2]").select("page_id", F.col("text").alias("item"))
+
+
+@query(f"SELECT page_id, unnest(range(0, len({_HREFS})))::INTEGER AS ord, unnest({_HREFS}) AS href FROM pages")
+def xpath_attribute(spark, sf_dir):
+    return P.query(_pages(spark, sf_dir), "//a/@href").select("page_id", "ord", F.col("value").alias("href"))
+
+
+@query(f"SELECT page_id, unnest(range(0, len({_LI})))::INTEGER AS ord, {_unescaped(f'unnest({_LI})')} AS item FROM pages")
+def css_list_items(spark, sf_dir):
+    return P.query(_pages(spark, sf_dir), "nav > ul > li").select("page_id", "ord", F.col("text").alias("item"))
+
+
+@query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest({_HREFS}) AS href FROM pages) WHERE href LIKE '/%' GROUP BY ALL")
+def native_selector(spark, sf_dir):
+    found = N.select(P.nodes(_pages(spark, sf_dir)), "nav li > a[href^='/']")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, {_LANG} AS lang, {_HREFS}[1] AS first_href FROM pages")
+def native_first_attribute(spark, sf_dir):
+    nodes = P.nodes(_pages(spark, sf_dir))
+    first = N.first_on_page(N.select(nodes, "a[href]"))
+    lang = N.attribute(N.select(nodes, "html"), "lang").drop("node_id")
+    return lang.join(first.select("page_id", F.col("attrs")["href"].alias("first_href")), "page_id")
+
+
+@query(f"SELECT page_id, len({_HREFS})::BIGINT AS n_links, len({_HREFS})::BIGINT AS n_in_items FROM pages")
+def native_nearest_ancestor(spark, sf_dir):
+    nodes = P.nodes(_pages(spark, sf_dir))
+    near = N.nearest_ancestor(N.select(nodes, "a"), N.select(nodes, "li"))
+    return near.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count("ancestor_id").alias("n_in_items"))
+
+
+@query("""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<(p|li|a|ul|nav|article|h1|div|footer|style|title|meta|br)[ >]', 1)) AS tag FROM pages) GROUP BY ALL""")
+def tag_counts(spark, sf_dir):
+    found = P.nodes(_pages(spark, sf_dir)).where("kind = 1 and tag not in ('HTML', 'HEAD', 'BODY', 'B', 'SCRIPT')")
+    return found.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, len({_HREFS}) AS n_links FROM pages")
+def locate_by_role(spark, sf_dir):
+    return P.with_view(_pages(spark, sf_dir), "m", P.locate_view("role", "link", scope="nav")).select("page_id", F.size("m").cast("long").alias("n_links"))
+
+
+@query(f"SELECT page_id, {_TITLE} AS heading_of_title, len({_HREFS})::BIGINT AS n_links, {_HREFS}[1] AS first FROM pages")
+def extract_record(spark, sf_dir):
+    schema = {"title": {"selector": "title"}, "links": {"selector": "nav li", "list": True, "fields": {"raw": {"selector": "a", "attr": "text"}}}}
+    found = P.with_view(_pages(spark, sf_dir), "r", P.extract_view(schema))
+    return found.select("page_id", F.col("r.title").alias("heading_of_title"), F.size("r.links").cast("long").alias("n_links"), F.concat(F.lit("/"), F.col("r.links")[0]["raw"]).alias("first"))
+
+
+# --- URLs -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, {_CANONICAL} AS canonical FROM pages")
+def canonical_url(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", scalars.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(f"SELECT page_id, {_CANONICAL} AS canonical FROM pages")
+def canonical_url_general(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", scalars.canonicalize(F.col("url")).alias("canonical"))
+
+
+@query("SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n_pages FROM pages GROUP BY ALL")
+def host_counts(spark, sf_dir):
+    return _pages(spark, sf_dir).groupBy(scalars.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+@query(f"SELECT canonical, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, {_CANONICAL} AS canonical FROM pages) GROUP BY ALL")
+def canonical_groups(spark, sf_dir):
+    return _pages(spark, sf_dir).groupBy(scalars.canonical_url(F.col("url")).alias("canonical")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+@query(f"""SELECT DISTINCT link FROM (SELECT {_LINK} AS link FROM (SELECT url, unnest({_HREFS}) AS href FROM pages)) WHERE link NOT IN (SELECT {_CANONICAL} FROM pages)""")
+def frontier(spark, sf_dir):
+    """Linked but not visited: an anti-join on canonical urls."""
+    pages = _pages(spark, sf_dir)
+    links = P.with_view(pages, "links", "links").select(F.explode("links").alias("link")).withColumn("canon", scalars.canonical_url(F.col("link"))).dropDuplicates(["canon"])
+    return links.join(pages.select(scalars.canonical_url(F.col("url")).alias("canon")), "canon", "left_anti").select("link")
+
+
+_COERCED = [("$ 19.99", 19.99), ("1,299", 1299.0), ("10-20", None), ("n/a", None), ("", None), ("-5", -5.0), (".5", 0.5)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if v is None else v}::DOUBLE)" for t, v in _COERCED) + ") v(raw, number)")
+def number_coercion(spark, sf_dir):
+    return spark.createDataFrame([(t,) for t, _ in _COERCED], "raw string").select("raw", scalars.to_number(F.col("raw")).alias("number"))
+
+
+_DATES = ["Wed, 21 Oct 2015 07:28:00 GMT", "Wednesday, 21-Oct-15 07:28:00 GMT", "Wed Oct 21 07:28:00 2015"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', 1445412480000)" for d in _DATES) + ") v(raw, ms)")
+def http_dates(spark, sf_dir):
+    return spark.createDataFrame([(d,) for d in _DATES], "raw string").select("raw", F.unix_millis(scalars.http_date(F.col("raw"))).alias("ms"))
+
+
+# --- side tables ------------------------------------------------------------------------------------------------------
+
+_ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /*.html$\nCrawl-delay: 2\nUser-agent: other\nDisallow: /"
+
+
+@query("""SELECT page_id, NOT (path LIKE '%.html' OR path LIKE '/fr/%' AND path NOT LIKE '/fr/1%') AS allowed
+  FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS path FROM pages)""")
+def robots_gate(spark, sf_dir):
+    """The same rules for every origin; of two that fit the longer counts, so /*.html$ (8) beats /fr/1 (5)."""
+    pages = _pages(spark, sf_dir).select("page_id", "url")
+    files = pages.select(scalars.origin(F.col("url")).alias("origin")).distinct().withColumn("text", F.lit(_ROBOTS))
+    return side_tables.robots_gate(pages, side_tables.robots_rules(files), "crawler/1.0").select("page_id", "allowed")
+
+
+_COOKIES = [
+    ("https://example.com/", "site=1; Path=/"), ("https://example.com/", "fr=2; Path=/fr"), ("https://www.example.org/", "safe=3; Domain=example.org; Secure"), ("https://example.net/", "gone=4; Max-Age=0"), ("https://example.net/", "bad=5; Domain=example.com"),
+]
+
+
+@query("""SELECT page_id, nullif(concat_ws('; ', CASE WHEN host LIKE '%example.com' AND (path = '/fr' OR path LIKE '/fr/%') THEN 'fr=2' END, CASE WHEN host LIKE '%example.com' THEN 'site=1' END,
+    CASE WHEN host LIKE '%example.org' AND url LIKE 'https:%' THEN 'safe=3' END), '') AS cookie
+  FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages)""")
+def cookie_headers(spark, sf_dir):
+    lines = spark.createDataFrame([(u, c, i) for i, (u, c) in enumerate(_COOKIES)], "url string, set_cookie string, seq int").withColumn("now", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    jar = side_tables.cookie_jar(lines)
+    return side_tables.cookie_headers(_pages(spark, sf_dir).select("page_id", "url"), jar, F.to_timestamp(F.lit("2024-01-01 00:00:00"))).select("page_id", "cookie")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'cloudflare' WHEN 1 THEN 'akamai' WHEN 2 THEN 'aws_waf' END AS vendor FROM pages")
+def wall_vendors(spark, sf_dir):
+    which = F.col("page_id") % 4
+    made = F.when(which == 0, F.create_map(F.lit("cf-mitigated"), F.array(F.lit("challenge")))).when(which == 1, F.create_map(F.lit("set-cookie"), F.array(F.lit("a=1"), F.lit("_abck=2")))).otherwise(F.create_map(F.lit("server"), F.array(F.lit("cloudflare"))))
+    body = F.when(which == 2, F.concat("html", F.lit("token.awswaf.com"))).otherwise(F.col("html"))
+    return _pages(spark, sf_dir).select("page_id", side_tables.wall_vendor(made, body).alias("vendor"))
+
+
+@query("SELECT page_id, length(html)::BIGINT AS n_chars, page_id % 3 = 0 AS reused FROM pages")
+def cache_reuse(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    stored = pages.where("page_id % 3 = 0").select("url", F.lit("e").alias("etag"), F.lit(None).cast("string").alias("last_modified"), "html", F.lit(200).alias("status"), F.col("page_id").alias("seq"))
+    again = pages.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, 304).otherwise(200).alias("status"), F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("html"))
+    return side_tables.reuse_unchanged(again, side_tables.http_cache(stored)).select("page_id", F.char_length("html").cast("long").alias("n_chars"), (F.col("status") == 304).alias("reused"))
+
+
+# --- crawl ------------------------------------------------------------------------------------------------------------
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic site: page n links to 2n + 1, 2n + 2 and back to n / 2."""
+    pages = _pages(spark, sf_dir)
+    url = lambda n: F.concat(F.lit("https://graph.test/"), n.cast("string"))
+    n = F.col("page_id")
+    return pages.select(url(n).alias("url"), F.lit(200).alias("status"), n.cast("string").alias("title"), F.array(url(2 * n + 1), url(2 * n + 2), url(F.floor(n / 2))).alias("links"), (n % 5).cast("int").alias("items"))
+
+
+_BFS = """WITH RECURSIVE reach(n, depth) AS (
+  SELECT 0::BIGINT, 0 UNION SELECT t, depth + 1 FROM reach, (VALUES (1), (2)) k(k), LATERAL (SELECT 2 * n + k AS t) WHERE depth < 4 AND n IN (SELECT page_id FROM pages))"""
+
+
+@query(f"""{_BFS} SELECT 'https://graph.test/' || n AS url, depth, CASE WHEN page_id IS NULL THEN 0 ELSE 200 END AS status, coalesce(page_id % 5, 0)::INTEGER AS items
+  FROM reach LEFT JOIN pages ON page_id = n""")
+def crawl_bfs(spark, sf_dir):
+    found = crawl(_graph(spark, sf_dir), ["https://graph.test/0"], max_pages=10_000, max_depth=4)
+    return found.select("url", "depth", "status", "items")
+
+
+@query(f"""{_BFS} SELECT count(page_id) AS pages, sum(page_id % 5)::BIGINT AS items, count(*) - count(page_id) AS errors FROM reach LEFT JOIN pages ON page_id = n""")
+def crawl_totals(spark, sf_dir):
+    return totals(crawl(_graph(spark, sf_dir), ["https://graph.test/0"], max_pages=10_000, max_depth=4))
+
+
+_LOG = [("a", 0, 503), ("a", 1, 200), ("b", 0, 500), ("b", 1, 500), ("b", 2, 429), ("c", 0, None), ("d", 0, 404)]
+
+
+@query("SELECT * FROM (VALUES ('a', 200, 2, 200::BIGINT), ('b', 429, 3, 600), ('c', 0, 1, 0), ('d', 404, 1, 0)) v(url, status, attempts, waited_ms)")
+def retry_log(spark, sf_dir):
+    return attempts(spark.createDataFrame(_LOG, "url string, attempt int, status int"))
+
+
+# --- aggregates -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT k AS event_type, len(l)::BIGINT AS n, l[1] AS min, l[len(l)] AS max, l[least(floor(0.5 * len(l)), len(l) - 1)::INTEGER + 1] AS median, l[least(floor(0.95 * len(l)), len(l) - 1)::INTEGER + 1] AS p95
+  FROM (SELECT event_type AS k, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY ALL)""")
+def stats_summary(spark, sf_dir):
+    return stats.summarize(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", "n", "min", "max", "median", "p95")
+
+
+@query("SELECT event_type AS target, 'k' || (user_id % 3) AS prop, 'get' AS kind, bool_or(value > 50) AS defined, count(*) AS count FROM events GROUP BY ALL")
+def probe_accesses(spark, sf_dir):
+    seen = table(spark, sf_dir, "events").select(F.col("event_type").alias("target"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("prop"), F.lit("get").alias("kind"), (F.col("value") > 50).alias("defined"))
+    return stats.probe_accesses(seen)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_windows(spark, sf_dir):
+    return streams.windowed_counts(table(spark, sf_dir, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("""SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS window_start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL""")
+def sliding_windows(spark, sf_dir):
+    return streams.windowed_counts(table(spark, sf_dir, "events"), "1 hour", "30 minutes").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("""SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (
+  SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+    SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s""")
+def event_sessions(spark, sf_dir):
+    return streams.sessions(table(spark, sf_dir, "events")).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query("""SELECT host, lang, count(*) AS n, sum(strlen(html))::BIGINT AS bytes FROM (
+  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang, html FROM pages) GROUP BY ROLLUP (host, lang)""")
+def host_language_rollup(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select(scalars.host(F.col("url")).alias("host"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("lang"), F.octet_length("html").alias("bytes"))
+    return rows.rollup("host", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query(f"""SELECT host, page_id, n_links FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n_links DESC, page_id) AS r FROM (
+  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, page_id, len({_HREFS})::INTEGER AS n_links FROM pages)) WHERE r <= 3""")
+def top_pages_by_links(spark, sf_dir):
+    rows = P.with_view(_pages(spark, sf_dir), "n_links", P.count_view("a[href]")).select(scalars.host(F.col("url")).alias("host"), "page_id", "n_links")
+    best = Window.partitionBy("host").orderBy(F.desc("n_links"), "page_id")
+    return rows.withColumn("r", F.row_number().over(best)).where("r <= 3").drop("r")
+
+
+@query(f"""SELECT * FROM (VALUES ('has_title'), ('has_links'), ('is_french')) c("check"), LATERAL (
+  SELECT count(*) FILTER (CASE c."check" WHEN 'has_title' THEN {_TITLE} <> '' WHEN 'has_links' THEN len({_HREFS}) > 0 ELSE {_LANG} = 'fr' END) AS passed,
+    count(*) FILTER (NOT CASE c."check" WHEN 'has_title' THEN {_TITLE} <> '' WHEN 'has_links' THEN len({_HREFS}) > 0 ELSE {_LANG} = 'fr' END) AS failed FROM pages)""")
+def expectations(spark, sf_dir):
+    rows = P.with_views(_pages(spark, sf_dir), {"title": "title", "links": "links", "lang": P.attribute_view("html", "lang")})
+    return stats.expect(rows, has_title=F.col("title") != "", has_links=F.size("links") > 0, is_french=F.col("lang") == "fr")
+
+
+@query("""SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
+def label_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
