@@ -233,10 +233,19 @@ def with_view(pages: DataFrame, name: str, view: View | str, html: str = "html",
     return with_views(pages, {name: view}, html, base)
 
 
+def each(rows: DataFrame, column: str, *keys: str, place: str | None = None) -> DataFrame:
+    """(keys, place, column): the elements of a view's arrays, one a row.
+
+    By the outer form, as Catalyst puts a filter on the array under the other one, and that would parse every page twice.
+    """
+    made = F.posexplode_outer(column).alias(place, column) if place else F.explode_outer(column).alias(column)
+    return rows.select(*keys, made).where(F.col(column).isNotNull())
+
+
 def query(pages: DataFrame, selector: str, kind: str = "auto", key: str = "page_id") -> DataFrame:
     """(key, ord, node, html, text, value): one row a match, in document order."""
     found = with_view(pages, "m", query_view(selector, kind))
-    return found.select(key, F.posexplode("m").alias("ord", "m")).select(key, "ord", "m.*")
+    return each(found, "m", key, place="ord").select(key, "ord", "m.*")
 
 
 def query_first(pages: DataFrame, selector: str, kind: str = "auto", key: str = "page_id") -> DataFrame:
@@ -245,7 +254,7 @@ def query_first(pages: DataFrame, selector: str, kind: str = "auto", key: str =
 
 def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The node table: one row a node; a node's descendants are those with ids from its own to its end_id."""
-    return with_view(pages, "n", "nodes").select(key, F.explode("n").alias("n")).select(key, "n.*")
+    return each(with_view(pages, "n", "nodes"), "n", key).select(key, "n.*")
 
 
 def navigation_records(pages: DataFrame, item_selector: str | None = None, key: str = "page_id", status: Column | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pagewright.operators import nodes as N
 from pagewright.operators import pages as P
 from pagewright.operators import side_tables, stats
 from pagewright.operators.crawl import attempts, crawl, totals
+from pagewright.sources.shared import durable
 from pagewright.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    """The pages. Parsing is what costs: where they come in fewer files than there are cores, they're dealt out first."""
+    pages, cores = table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism
+    return pages.repartition(cores) if len(pages.inputFiles()) < cores else pages
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table, parsed once for plans that read it several times."""
+    return durable(P.nodes(_pages(spark, sf_dir)), "nodes")
 
 
 # --- what the SQL side shares -----------------------------------------------------------------------------------------
@@ -72,13 +80,13 @@ def page_title(spark, sf_dir):
   SELECT page_id, link, min(i) AS first FROM (SELECT page_id, {_LINK} AS link, i FROM (SELECT page_id, url, unnest({_HREFS}) AS href, unnest(range(1, len({_HREFS}) + 1)) AS i FROM pages)) GROUP BY ALL)""")
 def page_links(spark, sf_dir):
     """Distinct http(s) targets of each page in order."""
-    return P.with_view(_pages(spark, sf_dir), "links", "links").select("page_id", F.posexplode("links").alias("ord", "link"))
+    return P.each(P.with_view(_pages(spark, sf_dir), "links", "links"), "links", "page_id", place="ord").withColumnRenamed("links", "link")
 
 
 @query(f"SELECT {_ORIGIN} AS origin, count(*) AS n_links FROM (SELECT DISTINCT page_id, url, unnest({_HREFS}) AS href FROM pages) GROUP BY ALL")
 def links_by_origin(spark, sf_dir):
-    links = P.with_view(_pages(spark, sf_dir), "links", "links").select(F.explode("links").alias("link"))
-    return links.groupBy(scalars.origin(F.col("link")).alias("origin")).agg(F.count(F.lit(1)).alias("n_links"))
+    links = P.each(P.with_view(_pages(spark, sf_dir), "links", "links"), "links")
+    return links.groupBy(scalars.origin(F.col("links")).alias("origin")).agg(F.count(F.lit(1)).alias("n_links"))
 
 
 @query(f"SELECT page_id, len({_HREFS})::BIGINT AS n_anchors, len(list_distinct({_HREFS}))::BIGINT AS n_links FROM pages")
@@ -144,7 +152,7 @@ def page_forms(spark, sf_dir):
 @query(f"SELECT page_id, unnest(range(0, len({_HREFS})))::INTEGER AS i, 'a' AS tag, 'link' AS role, unnest({_HREFS}) AS raw, true AS visible FROM pages")
 def interactive_elements(spark, sf_dir):
     found = P.with_views(_pages(spark, sf_dir), {"x": "interactive_visible"})
-    each = found.select("page_id", F.explode("x").alias("x"))
+    each = P.each(found, "x", "page_id")
     # in the test pages an anchor's text is its path
     return each.select("page_id", "x.i", "x.tag", "x.role", F.concat(F.lit("/"), "x.name").alias("raw"), "x.visible")
 
@@ -152,7 +160,7 @@ def interactive_elements(spark, sf_dir):
 @query("""SELECT role, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(nav|ul|li|a|article|h1|footer)[ >]', 1)) AS tag FROM pages)
   JOIN (VALUES ('nav', 'navigation'), ('ul', 'list'), ('li', 'listitem'), ('a', 'link'), ('article', 'article'), ('h1', 'heading'), ('footer', 'contentinfo')) r(tag, role) USING (tag) GROUP BY ALL""")
 def accessibility_roles(spark, sf_dir):
-    found = P.with_view(_pages(spark, sf_dir), "a", "ax_nodes").select(F.explode("a").alias("a")).where("a.role <> 'paragraph'")
+    found = P.each(P.with_view(_pages(spark, sf_dir), "a", "ax_nodes"), "a").where("a.role <> 'paragraph'")
     return found.groupBy(F.col("a.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -194,13 +202,13 @@ def css_list_items(spark, sf_dir):
 
 @query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest({_HREFS}) AS href FROM pages) WHERE href LIKE '/%' GROUP BY ALL")
 def native_selector(spark, sf_dir):
-    found = N.select(P.nodes(_pages(spark, sf_dir)), "nav li > a[href^='/']")
+    found = N.select(_nodes(spark, sf_dir), "nav li > a[href^='/']")
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT page_id, {_LANG} AS lang, {_HREFS}[1] AS first_href FROM pages")
 def native_first_attribute(spark, sf_dir):
-    nodes = P.nodes(_pages(spark, sf_dir))
+    nodes = _nodes(spark, sf_dir)
     first = N.first_on_page(N.select(nodes, "a[href]"))
     lang = N.attribute(N.select(nodes, "html"), "lang").drop("node_id")
     return lang.join(first.select("page_id", F.col("attrs")["href"].alias("first_href")), "page_id")
@@ -208,7 +216,7 @@ def native_first_attribute(spark, sf_dir):
 
 @query(f"SELECT page_id, len({_HREFS})::BIGINT AS n_links, len({_HREFS})::BIGINT AS n_in_items FROM pages")
 def native_nearest_ancestor(spark, sf_dir):
-    nodes = P.nodes(_pages(spark, sf_dir))
+    nodes = _nodes(spark, sf_dir)
     near = N.nearest_ancestor(N.select(nodes, "a"), N.select(nodes, "li"))
     return near.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count("ancestor_id").alias("n_in_items"))
 
@@ -236,7 +244,7 @@ def extract_record(spark, sf_dir):
 
 @query(f"SELECT page_id, {_CANONICAL} AS canonical FROM pages")
 def canonical_url(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", scalars.canonical_url(F.col("url")).alias("canonical"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.canonical_url(F.col("url")).alias("canonical"))
 
 
 @query(f"SELECT page_id, {_CANONICAL} AS canonical FROM pages")
@@ -246,19 +254,19 @@ def canonical_url_general(spark, sf_dir):
 
 @query("SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n_pages FROM pages GROUP BY ALL")
 def host_counts(spark, sf_dir):
-    return _pages(spark, sf_dir).groupBy(scalars.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
+    return table(spark, sf_dir, "pages").groupBy(scalars.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 @query(f"SELECT canonical, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, {_CANONICAL} AS canonical FROM pages) GROUP BY ALL")
 def canonical_groups(spark, sf_dir):
-    return _pages(spark, sf_dir).groupBy(scalars.canonical_url(F.col("url")).alias("canonical")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
+    return table(spark, sf_dir, "pages").groupBy(scalars.canonical_url(F.col("url")).alias("canonical")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
 
 
 @query(f"""SELECT DISTINCT link FROM (SELECT {_LINK} AS link FROM (SELECT url, unnest({_HREFS}) AS href FROM pages)) WHERE link NOT IN (SELECT {_CANONICAL} FROM pages)""")
 def frontier(spark, sf_dir):
     """Linked but not visited: an anti-join on canonical urls."""
     pages = _pages(spark, sf_dir)
-    links = P.with_view(pages, "links", "links").select(F.explode("links").alias("link")).withColumn("canon", scalars.canonical_url(F.col("link"))).dropDuplicates(["canon"])
+    links = P.each(P.with_view(pages, "links", "links"), "links").withColumnRenamed("links", "link").withColumn("canon", scalars.canonical_url(F.col("link"))).dropDuplicates(["canon"])
     return links.join(pages.select(scalars.canonical_url(F.col("url")).alias("canon")), "canon", "left_anti").select("link")
 
 
@@ -287,7 +295,7 @@ _ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /*.html$\nCraw
   FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS path FROM pages)""")
 def robots_gate(spark, sf_dir):
     """The same rules for every origin; of two that fit the longer counts, so /*.html$ (8) beats /fr/1 (5)."""
-    pages = _pages(spark, sf_dir).select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     files = pages.select(scalars.origin(F.col("url")).alias("origin")).distinct().withColumn("text", F.lit(_ROBOTS))
     return side_tables.robots_gate(pages, side_tables.robots_rules(files), "crawler/1.0").select("page_id", "allowed")
 
@@ -303,7 +311,7 @@ _COOKIES = [
 def cookie_headers(spark, sf_dir):
     lines = spark.createDataFrame([(u, c, i) for i, (u, c) in enumerate(_COOKIES)], "url string, set_cookie string, seq int").withColumn("now", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     jar = side_tables.cookie_jar(lines)
-    return side_tables.cookie_headers(_pages(spark, sf_dir).select("page_id", "url"), jar, F.to_timestamp(F.lit("2024-01-01 00:00:00"))).select("page_id", "cookie")
+    return side_tables.cookie_headers(table(spark, sf_dir, "pages").select("page_id", "url"), jar, F.to_timestamp(F.lit("2024-01-01 00:00:00"))).select("page_id", "cookie")
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'cloudflare' WHEN 1 THEN 'akamai' WHEN 2 THEN 'aws_waf' END AS vendor FROM pages")
@@ -311,12 +319,12 @@ def wall_vendors(spark, sf_dir):
     which = F.col("page_id") % 4
     made = F.when(which == 0, F.create_map(F.lit("cf-mitigated"), F.array(F.lit("challenge")))).when(which == 1, F.create_map(F.lit("set-cookie"), F.array(F.lit("a=1"), F.lit("_abck=2")))).otherwise(F.create_map(F.lit("server"), F.array(F.lit("cloudflare"))))
     body = F.when(which == 2, F.concat("html", F.lit("token.awswaf.com"))).otherwise(F.col("html"))
-    return _pages(spark, sf_dir).select("page_id", side_tables.wall_vendor(made, body).alias("vendor"))
+    return table(spark, sf_dir, "pages").select("page_id", side_tables.wall_vendor(made, body).alias("vendor"))
 
 
 @query("SELECT page_id, length(html)::BIGINT AS n_chars, page_id % 3 = 0 AS reused FROM pages")
 def cache_reuse(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages")
     stored = pages.where("page_id % 3 = 0").select("url", F.lit("e").alias("etag"), F.lit(None).cast("string").alias("last_modified"), "html", F.lit(200).alias("status"), F.col("page_id").alias("seq"))
     again = pages.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, 304).otherwise(200).alias("status"), F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("html"))
     return side_tables.reuse_unchanged(again, side_tables.http_cache(stored)).select("page_id", F.char_length("html").cast("long").alias("n_chars"), (F.col("status") == 304).alias("reused"))
@@ -327,7 +335,7 @@ def cache_reuse(spark, sf_dir):
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A synthetic site: page n links to 2n + 1, 2n + 2 and back to n / 2."""
-    pages = _pages(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages")
     url = lambda n: F.concat(F.lit("https://graph.test/"), n.cast("string"))
     n = F.col("page_id")
     return pages.select(url(n).alias("url"), F.lit(200).alias("status"), n.cast("string").alias("title"), F.array(url(2 * n + 1), url(2 * n + 2), url(F.floor(n / 2))).alias("links"), (n % 5).cast("int").alias("items"))
@@ -392,7 +400,7 @@ def event_sessions(spark, sf_dir):
 @query("""SELECT host, lang, count(*) AS n, sum(strlen(html))::BIGINT AS bytes FROM (
   SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang, html FROM pages) GROUP BY ROLLUP (host, lang)""")
 def host_language_rollup(spark, sf_dir):
-    rows = _pages(spark, sf_dir).select(scalars.host(F.col("url")).alias("host"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("lang"), F.octet_length("html").alias("bytes"))
+    rows = table(spark, sf_dir, "pages").select(scalars.host(F.col("url")).alias("host"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("lang"), F.octet_length("html").alias("bytes"))
     return rows.rollup("host", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
