@@ -73,7 +73,7 @@ def canonical_url(url: Column) -> Column:
     scheme = F.lower(scheme)
     host = F.regexp_replace(F.lower(host), F.when(scheme == "https", ":443$").otherwise(":80$"), "")
     keep = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*urls.TRACKING))
-    pairs = F.array_sort(F.transform(keep, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, "=") + 1)).otherwise("").alias("v"))))
+    pairs = F.array_sort(F.transform(keep, lambda p: F.named_struct(F.lit("k"), F.substring_index(p, "=", 1), F.lit("v"), F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, "=") + 1)).otherwise(""))))
     joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
     return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))
 

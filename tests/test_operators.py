@@ -7,7 +7,7 @@ from pagewright.dom import access, content, forms
 from pagewright.dom.selectors import select as select_tree
 from pagewright.dom.tree import parse
 from pagewright.functions import scalars, urls
-from pagewright.operators import nodes, pages, side_tables, stats
+from pagewright.operators import matches, nodes, pages, side_tables, stats
 from pagewright.operators.crawl import attempts, crawl, totals
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +72,18 @@ def test_node_operations(spark, corpus, table):
     assert sorted(r.how for r in nodes.labelled_controls(own).collect()) == ["aria-labelledby", "for", "wrap"]
 
 
+def test_match_algebra(spark):
+    frame = spark.createDataFrame([(1, "https://x.test/", "<p id=a class=k>one</p><p>two</p><p class=k>three</p>")], "page_id int, url string, html string")
+    p, k = pages.query(frame, "p"), pages.query(frame, ".k")
+    texts = lambda m: [r.text for r in m.orderBy("node", "ord").collect()]
+    assert texts(matches.first(p)) == ["one"] and texts(matches.last(p)) == ["three"] and texts(matches.nth(p, -2)) == ["two"] and texts(matches.nth(p, 7)) == []
+    assert texts(matches.having_text(p, "e", without="o")) == ["three"] and texts(matches.both(p, k)) == ["one", "three"] and len(texts(matches.either(p, k))) == 5
+    assert [r.ord for r in matches.renumbered(matches.both(p, k)).orderBy("node").collect()] == [0, 1]
+    html = '<i id=d1> one</i><i id=d2>two  x</i><i id=e> </i><input aria-describedby="d2 nope d1 e"><input aria-describedby=nope>'
+    own = pages.nodes(spark.createDataFrame([(1, "https://x.test/", html)], "page_id int, url string, html string"))
+    assert [r.description for r in matches.described_by(own).collect()] == ["two x one"]
+
+
 def one(spark, *columns):
     return tuple(spark.range(1).select(*columns).collect()[0])
 
