@@ -15,6 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Arrow batches of at most so many rows and about so many bytes, unless the session has smaller ones.
+
+    Spark's 10,000 rows may be gigabytes of long texts; a batch and what is made of it must fit a Python worker.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out where it comes in fewer files than there are cores, for work that costs more than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
     try:
@@ -59,7 +76,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # on storage, so that both sides of the join are plain exchanges, which adaptive execution splits for a hot node
+        low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
         # large star: every larger neighbour of a node goes to the smallest one
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour, and the node itself, goes to the smallest one
@@ -72,6 +90,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         deep = after.join(after.select(F.col("u").alias("v")), "v", "left_semi").select("u").limit(1)
         done = not many.unionByName(deep).take(1)
         drop_durable(now)
+        drop_durable(low)
         now = after
         if done:
             roots = now.select(F.col("v").alias("id")).distinct()

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
 from .wordhash import ALNUM, Words, chunks, grams
 
 M = np.uint64
@@ -157,6 +158,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, span: int = SPA
 def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with n_words, hit_spans (start, end, start, end ... in words, merged) and hit_items (ids as sorted strings)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.drop(*(f.name for f in RESULT))
     out = docs.select("*", F.lit(None).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
     for block in [*blocks(benchmark, block_bytes, span, k)] or [Block([], span, k)]:

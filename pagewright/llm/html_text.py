@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from pagewright.dom.tokenizer import END, START, TEXT, attributes, tokens
 
+from .common import bounded_batches
+
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -229,6 +231,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
+    bounded_batches(pages.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

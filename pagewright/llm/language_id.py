@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BITS = 15
 DIM = 1 << BITS
 PER_LANGUAGE = 3000
@@ -109,6 +111,7 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """A model from up to about `per_language` labelled rows of each language."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(
         "id is not null and text is not null and label is not null"
     )
@@ -143,6 +146,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 def classify(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
     """`docs` with lang_pred and score; given `least`, only identified documents with that score."""
     docs = docs.drop("lang_pred", "score")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIM
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

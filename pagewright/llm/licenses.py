@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 VOCABULARY = r"(?i)licen[cs]|copyright|spdx|creative commons|\bCC[ -]BY|redistribut|without warranty|as is\b|permission is hereby|public domain|unencumbered"
 BLOCK_CHARS, RANKED, MOST_DIFFERENT, LEVEL = 6000, 6, 0.12, 6
 APART, SHORT = 3, 100
@@ -125,6 +127,7 @@ def identify(block: str) -> tuple[str, float, int] | None:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_blocks, found) of every document; found has start, end, license, saving and differences of each block with a license."""
+    bounded_batches(docs.sparkSession)
     kept = F.when(F.col(text_col).rlike(VOCABULARY), F.col(text_col))  # else the text needn't leave the JVM
     slim = docs.select(F.col(id_col).alias("doc_id"), kept.alias("text"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("saving", pa.float64()), ("differences", pa.int64())]))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable
+from .common import bounded_batches, connected_components, durable
 from .wordhash import SPACED, chunks, grams
 
 M, M32 = np.uint64, np.uint32
@@ -276,6 +276,7 @@ def _links_step(percent: int):
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components over 100 * intersection >= percent * union of k-word shingles."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = durable(slim.mapInArrow(_signed_step(k), "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
     member = rows.select("doc_id", "n_shingles", "set_key")

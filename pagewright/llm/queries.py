@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fingerprints, html_text, licenses
 from .chat import perspectives
-from .common import table
+from .common import spread, table
 from .decontamination import digest, find_contamination
 from .language_id import identify
 from .minhash import near_duplicates
@@ -24,7 +24,7 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
-    return fingerprints.digest(table(spark, sf_dir, "documents"))
+    return fingerprints.digest(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,23 +36,23 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets have a Jaccard similarity of 0.8 and more."""
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=2, percent=80)
 
 
 def op6_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; a third of them is never learned from."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return digest(find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -73,14 +73,14 @@ def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
-    cut = pieces(table(spark, sf_dir, "documents"), word_bpe_path())
+    cut = pieces(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), word_bpe_path())
     slim = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses named in every document."""
-    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+    return licenses.digest(licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 QUERIES = {

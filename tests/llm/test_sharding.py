@@ -45,7 +45,7 @@ def test_edges(spark):
     rows = shard(frame, 3).collect()
     check(rows, docs, 3)
     place = {r.row_number: (r.shard, r.slot) for r in rows}
-    assert place == {int(row_number_at(s, t, 3, len(docs), 20240229)): (s, t) for s, t in place.values()}
+    assert place == {int(row_number_at([s], [t], 3, len(docs), 20240229)[0]): (s, t) for s, t in place.values()}
     again = shard(frame.repartition(7), 3).collect()
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in rows}
     same = shard(spark.createDataFrame([(1, "t")] * 10, "doc_id long, text string"), 4).collect()
