@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def summarize(samples: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, min, max, mean, median, p95 and ops_per_sec of millisecond samples.
 
-    Percentiles are samples: of n in order, the one at floor(share * n). They come from counts of distinct values, so that a
-    hot group is combined before the shuffle; without samples all are 0.
+    Percentiles are samples: of n in order, the one at floor(share * n). Values are counted, and the counts summed within
+    value ranges (the same, a few thousand at most, for all groups) and then over ranges; so a group with most of the samples is spread over its
+    ranges and never collected. Without samples all are 0.
     """
     by = by or []
     counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    each = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_d"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.sum(F.col("_v") * F.col("_c")).alias("_sum"))
-
-    def rank(share: float) -> Column:
-        want = F.least(F.floor(F.lit(share) * F.col("n")), F.col("n") - 1)
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("hit"))
-        step = lambda a, x: F.struct((a["seen"] + x["_c"]).alias("seen"), F.when(a["hit"].isNull() & (a["seen"] + x["_c"] > want), x["_v"]).otherwise(a["hit"]).alias("hit"))
-        return F.aggregate("_d", start, step, lambda a: a["hit"])
-
-    mean = F.col("_sum") / F.col("n")
-    out = each.select(
-        *by, "n", F.get("_d", F.lit(0))["_v"].alias("min"), F.get("_d", F.size("_d") - 1)["_v"].alias("max"), mean.alias("mean"), rank(0.5).alias("median"), rank(0.95).alias("p95"), F.when(mean > 0, 1000 / mean).alias("ops_per_sec")
+    counts = counts.withColumn("_range", F.floor(F.asinh(F.col("_v") * 1000) * 32))  # rises with the value
+    own = Window.partitionBy(*(F.col(c) for c in by), F.lit(0))
+    ranges = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_t"))
+    ranges = ranges.select(
+        *(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_r"), F.sum("_t").over(own).alias("_n"), F.coalesce(F.sum("_t").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    )
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_upto", F.sum("_c").over(inside)).join(ranges, same).withColumn("_upto", F.col("_upto") + F.col("_before"))
+
+    def at(share: float) -> Column:
+        return F.min(F.when(F.col("_upto") > F.least(F.floor(F.lit(share) * F.col("_n")), F.col("_n") - 1), F.col("_v")))
+
+    mean = F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
+    out = placed.groupBy(*by).agg(
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), mean.alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"), F.when(mean > 0, 1000 / mean).alias("ops_per_sec")
     )
     return out.fillna(0.0, ["min", "max", "mean", "median", "p95", "ops_per_sec"])
 
