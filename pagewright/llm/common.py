@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+EDGES_A_FILE = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Spark's own reader, so any file system will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,17 +77,19 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "cc",
     )
+    # a small table needn't be as many files as the cluster has shuffle partitions
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, now.count() // EDGES_A_FILE + 1)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # on storage, so that both sides of the join are plain exchanges, which adaptive execution splits for a hot node
-        low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+        low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "cc-low")
         # large star: every larger neighbour of a node goes to the smallest one
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour, and the node itself, goes to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         settled = least.select("u", F.col("m").alias("v"))
         moved = large.join(least.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = durable(settled.unionByName(moved).where("u <> v").distinct(), "cc")
+        after = durable(settled.unionByName(moved).where("u <> v").distinct().coalesce(parts), "cc")
         # done when each node has one parent and no parent is a child
         many = after.groupBy("u").count().where("count > 1").select("u").limit(1)
         deep = after.join(after.select(F.col("u").alias("v")), "v", "left_semi").select("u").limit(1)
