@@ -16,6 +16,11 @@ def collapse_ascii(c: Column) -> Column:
     return F.regexp_replace(c, r"[ \t\r\n]+", " ")
 
 
+def collapse_unicode(c: Column) -> Column:
+    """Runs of Unicode white space as one space, at the ends too."""
+    return F.regexp_replace(c, _UNICODE_SPACE, " ")
+
+
 def collapse_words(c: Column) -> Column:
     """Words with one space between, Unicode white space counts."""
     return F.trim(F.regexp_replace(c, _UNICODE_SPACE, " "))
