@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import urls
 
-_UNICODE_SPACE = r"[\s\u0085   -     　]+"
+_UNICODE_SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def collapse_ascii(c: Column) -> Column:
