@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bounded_batches, durable
 from .sharding import numbered
 from .wordhash import LOWER, SPACED, Words, chunks
 
@@ -41,13 +41,13 @@ class WordTokenizer:
     """Ids of whole texts, through a cache by white-space-separated word.
 
     For tokenizers with word ends that compose, lower-case and cut texts into words and runs of punctuation: there a text's ids
-    are its words' ids in a row, and a word's are the same with and without a mark after it. Words are looked up by
+    are its words' ids in a row, and a mark after a letter stands for itself. Words are looked up by
     their 64-bit hashes in a table of numpy arrays, a batch at a time; it points into one array of ids. Only words not seen yet
     come to the tokenizer itself, many in one text. Words past U+02FF, and any with "<|", which may begin a special token,
     are kept by their exact bytes instead. Table and ids are emptied when full.
     """
 
-    BITS, PROBES, MOST_IDS = 21, 8, 12_000_000
+    BITS, PROBES, MOST_IDS = 21, 8, 8_000_000
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -80,28 +80,22 @@ class WordTokenizer:
         ids = [e.ids for e in found]
         return np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64)
 
-    def _encode_letters(self, words: list[bytes], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """All in one text; ends says how many ids of a word end something: one for its letters, one for a mark after them."""
+    def _encode_letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All in one text: a word of letters alone has one id that ends a word, its last."""
         if not words:
             return self._encode(words)
         ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != sum(ends):
-            return self._encode(words)
-        return ids, np.diff(cuts[np.cumsum(ends) - 1], prepend=0)
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else self._encode(words)
 
     def _encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(first id in the pool, number of ids) of lower-case words up to U+02FF, where nothing composes anew in lower case."""
-        simple, ends, rest = [], [], []
+        simple, rest = [], []
         for i, w in enumerate(words):
-            marked = w[-1:] in b".," and len(w) > 1
-            if (w[:-1] if marked else w).decode().isalpha():
-                simple.append(i)
-                ends.append(1 + marked)
-            else:
-                rest.append(i)
+            (simple if w.decode().isalpha() else rest).append(i)
         start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for at, (ids, sizes) in ((simple, self._encode_letters([words[i] for i in simple], ends)), (rest, self._encode([words[i] for i in rest]))):
+        for at, encode in ((simple, self._encode_letters), (rest, self._encode)):
+            ids, sizes = encode([words[i] for i in at])
             start[at], size[at] = self._store(ids, sizes), sizes
         return start, size
 
@@ -134,10 +128,20 @@ class WordTokenizer:
             self.keys[at], self.start[at], self.size[at] = hashes[left[one]], start[left[one]], size[left[one]]
             left = np.delete(left, one)
 
+    @staticmethod
+    def _cut_marks(words: Words) -> None:
+        """A full stop or comma after an ASCII letter becomes a word of its own, so that far fewer words are distinct."""
+        last = words.end - 1
+        cut = (words.end - words.start > 1) & _MARK[words.data[last]] & _LETTER[words.data[last - 1]]
+        words.first = words.first + np.concatenate([[0], np.cumsum(cut)])[words.first]
+        words.start = np.sort(np.concatenate([words.start, last[cut]]))
+        words.end = np.sort(np.concatenate([words.end, last[cut]]))
+
     def batch(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last one's end)."""
         if self.used > self.MOST_IDS:
             self._clear()
+        self._cut_marks(words)
         hashes, data = words.hashes(), words.data
         odd_bytes = np.flatnonzero(~_PLAIN[data])
         special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
@@ -167,6 +171,9 @@ class WordTokenizer:
         return ids, np.concatenate([[0], ends])[words.first]
 
 
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[44, 46]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Bytes of the UTF-8 of U+0000 to U+02FF.
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(0xC0), *range(0xC2, 0xCC)]] = True
@@ -178,6 +185,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
 
     `ids` is binary, little-endian unsigned 32-bit. The tokenizer file (of fixed size) is read here and sent to the executors.
     """
+    bounded_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
