@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, SHINGLE = 128, 5
-BUCKET_ROWS, MOST_BUCKETS = 2000, 16384
+BUCKET_ROWS, MOST_BUCKETS = 500, 16384
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
