@@ -5,6 +5,10 @@ in links), both of the block before and after, whether it lies in an article, in
 footer, form ...), or in an element whose class, id or role names such a thing. A decision tree (Gini, grown here) learns
 from the small labelled table below which blocks are main text. Their texts, white space collapsed, are joined by newlines.
 
+A name counts as a whole: 'sidebar' or 'site-nav', not 'content-sidebar-wrap'. An article or main element is free of what lies
+around it, and an element outside of articles that holds one is no furniture; nor is a form that holds parts of a page or long text.
+Only comments that are articles by themselves stay marked. Long text with few links outweighs a name.
+
 Nulls: a null or empty page has an empty text. Text is never cut: pages are judged one at a time, so memory follows the
 longest. Scripts, styles, titles, templates and hidden elements give no blocks. Repeated rows get equal texts; an empty table gives no
 rows. Other columns are ignored, whatever their names.
@@ -40,7 +44,20 @@ HINTS = frozenset(
 )
 #: These name page furniture outside an article only.
 OUTER_HINTS = frozenset({"header", "footer", "masthead"})
+#: May stand beside a hint in a name of several words; any other word makes it a name of something else.
+BESIDE = frozenset(
+    "site main global top bottom left right primary secondary reader user facebook social post posts articles block box bar area list links link button buttons "
+    "item items section container wrapper inner form body icons panel title side sticky footer header thread count meta".split()
+)
+#: Ids of sections, and all in an article, are often made from a heading; only these don't name a subject.
+PLAIN_IDS = frozenset("ad ads adverts newsletter subscribe share sharing sidebar nav navbar breadcrumb breadcrumbs comment comments respond replies disqus widget toolbar pagination pager modal popup".split())
+COMMENTS = frozenset({"comment", "comments", "reply", "replies", "respond"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 ARTICLE = frozenset({"article", "main"})
+#: A form with one of these is the page's.
+PAGE_PARTS = ARTICLE | {"nav", "header", "footer", "aside", "h1"}
+#: Words and link density of text that makes a form the page's.
+LONG_WORDS, FEW_LINKS = 80, 0.25
 CLOSERS = {"li": "li", "p": "p", "dt": "dt", "dd": "dd", "td": "td", "th": "td", "tr": "tr", "option": "option"}
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "furniture", "hinted")
@@ -50,47 +67,82 @@ _TOKEN = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "article", "furniture", "hinted")
+    __slots__ = ("text", "words", "linked", "article", "marks")
 
-    def __init__(self, text: str, linked: int, article: bool, furniture: bool, hinted: bool):
+    def __init__(self, text: str, linked: int, article: bool, marks: tuple[Mark, ...]):
         self.text, self.words, self.linked = text, text.count(" ") + 1, linked
-        self.article, self.furniture, self.hinted = article, furniture, hinted
+        self.article, self.marks = article, marks
 
+    @property
+    def furniture(self) -> bool:
+        return any(m.furniture for m in self.marks)
 
-def _hinted(raw: str, inner: bool, root: bool) -> bool:
-    if root or not raw or raw.isspace():
-        return False
-    own = attributes(raw)
-    if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
+    @property
+    def hinted(self) -> bool:
+        return any(m.hinted for m in self.marks)
+
+
+class Mark:
+    """What an element says of the blocks in it, until something in it speaks against that."""
+
+    __slots__ = ("name", "inner", "furniture", "hinted")
+
+    def __init__(self, name: str, inner: bool, furniture: bool, hinted: bool):
+        self.name, self.inner, self.furniture, self.hinted = name, inner, furniture, hinted
+
+    def release(self) -> None:
+        self.furniture = self.hinted = False
+
+
+def _hidden(own: dict[str, str]) -> bool:
+    return "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+
+
+def _named(token: str, hints: frozenset[str]) -> bool:
+    """Whether a class, id or role is one of the hints, or a compound of hints and words beside them."""
+    if token.lower() in hints:
         return True
-    for name in ("class", "id", "role"):
-        if value := own.get(name):
-            # separators divide a name into words, and capitals may
-            words = {*_TOKEN.findall(value.lower()), *_TOKEN.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())}
-            if words & HINTS or not inner and words & OUTER_HINTS:
-                return True
-    return False
+    # separators divide a name into words, and capitals may
+    words = _TOKEN.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())
+    return not hints.isdisjoint(words) and all(w in hints or w in BESIDE for w in words)
+
+
+def _hinted(name: str, own: dict[str, str], inner: bool) -> bool:
+    hints = HINTS if inner else HINTS | OUTER_HINTS
+    if any(_named(token, hints) for key in ("class", "role") for token in own.get(key, "").split()):
+        return True
+    if name in HEADINGS or not (token := own.get("id", "").strip()):
+        return False
+    return _named(token, PLAIN_IDS if inner or name == "section" else hints)
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open block-level elements: name, article, furniture, hinted
+    stack: list[tuple[str, bool, bool, tuple[Mark, ...]]] = []  # open block-level elements: name, article, hidden, marks
     silent = links = linked = 0
-    article = furniture = hinted = False
+    article = hidden = False
+    marks: tuple[Mark, ...] = ()
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            if text := _SPACE.sub(" ", "".join(parts)).strip():
-                out.append(Block(text, linked, article, furniture, hinted))
+            if not hidden and (text := _SPACE.sub(" ", "".join(parts)).strip()):
+                out.append(b := Block(text, linked, article, marks))
+                if marks and b.words >= LONG_WORDS and linked <= FEW_LINKS * b.words:
+                    release(("form",))
             parts.clear()
         linked = 0
 
     def state() -> None:
-        nonlocal article, furniture, hinted
-        _, article, furniture, hinted = stack[-1] if stack else ("", False, False, False)
+        nonlocal article, hidden, marks
+        _, article, hidden, marks = stack[-1] if stack else ("", False, False, ())
+
+    def release(names: tuple[str, ...] = ()) -> None:
+        for m in marks:
+            if m.name in names or not names and not m.inner:
+                m.release()
 
     silenced = ""
     for kind, name, raw in tokens(html):
@@ -122,9 +174,20 @@ def blocks(html: str) -> list[Block]:
                     state()
                     if links > len(stack) + 1:
                         links = 0
-                root = name in ("html", "body")
-                inner = article or name in ARTICLE
-                stack.append((name, inner, furniture or name in FURNITURE or name == "header" and not article, hinted or _hinted(raw, inner, root or name in ARTICLE)))
+                if name in PAGE_PARTS and marks:
+                    release(("form",))
+                own = attributes(raw)
+                if name in ARTICLE:
+                    if not marks or not any(_named(token, COMMENTS) for token in own.get("class", "").split()):
+                        release()
+                        stack.append((name, True, False, ()))
+                    else:
+                        stack.append((name, True, hidden, marks))
+                elif name in ("html", "body"):
+                    stack.append((name, article, hidden, marks))
+                else:
+                    mark = Mark(name, article, name in FURNITURE or name == "header" and not article, bool(own) and _hinted(name, own, article))
+                    stack.append((name, article, hidden or bool(own) and _hidden(own), (*marks, mark) if mark.furniture or mark.hinted else marks))
                 state()
         elif kind == END:
             if name == "a":
@@ -185,6 +248,9 @@ LABELLED = np.array([
     [2, 1.0, 60, 0.0, 4, 1.0, 1, 1, 0, 0], [20, 0.0, 60, 0.0, 45, 0.0, 1, 1, 0, 0], [5, 0.0, 1, 1.0, 12, 0.0, 0, 0, 1, 0], [14, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1, 0],
     [40, 0.0, 2, 1.0, 8, 0.0, 0, 0, 1, 0], [70, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1, 0], [25, 0.0, 70, 0.0, 3, 0.0, 1, 0, 1, 0], [3, 1.0, 25, 0.0, 3, 1.0, 1, 0, 1, 0],
     [9, 0.0, 40, 0.0, 60, 0.0, 1, 0, 1, 0], [55, 0.0, 3, 0.0, 40, 0.0, 1, 0, 1, 0], [18, 0.0, 4, 0.0, 3, 0.0, 0, 1, 1, 0], [30, 0.0, 8, 0.0, 9, 0.0, 1, 1, 1, 0],
+    [90, 0.0, 6, 0.0, 110, 0.0, 0, 0, 1, 1], [110, 0.05, 90, 0.0, 20, 0.0, 0, 0, 1, 1], [200, 0.1, 3, 1.0, 2, 1.0, 0, 0, 1, 1], [95, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1],
+    [90, 0.1, 40, 0.0, 30, 0.0, 1, 0, 1, 1], [140, 0.0, 5, 0.0, 120, 0.0, 1, 0, 1, 1], [120, 0.4, 2, 1.0, 5, 1.0, 0, 0, 1, 0], [100, 0.9, 3, 0.0, 90, 0.0, 0, 0, 1, 0],
+    [90, 0.5, 30, 0.0, 4, 1.0, 1, 0, 1, 0], [120, 0.0, 4, 1.0, 3, 1.0, 0, 1, 0, 0], [100, 0.05, 60, 0.0, 0, 0.0, 0, 1, 1, 0], [130, 0.0, 9, 0.0, 20, 0.0, 1, 1, 1, 0],
 ])
 
 

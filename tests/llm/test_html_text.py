@@ -45,6 +45,28 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+ARTICLE = f"<article><h1>A title</h1><p>{LONG}</p><h2 id='search-algorithms'>Search</h2><p>Short.</p><section id='related-work'><h2>Others</h2><p>{LONG}</p></section></article>"
+WHOLE = f"A title\n{LONG.strip()}\nSearch\nShort.\nOthers\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (ARTICLE, WHOLE),
+        *((f"<div class='{c}'>{ARTICLE}</div>", WHOLE) for c in ("overflow-hidden", "content-sidebar-wrap", "has-banner", "sidebar", "page hidden")),
+        (f"<form id=aspnetForm><nav><a href=1>Home page</a></nav>{ARTICLE}<footer>{LONG}</footer></form>", WHOLE),
+        (f"<form><h1>{LONG}</h1><p>{LONG * 2}</p><p>{LONG}</p></form>", f"{LONG.strip()}\n{(LONG * 2).strip()}\n{LONG.strip()}"),
+        (f"<aside><main><p>Short.</main></aside><aside>{LONG}</aside>", "Short."),
+        (f"<main><section id=discussion><p>{LONG}</section><div id=comments><article class=comment-body>{LONG}</article></div></main>", LONG.strip()),
+        (f"<div class=content-sidebar-wrap><p>{LONG * 3}</p></div><div class='site-nav'><p>{LONG}</p></div>", (LONG * 3).strip()),
+        (f"<div class=notice><p>{LONG * 8}</p><p><a href=x>{LONG * 8}</a></p></div>", (LONG * 8).strip()),
+        (f"<article><p>Short.<p hidden>{LONG * 8}</p><div class=related><a href=1>One more</a></div></article>", "Short."),
+    ],
+)
+def test_no_article_is_lost_to_names_or_wrappers(page, want):
+    assert main_text(page) == want
+
+
 def test_features_and_tree():
     page = blocks("<nav><a>x y</a></nav><p>one <a>two</a> three four</p><div class=ad>z</div>")
     assert features(page).tolist() == [[2, 1, 0, 0, 4, 0.25, 0, 1, 0], [4, 0.25, 2, 1, 1, 0, 0, 0, 0], [1, 0, 4, 0.25, 0, 0, 0, 0, 1]]
