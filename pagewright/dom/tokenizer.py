@@ -19,15 +19,19 @@ _REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z0-9]+;?)(=?)")
 #: Elements whose content is text up to their end tag; in the second set character references count.
 RAW_TEXT = frozenset({"script", "style", "xmp", "iframe", "noembed", "noframes"})
 ESCAPABLE_RAW_TEXT = frozenset({"title", "textarea"})
+FOREIGN = frozenset({"svg", "math"})
 _raw_ends = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|</{name}\Z", re.I) for name in RAW_TEXT | ESCAPABLE_RAW_TEXT}
 
 START, END, TEXT, COMMENT, DOCTYPE = range(5)
 Token = tuple[int, str, str]
 
 
-def tokens(html: str) -> Iterator[Token]:
-    """(kind, name or text, raw attributes) in order; names in lower case, text decoded, attributes as written."""
-    at, n = 0, len(html)
+def tokens(html: str, foreign: bool = False) -> Iterator[Token]:
+    """(kind, name or text, raw attributes) in order; names in lower case, text decoded, attributes as written.
+
+    With `foreign`, elements like <title/> have no content within svg and math.
+    """
+    at, n, depth = 0, len(html), 0
     while at < n:
         m = _MARKUP.search(html, at)
         if not m:
@@ -39,10 +43,16 @@ def tokens(html: str) -> Iterator[Token]:
         if name := m["name"]:
             name = name.lower()
             if m["end"]:
+                if name in FOREIGN and depth:
+                    depth -= 1
                 yield END, name, ""
                 continue
             yield START, name, m["rest"]
-            if end := _raw_ends.get(name):
+            if foreign and (depth or name in FOREIGN) and m["rest"].endswith("/"):
+                continue
+            if name in FOREIGN:
+                depth += 1
+            elif end := _raw_ends.get(name):
                 close = end.search(html, at)
                 text = html[at : close.start() if close else n]
                 at = close.end() if close else n

@@ -10,7 +10,8 @@ around it, and an element outside of articles that holds one is no furniture; no
 Only comments that are articles by themselves stay marked. Long text with few links outweighs a name.
 
 Nulls: a null or empty page has an empty text. Text is never cut: pages are judged one at a time, so memory follows the
-longest. Scripts, styles, titles, templates and hidden elements give no blocks. Repeated rows get equal texts; an empty table gives no
+longest. Scripts, styles, titles, templates, drawings, fallback content and hidden elements give no blocks; formulas are text. An element
+like these without an end tag ahead hides nothing. Repeated rows get equal texts; an empty table gives no
 rows. Other columns are ignored, whatever their names.
 """
 
@@ -30,12 +31,18 @@ from pagewright.dom.tokenizer import END, START, TEXT, attributes, tokens
 from .common import bounded_batches
 
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtext "
+    "munder munderover semantics annotation annotation-xml".split()
 )
-#: What may stand in a head; anything else ends it.
-HEAD = frozenset("title style script meta link base noscript template".split())
+#: Inline, with a space before.
+SPACED = frozenset({"br", "mtr", "mtd", "annotation", "annotation-xml"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style title template noscript iframe svg canvas object audio video math head datalist noframes noembed".split())
+SILENT = frozenset("script style title template noscript iframe svg canvas object audio video datalist noframes noembed".split())
+#: These end an svg that isn't closed, except in its HTML parts.
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+SVG_HTML = frozenset({"foreignobject", "desc", "title"})
+
 FURNITURE = frozenset("nav aside footer form menu dialog button select textarea fieldset label option".split())
 HINTS = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
@@ -144,15 +151,20 @@ def blocks(html: str) -> list[Block]:
             if m.name in names or not names and not m.inner:
                 m.release()
 
-    silenced = ""
-    for kind, name, raw in tokens(html):
+    silenced, parted = "", 0
+    page = [*tokens(html, foreign=True)]
+    last = {name: i for i, (kind, name, _) in enumerate(page) if kind == END and name in SILENT}
+    for i, (kind, name, raw) in enumerate(page):
         if silent:
-            if name == silenced and kind in (START, END):
-                silent += 1 if kind == START else -1
-            elif silenced == "head" and kind == START and name not in HEAD:
-                silent, silenced = 0, ""
-            if silent or kind == END and silenced:
-                silenced = silenced if silent else ""
+            if silenced == "svg" and kind != TEXT and name in SVG_HTML and not raw.endswith("/"):
+                parted = max(0, parted + (1 if kind == START else -1))
+            if silenced == "svg" and kind == START and name in BREAKS and not parted:
+                silent = 0
+            else:
+                if name == silenced and kind == END:
+                    silent = silent - 1 if i < last[name] else 0
+                elif name == silenced and kind == START and not (name == "svg" and raw.endswith("/")):
+                    silent += 1
                 continue
         if kind == TEXT:
             parts.append(name)
@@ -160,8 +172,9 @@ def blocks(html: str) -> list[Block]:
                 linked += len(name.split())
         elif kind == START:
             if name in SILENT:
-                silent, silenced = 1, name
-            elif name == "br":
+                if last.get(name, -1) > i and not (name == "svg" and raw.endswith("/")):
+                    silent, silenced, parted = 1, name, 0
+            elif name in SPACED:
                 parts.append(" ")
             elif name == "a":
                 links = len(stack) + 1
@@ -192,16 +205,16 @@ def blocks(html: str) -> list[Block]:
         elif kind == END:
             if name == "a":
                 links = 0
-            elif name not in INLINE and name not in VOID:
+            elif name not in INLINE and name not in VOID and name not in SILENT and name not in SPACED:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+                for j in range(len(stack) - 1, -1, -1):
+                    if stack[j][0] == name:
+                        del stack[j:]
                         state()
-                        if links > i + 1:  # opened in what ends here
+                        if links > j + 1:  # opened in what ends here
                             links = 0
                         break
-                    if stack[i][0] in ARTICLE | FURNITURE and name not in ARTICLE | FURNITURE | {"body", "html", "div", "section"}:
+                    if stack[j][0] in ARTICLE | FURNITURE and name not in ARTICLE | FURNITURE | {"body", "html", "div", "section"}:
                         break
     flush()
     return out

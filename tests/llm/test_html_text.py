@@ -67,6 +67,26 @@ def test_no_article_is_lost_to_names_or_wrappers(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>Let <math><mi>x</mi></math> be", "Let x be"),
+        ("<p>Let <math/> be", "Let be"),
+        ("<p>An <svg class=icon /> icon <svg/>", "An icon"),
+        ("<p>An <svg><path/><svg/><title/><style/><text>none</text></svg> icon", "An icon"),
+        ("<p>An <svg><text>none</text><desc><p>none</desc></svg> icon", "An icon"),
+        ("<p>One <svg> two.</p><p>Three.", "One two.\nThree."),
+        ("<p>One <svg><path><p>Two.<p>Three <svg><title>none</title></svg> four.", "One\nTwo.\nThree four."),
+        ("<p>One <svg><svg></svg> two.", "One two."),
+        ("<p>One <canvas> two <object> three <video> four.", "One two three four."),
+        ("<p>One <noscript>none</noscript> two </svg> three.", "One two three."),
+    ],
+)
+def test_silence(page, want):
+    assert main_text(f"<html><head><title>none</title></head><article>{page}</article>") == want
+    assert main_text(f"<html><head><title>none</title><article>{page}</article>") == want
+
+
 def test_features_and_tree():
     page = blocks("<nav><a>x y</a></nav><p>one <a>two</a> three four</p><div class=ad>z</div>")
     assert features(page).tolist() == [[2, 1, 0, 0, 4, 0.25, 0, 1, 0], [4, 0.25, 2, 1, 1, 0, 0, 0, 0], [1, 0, 4, 0.25, 0, 0, 0, 0, 1]]
