@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Sentences and lines with a word of the licensing vocabulary and their short neighbours form candidate blocks. A block is compressed alone and
-with each template as a raw zstandard dictionary; the template that saves most bytes ranks first. The best few are
-confirmed word by word: the differences between the template and the part of the block it matches are counted, and a
-template is found if they are at most `MOST_DIFFERENT` of its words; fewest differences win, then the larger saving.
+Sentences and lines with a word of the licensing vocabulary and their short neighbours form candidate blocks. Every template is
+searched in a block word by word: it is found where words missing from it and words put in between are at most `MOST_DIFFERENT` of its words. Of
+matches that overlap the one with fewest differences stays, then the longest template's, then the one that saves most when its
+text is compressed with the template as a raw zstandard dictionary. What was found is taken out and the rest searched again, so
+that each notice is reported, with its own place.
 
 Nulls: a null or empty text has no blocks. Texts are scanned whole; blocks of over `BLOCK_CHARS` characters are cut between
 sentences, and none is dropped. Repeated rows get equal results; an empty table gives no rows; other columns are ignored,
@@ -16,6 +17,7 @@ import functools
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 VOCABULARY = r"(?i)licen[cs]|copyright|spdx|creative commons|\bCC[ -]BY|redistribut|without warranty|as is\b|permission is hereby|public domain|unencumbered"
-BLOCK_CHARS, RANKED, MOST_DIFFERENT, LEVEL = 6000, 6, 0.12, 6
+BLOCK_CHARS, MOST_DIFFERENT, LEVEL = 6000, 0.12, 6
 APART, SHORT = 3, 100
 
 #: Names and wordings of public licenses, as they stand in notices.
@@ -83,15 +85,53 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class Template(NamedTuple):
+    name: str
+    words: tuple[str, ...]
+    tail: str  # what follows the last word
+    most: int  # differences
+    pieces: list[tuple[int, tuple[str, ...]]]  # one more than differences: a match has one of them word for word
+    compressor: zstandard.ZstdCompressor
+
+
+class Match(NamedTuple):
+    start: int
+    end: int
+    license: str
+    saving: float
+    differences: int
+
+
 @functools.cache
-def _templates() -> list[tuple[str, list[str], zstandard.ZstdCompressor]]:
+def _templates() -> list[Template]:
     out = []
     for name, wording in TEMPLATES:
         known = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append((name, _WORD.findall(wording.lower()), zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False)))
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False)
+        words = tuple(_WORD.findall(wording.lower()))
+        most = int(MOST_DIFFERENT * len(words))
+        cuts = [len(words) * i // (most + 1) for i in range(most + 2)]
+        pieces = [(i, words[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        out.append(Template(name, words, wording[[*_WORD.finditer(wording)][-1].end() :], most, pieces, compressor))
     return out
 
 
+@functools.cache
+def _pieces() -> dict[str, list[tuple[int, int, tuple[str, ...]]]]:
+    """Pieces by their first word: template, place in it, words."""
+    out: dict[str, list[tuple[int, int, tuple[str, ...]]]] = {}
+    for t, template in enumerate(_templates()):
+        for at, words in template.pieces:
+            out.setdefault(words[0], []).append((t, at, words))
+    return out
+
+
+def _saving(text: str, compressor: zstandard.ZstdCompressor) -> float:
+    raw = text.encode("utf-8", "replace")
+    alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(raw))
+    return max(0.0, 1 - len(compressor.compress(raw)) / alone)
+
+
 def differences(block: list[str], template: list[str]) -> int:
     """Words missing from the template's best match in the block, and words put in between.
 
@@ -107,26 +147,79 @@ def differences(block: list[str], template: list[str]) -> int:
     return len(template) - best[1] + (best[1] - best[0])
 
 
+def _align(block: list[str | None], template: tuple[str, ...], most: int) -> list[tuple[int, int, int]]:
+    """(differences, first word, word after the last) of the template's best match for each end in the block, up to `most` differences."""
+    # one row a word of the block; a cell is the least (differences, -start) with so many of the template's words behind
+    above = [(i, 0) for i in range(len(template) + 1)]
+    out = []
+    for j, word in enumerate(block):
+        row = [(0, -(j + 1))]
+        for i, wanted in enumerate(template):
+            a, b = row[i], above[i + 1]
+            cell = (min(a[0], b[0]) + 1, a[1] if a[0] < b[0] else b[1] if b[0] < a[0] else min(a[1], b[1]))
+            row.append(min(cell, above[i]) if word == wanted else cell)
+        n, start = row[-1]
+        if n <= most:
+            out.append((n, -start, j + 1))
+        above = row
+    return out
+
+
+def _search(words: list[str | None]) -> set[tuple[int, int, int, int]]:
+    """(differences, template, first word, word after the last) of all matches in words, overlapping ones too."""
+    seen: dict[int, set[int]] = {}
+    for p, word in enumerate(words):
+        for t, at, piece in _pieces().get(word, ()):
+            if tuple(words[p : p + len(piece)]) == piece:
+                seen.setdefault(t, set()).add(p - at)
+    found = set()
+    for t, starts in seen.items():
+        _, wanted, _, most, _, _ = _templates()[t]
+        size, windows = len(wanted), []
+        for s in sorted(starts):
+            if s >= 0 and tuple(words[s : s + size]) == wanted:
+                found.add((0, t, s, s + size))
+            elif most:
+                first, last = max(0, s - most), min(len(words), s + size + most)
+                if windows and first <= windows[-1][0] + most:
+                    windows[-1][1] = last
+                else:
+                    windows.append([first, last])
+        for first, last in windows:
+            found |= {(n, t, first + a, first + b) for n, a, b in _align(words[first:last], wanted, most)}
+    return found
+
+
 @functools.lru_cache(4096)
+def matches(block: str) -> tuple[Match, ...]:
+    """All notices in a block by place, none over another."""
+    places = [*_WORD.finditer(block)]
+    words: list[str | None] = [m[0].lower() for m in places]
+    out = []
+    taken = True
+    while taken and (found := _search(words)):
+        ranked, taken = [], False
+        for n, t, a, b in found:
+            start, end = places[a].start(), places[b - 1].end()
+            end += len(_templates()[t].tail) * block.startswith(_templates()[t].tail, end)
+            if None not in words[a:b]:
+                ranked.append((n, -len(_templates()[t].words), -_saving(block[start:end], _templates()[t].compressor), _templates()[t].name, a, b, start, end))
+        for n, _, saving, name, a, b, start, end in sorted(ranked):
+            if None not in words[a:b]:
+                words[a:b] = [None] * (b - a)
+                out.append(Match(start, end, name, -saving, n))
+                taken = True
+    return tuple(sorted(out))
+
+
 def identify(block: str) -> tuple[str, float, int] | None:
-    """(license, saving from 0 to 1, differences) of the template that a block contains."""
-    raw = block.encode("utf-8", "replace")
-    alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(raw))
-    ranked = sorted(((1 - len(c.compress(raw)) / alone, i) for i, (_, _, c) in enumerate(_templates())), key=lambda x: (-x[0], x[1]))
-    words, best = _WORD.findall(block.lower()), []
-    for saving, i in ranked[:RANKED]:
-        name, template, _ = _templates()[i]
-        n = differences(words, template)
-        if n <= MOST_DIFFERENT * len(template):
-            best.append((n, -len(template), -saving, name))
-    if not best:
-        return None
-    n, _, saving, name = min(best)
-    return name, max(0.0, -saving), n
+    """(license, saving from 0 to 1, differences) of the notice with fewest differences in a block."""
+    best = min(matches(block), key=lambda m: (m.differences, m.start - m.end, -m.saving), default=None)
+    return best and (best.license, best.saving, best.differences)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_blocks, found) of every document; found has start, end, license, saving and differences of each block with a license."""
+    """(doc_id, n_blocks, found) of every document; found has start, end, license, saving and differences of each notice."""
     bounded_batches(docs.sparkSession)
     kept = F.when(F.col(text_col).rlike(VOCABULARY), F.col(text_col))  # else the text needn't leave the JVM
     slim = docs.select(F.col(id_col).alias("doc_id"), kept.alias("text"))
@@ -139,8 +232,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 text = text.as_py() or ""
                 spans = candidates(text)
                 counts.append(len(spans))
-                named = ((s, e, identify(text[s:e])) for s, e in spans)
-                found.append([{"start": s, "end": e, "license": r[0], "saving": r[1], "differences": r[2]} for s, e, r in named if r])
+                found.append([m._asdict() | {"start": s + m.start, "end": s + m.end} for s, e in spans for m in matches(text[s:e])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], ["doc_id", "n_blocks", "found"])
 
     schema = slim.select("doc_id", F.lit(0).cast("long").alias("n_blocks"), F.array().cast("array<struct<start:bigint,end:bigint,license:string,saving:double,differences:bigint>>").alias("found")).schema
@@ -148,6 +240,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """One row a document: blocks, blocks with a license, the licenses' names, and the differences in all."""
+    """One row a document: blocks, notices, the licenses' names, and the differences in all."""
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))), ",")
     return found.select("doc_id", "n_blocks", F.size("found").cast("long").alias("n_found"), names.alias("licenses"), F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["differences"]).alias("n_differences"))

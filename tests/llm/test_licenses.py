@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from pagewright.llm.licenses import TEMPLATES, candidates, differences, digest, identify, scan, units
+from pagewright.llm.licenses import TEMPLATES, candidates, differences, digest, identify, matches, scan, units
 from pagewright.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -27,6 +28,50 @@ def test_each_template(name, wording):
     assert (name, 0) in [(r[0], r[2]) for r in found if r]
 
 
+def test_every_notice_of_a_block(spark):
+    pair = "Code: Licensed under the MIT License. Text: Licensed under CC BY 4.0."
+    lines = [x for x in TEMPLATES if x[0] != "MPL-2.0"]
+    listed = "\n".join(f"lib{i}: {wording}" for i, (_, wording) in enumerate(lines))
+    twice = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. " * 2
+    rows = [(1, pair), (2, listed), (3, twice), (4, listed[::-1])]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(pair[x.start : x.end], x.license, x.differences) for x in got[1].found] == [("Licensed under the MIT License.", "MIT", 0), ("Licensed under CC BY 4.0.", "CC-BY-4.0", 0)]
+    assert [(listed[x.start : x.end], x.license) for x in got[2].found] == [(wording, name) for name, wording in lines]
+    assert [x.license for x in got[3].found] == ["CC-BY-NC-4.0"] * 2
+    assert got[4].found == []
+
+
+def words_apart(block, template):
+    """Brute force: the least number of words missing and put in, over all parts of the block."""
+    best = len(template)
+    for s in range(len(block)):
+        row = [*range(len(template) + 1)]
+        for j, word in enumerate(block[s:]):
+            above, row = row, [j + 1]
+            for i, wanted in enumerate(template):
+                row.append(min(row[i] + 1, above[i + 1] + 1, above[i] if word == wanted else 10**9))
+            best = min(best, row[-1])
+    return best
+
+
+def test_matches_against_brute_force():
+    rng = random.Random(5)
+    for name, wording in TEMPLATES:
+        template = re.findall(r"\w+", wording.lower())
+        for changes in range(4 if len(template) > 40 else 3):
+            words = [*template]
+            for _ in range(changes):
+                at = rng.randrange(1, len(words) - 1)
+                words[at : at + rng.randrange(2)] = ["other"] * rng.randrange(2)
+            text = " ".join(["some", "words", *words, "and", "more"])
+            fits = {n for n, w in TEMPLATES if words_apart(text.split(), t := re.findall(r"\w+", w.lower())) <= 0.12 * len(t)}
+            got = {m.license for m in matches(text)}
+            assert got <= fits and bool(got) == bool(fits), text
+            least = words_apart(text.split(), template)
+            if least <= 0.12 * len(template) and fits == {name}:
+                assert min(m.differences for m in matches(text)) <= least
+
+
 def test_wording_differences():
     assert differences("released under the MIT license".lower().split(), "released under the mit license".split()) == 0
     assert differences("x released under a mit license y".split(), "released under the mit license".split()) == 2
