@@ -1,13 +1,13 @@
 """License scans by conditional compression.
 
-Sentences and lines with a word of the licensing vocabulary and their short neighbours form candidate blocks. Every template is
-searched in a block word by word: it is found where words missing from it and words put in between are at most `MOST_DIFFERENT` of its words. Of
+Sentences and lines with a word of the licensing vocabulary and their neighbours form candidate blocks, across line ends and blank
+lines. In a text with blocks every template is searched word by word, over the whole text, so that no block's bound cuts a notice: it is found where words missing from it and words put in between are at most `MOST_DIFFERENT` of its words. Of
 matches that overlap the one with fewest differences stays, then the longest template's, then the one that saves most when its
 text is compressed with the template as a raw zstandard dictionary. What was found is taken out and the rest searched again, so
 that each notice is reported, with its own place.
 
 Nulls: a null or empty text has no blocks. Texts are scanned whole; blocks of over `BLOCK_CHARS` characters are cut between
-sentences, and none is dropped. Repeated rows get equal results; an empty table gives no rows; other columns are ignored,
+sentences and overlap, and none is dropped. Repeated rows get equal results; an empty table gives no rows; other columns are ignored,
 whatever their names.
 """
 
@@ -28,7 +28,8 @@ from .common import bounded_batches
 
 VOCABULARY = r"(?i)licen[cs]|copyright|spdx|creative commons|\bCC[ -]BY|redistribut|without warranty|as is\b|permission is hereby|public domain|unencumbered"
 BLOCK_CHARS, MOST_DIFFERENT, LEVEL = 6000, 0.12, 6
-APART, SHORT = 3, 100
+#: Neighbours of a keyed unit: so many of at most so many characters, and all within this many characters, more than the longest wording has.
+APART, SHORT, REACH = 3, 100, 800
 
 #: Names and wordings of public licenses, as they stand in notices.
 TEMPLATES = [
@@ -64,24 +65,26 @@ def units(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the blocks: keyed units up to `APART` others apart, with as many short ones around them."""
+    """(start, end) of the blocks: keyed units with up to `APART` short ones and all others within `REACH` around them; those that touch are one."""
     if not _KEY.search(text):
         return []
     spans = [*units(text)]
     out: list[tuple[int, int]] = []
+    until = -1  # last unit of the last block
     for i, (s, e) in enumerate(spans):
         if not _KEY.search(text, s, e):
             continue
         first, last = i, i
-        while first > max(0, i - APART) and spans[first - 1][1] - spans[first - 1][0] <= SHORT:
+        while first and (s - spans[first - 1][0] <= REACH or first > i - APART and spans[first - 1][1] - spans[first - 1][0] <= SHORT):
             first -= 1
-        while last < min(len(spans) - 1, i + APART) and spans[last + 1][1] - spans[last + 1][0] <= SHORT:
+        while last < len(spans) - 1 and (spans[last + 1][1] - e <= REACH or last < i + APART and spans[last + 1][1] - spans[last + 1][0] <= SHORT):
             last += 1
-        s, e = spans[first][0], spans[last][1]
-        if out and s <= out[-1][1] and e - out[-1][0] <= BLOCK_CHARS:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        start, end = spans[first][0], spans[last][1]
+        if out and first <= until + 1 and end - out[-1][0] <= BLOCK_CHARS:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
-            out.append((s, e))
+            out.append((start, end))
+        until = max(until, last)
     return out
 
 
@@ -190,9 +193,8 @@ def _search(words: list[str | None]) -> set[tuple[int, int, int, int]]:
     return found
 
 
-@functools.lru_cache(4096)
 def matches(block: str) -> tuple[Match, ...]:
-    """All notices in a block by place, none over another."""
+    """All notices in a block or text by place, none over another."""
     places = [*_WORD.finditer(block)]
     words: list[str | None] = [m[0].lower() for m in places]
     out = []
@@ -232,7 +234,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 text = text.as_py() or ""
                 spans = candidates(text)
                 counts.append(len(spans))
-                found.append([m._asdict() | {"start": s + m.start, "end": s + m.end} for s, e in spans for m in matches(text[s:e])])
+                found.append([m._asdict() for m in matches(text)] if spans else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], ["doc_id", "n_blocks", "found"])
 
     schema = slim.select("doc_id", F.lit(0).cast("long").alias("n_blocks"), F.array().cast("array<struct<start:bigint,end:bigint,license:string,saving:double,differences:bigint>>").alias("found")).schema

@@ -28,15 +28,32 @@ def test_each_template(name, wording):
     assert (name, 0) in [(r[0], r[2]) for r in found if r]
 
 
+@pytest.mark.parametrize(("name", "wording"), TEMPLATES)
+@pytest.mark.parametrize("width", [0, 30, 120, 200])
+def test_each_template_in_paragraphs(name, wording, width):
+    """Unwrapped with a blank line after each sentence, or wrapped at any width."""
+    cut = re.sub("(.{%d}[^ ]*) " % width, r"\1\n", wording) if width else re.sub(r"([.:;]) ", r"\1\n\n", wording)
+    text = f"Some story here.\n\n{cut}\n\nAnd the end of it."
+    assert (name, 0) in [(r[0], r[2]) for r in (identify(text[s:e]) for s, e in candidates(text)) if r]
+    assert [(text[m.start : m.end], m.license) for m in matches(text)] == [(cut, name)]
+
+
+def test_no_bound_cuts_a_notice(spark):
+    mit = max((wording for name, wording in TEMPLATES if name == "MIT"), key=len)
+    rows = [(i, "A license. " * (500 + i) + mit + " A license." * 700) for i in range(0, 60, 4)]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(rows[r.doc_id // 4][1][x.start : x.end]) for r in got for x in r.found} == {mit}
+    assert all(len(r.found) == 1 for r in got)
+
+
 def test_every_notice_of_a_block(spark):
     pair = "Code: Licensed under the MIT License. Text: Licensed under CC BY 4.0."
-    lines = [x for x in TEMPLATES if x[0] != "MPL-2.0"]
-    listed = "\n".join(f"lib{i}: {wording}" for i, (_, wording) in enumerate(lines))
+    listed = "\n".join(f"lib{i}: {wording}" for i, (_, wording) in enumerate(TEMPLATES))
     twice = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. " * 2
     rows = [(1, pair), (2, listed), (3, twice), (4, listed[::-1])]
     got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(pair[x.start : x.end], x.license, x.differences) for x in got[1].found] == [("Licensed under the MIT License.", "MIT", 0), ("Licensed under CC BY 4.0.", "CC-BY-4.0", 0)]
-    assert [(listed[x.start : x.end], x.license) for x in got[2].found] == [(wording, name) for name, wording in lines]
+    assert [(listed[x.start : x.end], x.license) for x in got[2].found] == [(wording, name) for name, wording in TEMPLATES]
     assert [x.license for x in got[3].found] == ["CC-BY-NC-4.0"] * 2
     assert got[4].found == []
 
