@@ -468,6 +468,29 @@ def crawl_totals(spark, sf_dir):
     return totals(crawl(_graph(spark, sf_dir), ["https://graph.test/0"], max_pages=10_000, max_depth=4))
 
 
+_REACH = """WITH RECURSIVE reach(n, depth) AS (
+  SELECT 0::BIGINT, 0 UNION SELECT 2 * n + k, depth + 1 FROM reach, (VALUES (1), (2)) k(k) WHERE n IN (SELECT page_id FROM pages))"""
+
+
+def _whole_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of the graph, in which every page also links to page 0: rounds go on until nothing new is linked."""
+    home = F.array(F.lit("https://graph.test/0"))
+    graph = durable(_graph(spark, sf_dir).withColumn("links", F.concat("links", home)), "graph")
+    n = graph.count()  # neither limit can be met
+    return crawl(graph, ["https://graph.test/0"], max_pages=n + 1, max_depth=n + 1)
+
+
+@query(f"""{_REACH} SELECT 'https://graph.test/' || n AS url, depth, CASE WHEN page_id IS NULL THEN 0 ELSE 200 END AS status, coalesce(page_id % 5, 0)::INTEGER AS items
+  FROM reach LEFT JOIN pages ON page_id = n""")
+def crawl_whole(spark, sf_dir):
+    return _whole_crawl(spark, sf_dir).select("url", "depth", "status", "items")
+
+
+@query(f"""{_REACH} SELECT count(page_id) AS pages, sum(page_id % 5)::BIGINT AS items, count(*) - count(page_id) AS errors FROM reach LEFT JOIN pages ON page_id = n""")
+def crawl_whole_totals(spark, sf_dir):
+    return totals(_whole_crawl(spark, sf_dir))
+
+
 @query("""SELECT 'https://graph.test/' || page_id AS source, 'https://graph.test/' || t AS target, position FROM pages,
   LATERAL (SELECT unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 2]) AS t, unnest([0, 1, 2]) AS position)""")
 def link_graph(spark, sf_dir):
