@@ -166,6 +166,13 @@ def accessibility_roles(spark, sf_dir):
     return found.groupBy(F.col("a.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def all_accessibility_roles(spark, sf_dir):
+    """Every role, paragraphs too; no SQL counts what the tree builder implies."""
+    found = P.each(P.with_view(_pages(spark, sf_dir), "a", "ax_nodes"), "a")
+    return found.groupBy(F.col("a.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def aria_snapshots(spark, sf_dir):
     return P.with_views(_pages(spark, sf_dir), {"snapshot": "aria_snapshot", "tree": "ax"}).select("page_id", "snapshot", "tree")
@@ -229,6 +236,13 @@ def tag_counts(spark, sf_dir):
     return found.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def all_tag_counts(spark, sf_dir):
+    """Every element of every page, those without a tag in the source too."""
+    found = P.nodes(_pages(spark, sf_dir)).where("kind = 1")
+    return found.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT page_id, len({_HREFS}) AS n_links FROM pages")
 def locate_by_role(spark, sf_dir):
     return P.with_view(_pages(spark, sf_dir), "m", P.locate_view("role", "link", scope="nav")).select("page_id", F.size("m").cast("long").alias("n_links"))
