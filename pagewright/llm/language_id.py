@@ -29,6 +29,8 @@ ORDERS = (1, 2, 3)
 ALPHA = 0.1
 CHUNK = 1 << 19
 UNKNOWN = "und"
+#: Texts of fewer characters are too short for a low score to say anything.
+TELLING = 20
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters: list[np.ndarray] = []
@@ -143,18 +145,26 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     return Model(languages, counts[seen], np.array([sizes[x] for x in languages], float))
 
 
+def stays(text: str | None, name: str, score: float, least: float, known: bool) -> bool:
+    """Whether a text is kept: with a letter, and not of `TELLING` characters with a score below `least`; if no language is known, any with a letter."""
+    if name == UNKNOWN:
+        return not known and any(map(str.isalpha, text or ""))
+    return score >= least or len(text) < TELLING
+
+
 def classify(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
-    """`docs` with lang_pred and score; given `least`, only identified documents with that score."""
+    """`docs` with lang_pred and score; given `least`, only documents that stay."""
     docs = docs.drop("lang_pred", "score")
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIM
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(batch.schema.get_field_index(text_col)))
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            names, scores = shared.value.predict(texts)
             out = batch.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores))
             if least is not None:
-                out = out.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+                out = out.filter(pa.array([stays(t.as_py(), n, s, least, bool(shared.value.languages)) for t, n, s in zip(texts, names, scores, strict=True)], pa.bool_()))
             yield out
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -172,7 +182,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return classify(docs.withColumn("held_out", held_out(id_col)), model)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """Documents in a language that the model knows; those without letters go."""
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Documents in a language that the model knows.
+
+    Those without letters go, and those of `TELLING` characters of which no language is likelier than all others together (a score
+    below `least`). Shorter ones stay, and all with letters where nothing could be learned.
+    """
     model = train(docs.where(~held_out()))
     return classify(docs, model, least=least).select(*docs.columns)

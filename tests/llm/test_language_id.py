@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from pagewright.llm.language_id import DIM, Model, buckets, classify, identify, keep_identified, train
+from pagewright.llm.language_id import DIM, TELLING, Model, buckets, classify, identify, keep_identified, stays, train
 from pagewright.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -71,3 +71,18 @@ def test_edges(spark):
     empty = frame.limit(0)
     assert identify(empty).collect() == []
     assert [r.lang_pred for r in classify(frame, train(empty)).collect()] == ["und"] * len(rows)
+
+
+def test_what_the_stage_keeps(spark):
+    unlabelled = [(1, "the house", None), (2, "ok", None), (3, "12 34 !", None), (4, "", None), (5, None, None), (6, "𝔘", None)]
+    frame = spark.createDataFrame(unlabelled, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in keep_identified(frame).collect()} == {1, 2, 6}
+    labelled = [(i, t, x) for i in range(100, 130) for t, x in (("the house and the garden", "en"), ("das Haus und der Garten", "de"), ("la casa y el jardin", "es"))]
+    short = [(i, t, None) for i, t in enumerate(("a", "El.", "the", "Haus", "n", "ok x"))]
+    kept = keep_identified(spark.createDataFrame([*labelled, *short, (99, "?!", None)], "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in kept.collect()} == {*range(6), *range(100, 130)}
+    long = "x" * TELLING
+    assert [stays(long, "en", s, 0.5, True) for s in (0.49, 0.5)] == [False, True] and stays(long[1:], "en", 0.1, 0.5, True)
+    split = Model(["a", "b", "c"], np.ones((3, DIM)), np.ones(3))
+    frame = spark.createDataFrame([(1, long), (2, "x")], "doc_id long, text string")
+    assert [r.doc_id for r in classify(frame, split, least=0.5).collect()] == [2]
