@@ -1,13 +1,16 @@
 """Main text of web pages: flat blocks and a decision tree.
 
-A page is cut into blocks of text at its block-level tags. Each has shallow features: words, link density (share of words
-in links), both of the block before and after, whether it lies in an article, in an element of page furniture (nav, aside,
-footer, form ...), or in an element whose class, id or role names such a thing. A decision tree (Gini, grown here) learns
-from the small labelled table below which blocks are main text. Their texts, white space collapsed, are joined by newlines.
+A page is cut into blocks of text at its block-level tags. Structure does two things only. It bounds the blocks, and it leaves out what
+is no article by its own tag or name: navigation, page headers, footers, asides, forms and controls, adverts, consent,
+subscription and sharing boxes, and reader comments. A decision tree (Gini, grown here) decides on all other blocks by their shallow features: words,
+link density (share of words in links), both of the block before and of the block after, whether the block is a heading, stands in an
+article, in an element with a name that may be furniture's (notice, sidebar, related ...), or is worded like a copyright line or consent
+notice, or has no letter or digit. It learns from a small labelled table of blocks in page order, of pages of several kinds. The kept blocks' texts, white
+space collapsed, are joined by newlines.
 
 A name counts as a whole: 'sidebar' or 'site-nav', not 'content-sidebar-wrap'. An article or main element is free of what lies
 around it, and an element outside of articles that holds one is no furniture; nor is a form that holds parts of a page or long text.
-Only comments that are articles by themselves stay marked. Long text with few links outweighs a name.
+Comments stay comments, also where they are articles by themselves. Long text with few links outweighs a name of the weaker kind.
 
 Nulls: a null or empty page has an empty text. Text is never cut: pages are judged one at a time, so memory follows the
 longest. Scripts, styles, titles, templates, drawings, fallback content and hidden elements give no blocks; formulas are text. An element
@@ -43,11 +46,18 @@ SILENT = frozenset("script style title template noscript iframe svg canvas objec
 BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SVG_HTML = frozenset({"foreignobject", "desc", "title"})
 
-FURNITURE = frozenset("nav aside footer form menu dialog button select textarea fieldset label option".split())
-HINTS = frozenset(
-    "ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations sidebar menu nav navigation navbar breadcrumb breadcrumbs comment comments respond reply "
-    "replies discussion disqus widget toolbar pagination pager search complementary contentinfo dialog hidden".split()
+FURNITURE = frozenset("nav aside footer form menu dialog button select textarea option".split())
+#: Furniture in a form; elsewhere their text is text.
+FORM_PARTS = frozenset({"fieldset", "label"})
+COMMENTS = frozenset("comment comments reply replies respond disqus reviews kommentar kommentare commentaire commentaires comentario comentarios".split())
+#: Names of what is never article text.
+FIRM = COMMENTS | frozenset(
+    "ad ads advert advertisement adverts sponsor sponsored anzeige werbung publicite publicidad cookie cookies consent gdpr newsletter subscribe subscription signup login "
+    "share sharing menu nav navigation navbar breadcrumb breadcrumbs pagination pager contentinfo".split()
+)
+#: Names that long text with few links outweighs.
+HINTS = FIRM | frozenset(
+    "promo promotion banner notice notices alert popup modal overlay social related recommended recommendations sidebar discussion widget toolbar search complementary dialog hidden".split()
 )
 #: These name page furniture outside an article only.
 OUTER_HINTS = frozenset({"header", "footer", "masthead"})
@@ -57,8 +67,7 @@ BESIDE = frozenset(
     "item items section container wrapper inner form body icons panel title side sticky footer header thread count meta".split()
 )
 #: Ids of sections, and all in an article, are often made from a heading; only these don't name a subject.
-PLAIN_IDS = frozenset("ad ads adverts newsletter subscribe share sharing sidebar nav navbar breadcrumb breadcrumbs comment comments respond replies disqus widget toolbar pagination pager modal popup".split())
-COMMENTS = frozenset({"comment", "comments", "reply", "replies", "respond"})
+PLAIN_IDS = COMMENTS - {"comment", "reply"} | frozenset("ad ads adverts newsletter subscribe share sharing sidebar nav navbar breadcrumb breadcrumbs widget toolbar pagination pager modal popup".split())
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 ARTICLE = frozenset({"article", "main"})
 #: A form with one of these is the page's.
@@ -67,38 +76,47 @@ PAGE_PARTS = ARTICLE | {"nav", "header", "footer", "aside", "h1"}
 LONG_WORDS, FEW_LINKS = 80, 0.25
 CLOSERS = {"li": "li", "p": "p", "dt": "dt", "dd": "dd", "td": "td", "th": "td", "tr": "tr", "option": "option"}
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "furniture", "hinted")
+#: Of a block by itself; the first two also of its neighbours.
+OWN = ("words", "link_density", "heading", "article", "hinted", "legal")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "in_article", "hinted", "legal")
 
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
+_LEGAL = re.compile(
+    r"^[\W_]*$|^\W*(?:©|\(c\)|copyright\b)|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|"
+    r"\b(?:we|site|website) uses? cookies\b|\bverwende[nt] (?:wir )?cookies\b|\b(?:utilise|utilisons|utiliza|utilizamos) (?:des )?cookies\b",
+    re.I,
+)
+
+
+class Mark:
+    """What an element says of the blocks in it, until something in it speaks against that."""
+
+    __slots__ = ("name", "inner", "furniture", "hinted", "comments")
+
+    def __init__(self, name: str, inner: bool, furniture: bool, hinted: bool, comments: bool = False):
+        self.name, self.inner, self.furniture, self.hinted, self.comments = name, inner, furniture, hinted, comments
+
+    def release(self) -> None:
+        self.furniture = self.hinted = False
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "article", "marks")
+    __slots__ = ("text", "words", "linked", "heading", "article", "marks", "legal")
 
-    def __init__(self, text: str, linked: int, article: bool, marks: tuple[Mark, ...]):
+    def __init__(self, text: str, linked: int, heading: bool, article: bool, marks: tuple[Mark, ...]):
         self.text, self.words, self.linked = text, text.count(" ") + 1, linked
-        self.article, self.marks = article, marks
+        self.heading, self.article, self.marks = heading, article, marks
+        self.legal = not article and bool(_LEGAL.search(text))
 
     @property
     def furniture(self) -> bool:
         return any(m.furniture for m in self.marks)
 
     @property
-    def hinted(self) -> bool:
-        return any(m.hinted for m in self.marks)
-
-
-class Mark:
-    """What an element says of the blocks in it, until something in it speaks against that."""
-
-    __slots__ = ("name", "inner", "furniture", "hinted")
-
-    def __init__(self, name: str, inner: bool, furniture: bool, hinted: bool):
-        self.name, self.inner, self.furniture, self.hinted = name, inner, furniture, hinted
-
-    def release(self) -> None:
-        self.furniture = self.hinted = False
+    def own(self) -> tuple[float, ...]:
+        """The features `OWN`."""
+        return self.words, min(1.0, self.linked / self.words), self.heading, self.article, any(m.hinted for m in self.marks), self.legal
 
 
 def _hidden(own: dict[str, str]) -> bool:
@@ -114,13 +132,14 @@ def _named(token: str, hints: frozenset[str]) -> bool:
     return not hints.isdisjoint(words) and all(w in hints or w in BESIDE for w in words)
 
 
-def _hinted(name: str, own: dict[str, str], inner: bool) -> bool:
-    hints = HINTS if inner else HINTS | OUTER_HINTS
-    if any(_named(token, hints) for key in ("class", "role") for token in own.get(key, "").split()):
+def _hits(name: str, own: dict[str, str], inner: bool, hints: frozenset[str]) -> bool:
+    """Whether classes, roles or the id of an element name one of the hints."""
+    outer = hints if inner else hints | OUTER_HINTS
+    if any(_named(token, outer) for key in ("class", "role") for token in own.get(key, "").split()):
         return True
     if name in HEADINGS or not (token := own.get("id", "").strip()):
         return False
-    return _named(token, PLAIN_IDS if inner or name == "section" else hints)
+    return _named(token, hints & PLAIN_IDS if inner or name == "section" else outer)
 
 
 def blocks(html: str) -> list[Block]:
@@ -136,7 +155,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         if parts:
             if not hidden and (text := _SPACE.sub(" ", "".join(parts)).strip()):
-                out.append(b := Block(text, linked, article, marks))
+                out.append(b := Block(text, linked, bool(stack) and stack[-1][0] in HEADINGS, article, marks))
                 if marks and b.words >= LONG_WORDS and linked <= FEW_LINKS * b.words:
                     release(("form",))
             parts.clear()
@@ -148,7 +167,7 @@ def blocks(html: str) -> list[Block]:
 
     def release(names: tuple[str, ...] = ()) -> None:
         for m in marks:
-            if m.name in names or not names and not m.inner:
+            if m.name in names or not names and not m.inner and not m.comments:
                 m.release()
 
     silenced, parted = "", 0
@@ -191,15 +210,18 @@ def blocks(html: str) -> list[Block]:
                     release(("form",))
                 own = attributes(raw)
                 if name in ARTICLE:
-                    if not marks or not any(_named(token, COMMENTS) for token in own.get("class", "").split()):
+                    if any(m.comments for m in marks) or any(_named(token, COMMENTS) for token in own.get("class", "").split()):
+                        stack.append((name, True, hidden, (*marks, Mark(name, True, True, True, True))))
+                    else:
                         release()
                         stack.append((name, True, False, ()))
-                    else:
-                        stack.append((name, True, hidden, marks))
                 elif name in ("html", "body"):
                     stack.append((name, article, hidden, marks))
                 else:
-                    mark = Mark(name, article, name in FURNITURE or name == "header" and not article, bool(own) and _hinted(name, own, article))
+                    hinted = bool(own) and _hits(name, own, article, HINTS)
+                    firm = hinted and _hits(name, own, article, FIRM)
+                    apart = name in FURNITURE or name == "header" and not article or name in FORM_PARTS and any(x[0] == "form" for x in stack)
+                    mark = Mark(name, article, apart or firm, hinted, firm and _hits(name, own, article, COMMENTS))
                     stack.append((name, article, hidden or bool(own) and _hidden(own), (*marks, mark) if mark.furniture or mark.hinted else marks))
                 state()
         elif kind == END:
@@ -220,57 +242,91 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """One row a block."""
-    words = np.array([b.words for b in page], float)
-    density = np.array([min(1.0, b.linked / b.words) for b in page])
-    rows = [words, density]
-    for shift in (1, -1):
-        for x in (words, density):
-            moved = np.zeros(len(page))
-            if len(page) > 1:
-                if shift == 1:
-                    moved[1:] = x[:-1]
-                else:
-                    moved[:-1] = x[1:]
-            rows.append(moved)
-    rows += [np.array([getattr(b, k) for b in page], float) for k in ("article", "furniture", "hinted")]
-    return np.stack(rows, 1).reshape(len(page), len(FEATURES))
-
-
-#: Labelled blocks: the features above, then 1 for main text. Without an article element, in the upper half, length and links decide.
-LABELLED = np.array([
-    [1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0], [2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0], [3, 1.0, 2, 1.0, 8, 0.0, 0, 0, 0, 0], [4, 0.5, 3, 1.0, 40, 0.0, 0, 0, 0, 0],
-    [7, 0.0, 3, 1.0, 45, 0.0, 0, 0, 0, 1], [6, 0.0, 0, 0.0, 60, 0.02, 0, 0, 0, 1], [45, 0.0, 7, 0.0, 60, 0.0, 0, 0, 0, 1], [60, 0.05, 45, 0.0, 30, 0.0, 0, 0, 0, 1],
-    [30, 0.0, 60, 0.1, 12, 0.0, 0, 0, 0, 1], [12, 0.0, 30, 0.0, 50, 0.0, 0, 0, 0, 1], [90, 0.1, 12, 0.0, 4, 1.0, 0, 0, 0, 1], [18, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 1],
-    [5, 0.8, 90, 0.0, 2, 1.0, 0, 0, 0, 0], [3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0], [4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0], [25, 0.9, 40, 0.0, 20, 0.9, 0, 0, 0, 0],
-    [30, 0.7, 5, 1.0, 5, 1.0, 0, 0, 0, 0], [2, 0.0, 0, 0.0, 2, 0.0, 0, 0, 0, 0], [3, 0.0, 2, 0.0, 1, 1.0, 0, 0, 0, 0], [9, 0.0, 2, 0.0, 1, 1.0, 0, 0, 0, 1],
-    [25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1], [14, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1], [150, 0.02, 10, 0.0, 80, 0.0, 0, 0, 0, 1], [22, 0.2, 50, 0.0, 40, 0.0, 0, 0, 0, 1],
-    [8, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 1], [3, 0.0, 55, 0.0, 60, 0.0, 0, 0, 0, 1], [5, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1], [6, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 1],
-    [5, 0.0, 4, 1.0, 30, 0.0, 1, 0, 0, 1], [1, 0.0, 0, 0.0, 9, 0.0, 1, 0, 0, 1], [9, 0.0, 1, 0.0, 2, 0.0, 1, 0, 0, 1], [2, 0.0, 9, 0.0, 14, 0.0, 1, 0, 0, 1],
-    [120, 0.0, 9, 0.0, 3, 0.0, 1, 0, 0, 1], [3, 0.0, 120, 0.0, 16, 0.0, 1, 0, 0, 1], [40, 0.3, 3, 0.0, 8, 0.0, 1, 0, 0, 1], [6, 1.0, 40, 0.0, 30, 0.0, 1, 0, 0, 1],
-    [12, 0.6, 30, 0.0, 25, 0.0, 1, 0, 0, 1], [1, 0.0, 30, 0.0, 16, 0.0, 1, 0, 0, 1], [4, 0.0, 14, 1.0, 16, 0.0, 1, 0, 0, 1], [2, 1.0, 20, 0.0, 2, 1.0, 1, 0, 0, 1],
-    [2, 0.0, 50, 0.0, 1, 1.0, 1, 0, 0, 1], [4, 0.0, 16, 0.0, 2, 0.0, 1, 0, 0, 1], [1, 0.0, 9, 0.0, 0, 0.0, 1, 0, 0, 1], [3, 0.0, 4, 0.0, 1, 1.0, 1, 0, 0, 1],
-    [1, 1.0, 9, 0.0, 0, 0.0, 1, 0, 0, 1], [6, 0.0, 30, 0.1, 1, 0.0, 1, 0, 0, 1], [5, 1.0, 2, 0.0, 2, 0.0, 1, 0, 0, 1], [2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1],
-    [3, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1], [1, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1], [2, 0.5, 2, 1.0, 1, 0.0, 1, 0, 0, 1], [25, 0.8, 3, 0.0, 2, 0.0, 1, 0, 0, 1],
-    [9, 0.7, 1, 0.0, 3, 0.5, 1, 0, 0, 1], [3, 0.0, 3, 1.0, 4, 0.0, 1, 0, 0, 1], [2, 0.0, 2, 0.0, 2, 0.0, 1, 0, 0, 1], [4, 0.9, 0, 0.0, 5, 0.0, 1, 0, 0, 1],
-    [30, 1.0, 30, 1.0, 30, 1.0, 1, 0, 0, 1], [1, 0.0, 2, 1.0, 1, 1.0, 1, 0, 0, 1], [4, 1.0, 2, 0.0, 6, 0.0, 1, 0, 0, 1], [7, 0.6, 1, 1.0, 1, 1.0, 1, 0, 0, 1],
-    [3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0], [1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 0], [4, 1.0, 30, 0.0, 30, 0.0, 0, 0, 0, 0], [2, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 0],
-    [1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0], [2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0], [14, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0], [25, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0],
-    [8, 0.0, 2, 1.0, 30, 0.0, 0, 1, 0, 0], [60, 0.0, 12, 0.0, 3, 1.0, 0, 1, 0, 0], [30, 0.1, 50, 0.0, 10, 0.0, 1, 1, 0, 0], [3, 0.0, 25, 0.0, 1, 0.0, 1, 1, 0, 0],
-    [2, 1.0, 60, 0.0, 4, 1.0, 1, 1, 0, 0], [20, 0.0, 60, 0.0, 45, 0.0, 1, 1, 0, 0], [5, 0.0, 1, 1.0, 12, 0.0, 0, 0, 1, 0], [14, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1, 0],
-    [40, 0.0, 2, 1.0, 8, 0.0, 0, 0, 1, 0], [70, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1, 0], [25, 0.0, 70, 0.0, 3, 0.0, 1, 0, 1, 0], [3, 1.0, 25, 0.0, 3, 1.0, 1, 0, 1, 0],
-    [9, 0.0, 40, 0.0, 60, 0.0, 1, 0, 1, 0], [55, 0.0, 3, 0.0, 40, 0.0, 1, 0, 1, 0], [18, 0.0, 4, 0.0, 3, 0.0, 0, 1, 1, 0], [30, 0.0, 8, 0.0, 9, 0.0, 1, 1, 1, 0],
-    [90, 0.0, 6, 0.0, 110, 0.0, 0, 0, 1, 1], [110, 0.05, 90, 0.0, 20, 0.0, 0, 0, 1, 1], [200, 0.1, 3, 1.0, 2, 1.0, 0, 0, 1, 1], [95, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1],
-    [90, 0.1, 40, 0.0, 30, 0.0, 1, 0, 1, 1], [140, 0.0, 5, 0.0, 120, 0.0, 1, 0, 1, 1], [120, 0.4, 2, 1.0, 5, 1.0, 0, 0, 1, 0], [100, 0.9, 3, 0.0, 90, 0.0, 0, 0, 1, 0],
-    [90, 0.5, 30, 0.0, 4, 1.0, 1, 0, 1, 0], [120, 0.0, 4, 1.0, 3, 1.0, 0, 1, 0, 0], [100, 0.05, 60, 0.0, 0, 0.0, 0, 1, 1, 0], [130, 0.0, 9, 0.0, 20, 0.0, 1, 1, 1, 0],
-])
+def features(own: np.ndarray) -> np.ndarray:
+    """Rows of `FEATURES` for the rows of `OWN` of one page's blocks."""
+    before, after = np.zeros((len(own), 2)), np.zeros((len(own), 2))
+    before[1:], after[:-1] = own[:-1, :2], own[1:, :2]
+    return np.concatenate([own[:, :2], before, after, own[:, 2:]], 1)
+
+
+#: The labelled table: the blocks of a page in order, each with its `OWN` features and 1 for main text.
+LABELLED = [
+    # a news page without an article element: logo, menu, headline, byline, text, a list of other stories, copyright line
+    [
+        (2, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0), (7, 0.0, 1, 0, 0, 0, 1), (5, 0.2, 0, 0, 0, 0, 1), (45, 0.0, 0, 0, 0, 0, 1),
+        (60, 0.05, 0, 0, 0, 0, 1), (12, 0.0, 0, 0, 0, 0, 1), (90, 0.1, 0, 0, 0, 0, 1), (18, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 1, 0, 0, 0, 0), (6, 1.0, 0, 0, 0, 0, 0), (8, 1.0, 0, 0, 0, 0, 0), (5, 1.0, 0, 0, 0, 0, 0), (14, 0.0, 0, 0, 0, 1, 0),
+    ],
+    # a blog in plain blocks, with a menu below
+    [
+        (3, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 1, 0, 0, 0, 1), (3, 0.0, 0, 0, 0, 0, 1), (4, 1.0, 0, 0, 0, 0, 1), (25, 0.2, 0, 0, 0, 0, 1),
+        (8, 0.6, 0, 0, 0, 0, 1), (40, 0.0, 0, 0, 0, 0, 1), (1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0), (30, 0.1, 0, 0, 0, 1, 0),
+    ],
+    # an article between a menu and an advert, with short paragraphs, link lines of its own and a list of nothing but links
+    [
+        (1, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 0, 0, 1, 0, 0), (5, 1.0, 1, 1, 0, 0, 1), (1, 0.0, 0, 1, 0, 0, 1), (1, 0.0, 0, 1, 0, 0, 1), (120, 0.0, 0, 1, 0, 0, 1), (6, 1.0, 0, 1, 0, 0, 1), (3, 0.0, 1, 1, 0, 0, 1),
+        (40, 0.3, 0, 1, 0, 0, 1), (2, 1.0, 0, 1, 0, 0, 1), (12, 0.6, 0, 1, 0, 0, 1), (2, 0.0, 1, 1, 0, 0, 1), (25, 0.8, 0, 1, 0, 0, 1), (9, 0.0, 0, 1, 0, 0, 1), (3, 1.0, 0, 1, 0, 0, 0), (2, 1.0, 0, 1, 0, 0, 0), (1, 1.0, 0, 1, 0, 0, 0), (4, 1.0, 0, 1, 0, 0, 0),
+        (2, 1.0, 0, 1, 0, 0, 0), (3, 1.0, 0, 1, 0, 0, 0), (2, 0.0, 0, 1, 0, 0, 1),
+    ],
+    [
+        (2, 1.0, 0, 0, 0, 0, 0), (8, 1.0, 1, 1, 0, 0, 1), (9, 1.0, 0, 1, 0, 0, 1), (30, 0.1, 0, 1, 0, 0, 1), (1, 1.0, 0, 1, 0, 0, 1), (55, 0.0, 0, 1, 0, 0, 1), (30, 0.9, 0, 1, 0, 0, 1), (20, 0.4, 0, 1, 0, 0, 1), (3, 0.7, 0, 1, 0, 0, 1),
+        (70, 0.2, 0, 1, 0, 0, 1), (8, 1.0, 0, 1, 0, 0, 0), (7, 1.0, 0, 1, 0, 0, 0), (9, 1.0, 0, 1, 0, 0, 0), (4, 0.0, 1, 1, 0, 0, 1), (4, 0.9, 0, 1, 0, 0, 1), (15, 0.0, 0, 1, 0, 0, 1), (1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0),
+    ],
+    # articles of few words between menus
+    [(1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0), (1, 0.0, 0, 1, 0, 0, 1), (1, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0)],
+    [(1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 1, 1, 0, 0, 1), (6, 0.0, 1, 1, 0, 0, 1), (9, 0.0, 0, 1, 0, 0, 1), (1, 1.0, 0, 0, 0, 0, 0)],
+    # a start page: links with headings and counts between them
+    [
+        (2, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 1, 0, 0, 0, 0), (25, 0.9, 0, 0, 0, 0, 0), (20, 0.9, 0, 0, 0, 0, 0), (3, 0.0, 0, 0, 0, 0, 0), (30, 0.7, 0, 0, 0, 0, 0), (5, 1.0, 0, 0, 0, 0, 0),
+        (4, 0.5, 0, 0, 0, 0, 0), (6, 1.0, 0, 0, 0, 0, 0), (120, 1.0, 0, 0, 0, 0, 0), (3, 0.8, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0),
+    ],
+    # documentation: boxes whose names may be furniture's, long texts among them
+    [
+        (1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 1, 0, 0, 0, 1), (70, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0, 1, 0, 0), (55, 0.0, 0, 0, 1, 0, 0), (110, 0.05, 0, 0, 1, 0, 1), (90, 0.0, 0, 0, 1, 0, 1), (30, 0.0, 0, 0, 0, 0, 1),
+        (70, 0.0, 0, 0, 1, 0, 0), (120, 0.4, 0, 0, 1, 0, 0), (3, 1.0, 0, 0, 1, 0, 0), (22, 0.0, 0, 0, 0, 0, 1), (140, 0.02, 0, 0, 1, 0, 1),
+    ],
+    [
+        (6, 0.0, 1, 1, 0, 0, 1), (80, 0.0, 0, 1, 0, 0, 1), (4, 0.0, 1, 1, 1, 0, 0), (20, 0.5, 0, 1, 1, 0, 0), (40, 0.0, 0, 1, 1, 0, 0), (95, 0.0, 0, 1, 1, 0, 1), (130, 0.1, 0, 1, 1, 0, 1), (100, 0.9, 0, 1, 1, 0, 0), (15, 0.0, 0, 1, 0, 0, 1),
+        (60, 0.0, 0, 1, 1, 0, 0), (3, 0.0, 0, 1, 1, 0, 0),
+    ],
+    # an essay in plain blocks, with link lines in it
+    [
+        (1, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 0, 0, 0, 0, 0), (8, 0.0, 1, 0, 0, 0, 1), (40, 0.0, 0, 0, 0, 0, 1), (5, 1.0, 0, 0, 0, 0, 1), (35, 0.0, 0, 0, 0, 0, 1), (3, 1.0, 0, 0, 0, 0, 1), (60, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 1, 0, 0, 0, 1),
+        (9, 1.0, 0, 0, 0, 0, 1), (50, 0.1, 0, 0, 0, 0, 1), (4, 0.0, 1, 0, 0, 0, 0), (7, 1.0, 0, 0, 0, 0, 0), (6, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0),
+    ],
+    # articles with single link lines, linked headings, and runs of links
+    [
+        (3, 0.0, 0, 1, 0, 0, 1), (2, 1.0, 0, 1, 0, 0, 1), (5, 0.0, 0, 1, 0, 0, 1), (9, 1.0, 0, 1, 0, 0, 1), (90, 0.0, 0, 1, 0, 0, 1), (3, 1.0, 0, 1, 0, 0, 1), (4, 0.0, 0, 1, 0, 0, 1), (12, 1.0, 0, 1, 0, 0, 1), (120, 0.0, 0, 1, 0, 0, 1), (1, 1.0, 0, 1, 0, 0, 1),
+        (15, 0.0, 0, 1, 0, 0, 1), (30, 1.0, 0, 1, 0, 0, 1), (8, 0.0, 0, 1, 0, 0, 1), (1, 1.0, 0, 1, 0, 0, 1), (1, 0.0, 0, 1, 0, 0, 1), (40, 1.0, 0, 1, 0, 0, 1), (2, 0.0, 0, 1, 0, 0, 1), (6, 1.0, 0, 1, 0, 0, 1), (60, 0.2, 0, 1, 0, 0, 1), (2, 0.9, 0, 1, 0, 0, 1),
+        (25, 0.4, 0, 1, 0, 0, 1),
+    ],
+    [
+        (110, 0.0, 0, 1, 0, 0, 1), (4, 1.0, 0, 1, 0, 0, 0), (6, 1.0, 0, 1, 0, 0, 0), (2, 1.0, 0, 1, 0, 0, 0), (95, 0.0, 0, 1, 0, 0, 1), (12, 1.0, 0, 1, 0, 0, 0), (30, 1.0, 0, 1, 0, 0, 0), (9, 1.0, 0, 1, 0, 0, 0), (3, 0.0, 0, 1, 0, 0, 1), (1, 1.0, 0, 1, 0, 0, 0),
+        (1, 1.0, 0, 1, 0, 0, 0), (7, 0.0, 1, 1, 0, 0, 1), (15, 1.0, 0, 1, 0, 0, 0), (22, 1.0, 0, 1, 0, 0, 0), (18, 1.0, 0, 1, 0, 0, 0), (16, 0.1, 0, 1, 0, 0, 1), (60, 1.0, 0, 1, 0, 0, 0), (50, 1.0, 0, 1, 0, 0, 0), (28, 0.0, 0, 1, 0, 0, 1),
+    ],
+    [
+        (3, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0), (5, 1.0, 1, 1, 0, 0, 1), (6, 0.0, 0, 1, 0, 0, 1), (4, 1.0, 1, 1, 0, 0, 1), (70, 0.0, 0, 1, 0, 0, 1), (2, 1.0, 1, 1, 0, 0, 1), (3, 1.0, 1, 1, 0, 0, 1), (20, 0.0, 0, 1, 0, 0, 1), (8, 1.0, 1, 1, 0, 0, 1),
+        (1, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 0, 0, 0, 0, 0),
+    ],
+    # long lists of links under names that may be furniture's
+    [(90, 0.0, 0, 0, 1, 0, 1), (100, 1.0, 0, 0, 1, 0, 0), (110, 0.95, 0, 0, 1, 0, 0), (85, 0.1, 0, 0, 1, 0, 1), (4, 1.0, 0, 0, 1, 0, 0), (30, 1.0, 0, 0, 1, 0, 0), (90, 0.0, 0, 1, 1, 0, 1), (100, 1.0, 0, 1, 1, 0, 0), (110, 0.95, 0, 1, 1, 0, 0), (85, 0.1, 0, 1, 1, 0, 1), (4, 1.0, 0, 1, 1, 0, 0), (30, 1.0, 0, 1, 1, 0, 0)],
+    # nothing but links
+    [(30, 1.0, 0, 0, 0, 0, 0), (28, 1.0, 0, 0, 0, 0, 0), (100, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0), (40, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 0, 0, 0, 0, 0), (9, 0.9, 0, 0, 0, 0, 0), (26, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0), (90, 1.0, 0, 0, 0, 0, 0)],
+    # one block, few blocks
+    [(25, 0.0, 0, 0, 0, 0, 1)], [(2, 0.0, 0, 0, 0, 0, 1)], [(4, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0, 0, 0, 1)], [(3, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0, 0)], [(6, 0.0, 1, 0, 0, 0, 1), (12, 0.0, 0, 0, 0, 1, 0)],
+    [(60, 0.0, 0, 0, 1, 0, 0), (12, 0.0, 0, 0, 0, 0, 1)], [(150, 0.02, 0, 0, 0, 0, 1), (80, 0.0, 0, 0, 0, 1, 0)], [(30, 1.0, 0, 0, 0, 0, 0)], [(30, 1.0, 0, 1, 0, 0, 1)], [(9, 0.0, 0, 0, 0, 0, 1), (1, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0, 0, 0, 0)],
+]
+
+
+def table() -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of the labelled blocks."""
+    pages = [np.array(page, float) for page in LABELLED]
+    return np.concatenate([features(page[:, :-1]) for page in pages]), np.concatenate([page[:, -1] for page in pages])
 
 
 class Tree:
     """A binary decision tree; splits lower the Gini impurity most, the first feature and threshold win ties."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12):
         self.label = bool(y.mean() >= 0.5)
         self.feature = None
         if not depth or y.min() == y.max():
@@ -298,14 +354,15 @@ class Tree:
 
 @functools.cache
 def trained() -> Tree:
-    return Tree(LABELLED[:, :-1], LABELLED[:, -1])
+    return Tree(*table())
 
 
 def main_text(html: str | None) -> str:
     page = blocks(html or "")
     if not page:
         return ""
-    return "\n".join(b.text for b, keep in zip(page, trained().predict(features(page)), strict=True) if keep)
+    kept = trained().predict(features(np.array([b.own for b in page], float)))
+    return "\n".join(b.text for b, keep in zip(page, kept, strict=True) if keep and not b.furniture)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,9 +1,11 @@
 import html
+import random
 import re
 
+import numpy as np
 import pytest
 
-from pagewright.llm.html_text import LABELLED, blocks, extract, features, main_text, trained
+from pagewright.llm.html_text import FEATURES, blocks, extract, features, main_text, table, trained
 from pagewright.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -87,10 +89,80 @@ def test_silence(page, want):
     assert main_text(f"<html><head><title>none</title><article>{page}</article>") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<main><p>Hi there.</p></main><article class='comment'><p>reader says no</p></article>", "Hi there."),
+        ("<article><p>A b c.</p><div id='user_reviews'><p>reader</p></div><div class='kommentare'>x y z</div><section class='social-history'><p>Kept.</p></section></article>", "A b c.\nKept."),
+        (f"<article><p>x</p><div class=comments><article><p>{LONG * 9}</article></div></article>", "x"),
+        ("<nav><a href=1>One</a></nav><h1>Summer in Rome</h1><h2>Getting there</h2><p>It rained.</p><footer>c</footer>", "Summer in Rome\nGetting there\nIt rained."),
+        ("<form><h1>T</h1><p>It was so.</p></form>", "T\nIt was so."),
+        ("<article><p>A <math><mi>x</mi></math></p><p><label>Lab</label> text</p></article>", "A x\nLab\ntext"),
+        (f"<p>{LONG * 3}</p><div>Copyright 2020 {LONG * 3}</div><div>&copy; us</div><div>|</div>", (LONG * 3).strip()),
+        (f"<article><p>{LONG}<ul>{'<li><a href=x>Go on</a>' * 4}</ul><p>End.</article>", f"{LONG.strip()}\nEnd."),
+        (f"<article><h1><a href=x>Name</a></h1><p>{LONG}<p><a href=y>See this</a><p>{LONG}</article>", f"Name\n{LONG.strip()}\nSee this\n{LONG.strip()}"),
+    ],
+)
+def test_structure_and_text_decide(page, want):
+    assert main_text(page) == want
+
+
 def test_features_and_tree():
-    page = blocks("<nav><a>x y</a></nav><p>one <a>two</a> three four</p><div class=ad>z</div>")
-    assert features(page).tolist() == [[2, 1, 0, 0, 4, 0.25, 0, 1, 0], [4, 0.25, 2, 1, 1, 0, 0, 0, 0], [1, 0, 4, 0.25, 0, 0, 0, 0, 1]]
-    assert (trained().predict(LABELLED[:, :-1]) == LABELLED[:, -1]).mean() > 0.95
+    page = blocks("<nav><a>x y</a></nav><h2>one <a>two</a> three four</h2><div class=banner>z</div>")
+    assert features(np.array([b.own for b in page], float)).tolist() == [[2, 1, 0, 0, 4, 0.25, 0, 0, 0, 0], [4, 0.25, 2, 1, 1, 0, 1, 0, 0, 0], [1, 0, 4, 0.25, 0, 0, 0, 0, 1, 0]]
+    assert [b.furniture for b in page] == [True, False, False]
+    x, y = table()
+    assert (trained().predict(x) == y).mean() > 0.95
+
+    def used(tree):
+        return {FEATURES[tree.feature]} | used(tree.sides[0]) | used(tree.sides[1]) if tree.feature is not None else set()
+
+    # both neighbours decide, and no value of in_article settles it
+    assert used(trained()) >= {"words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after"}
+    inside = x[:, FEATURES.index("in_article")] == 1
+    assert 0 < y[inside].mean() < 1 and 0 < y[~inside].mean() < 1
+
+
+def test_tree_against_brute_force():
+    """Each split is the best of all, each leaf the majority."""
+
+    def impurity(y):
+        return 2 * len(y) * y.mean() * (1 - y.mean()) if len(y) else 0.0
+
+    def check(tree, x, y):
+        costs = {(f, t): impurity(y[x[:, f] <= t]) + impurity(y[x[:, f] > t]) for f in range(x.shape[1]) for t in (np.unique(x[:, f])[1:] + np.unique(x[:, f])[:-1]) / 2}
+        if tree.feature is None:
+            assert tree.label == (y.mean() >= 0.5)
+            assert not costs or len(np.unique(y)) == 1 or min(costs.values()) > impurity(y) - 1e-6
+            return
+        assert costs[tree.feature, tree.at] < min(costs.values()) + 1e-6
+        left = x[:, tree.feature] <= tree.at
+        check(tree.sides[0], x[left], y[left])
+        check(tree.sides[1], x[~left], y[~left])
+
+    check(trained(), *table())
+
+
+VISIBLE = re.compile(r"(?s)<(script|style|title|nav|footer|aside)\b.*?</\1>|<!--.*?-->")
+
+
+def test_blocks_against_brute_force():
+    """On flat pages a block is what lies between two block-level tags, and its link words what lies in anchors."""
+    rng = random.Random(3)
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            words = [rng.choice(["a", "bb &amp; c", "<a href=x>d e</a>", "<b>f</b>", "g<i>h</i>"]) for _ in range(rng.randrange(1, 9))]
+            tag = rng.choice(["p", "div", "h2", "li"])
+            parts.append(f"<{tag}>{' '.join(words)}</{tag}>")
+        page = "<script>x</script>" + "".join(parts)
+        want = []
+        for m in re.finditer(r"<(p|div|h2|li)>(.*?)</\1>", VISIBLE.sub("", page)):
+            text = html.unescape(re.sub("<[^>]*>", "", m[2]))
+            linked = sum(len(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.findall("<a[^>]*>(.*?)</a>", m[2]))
+            want.append((text, len(text.split()), min(1.0, linked / len(text.split())), m[1] == "h2"))
+        got = blocks(page)
+        assert [(b.text, *b.own[:3]) for b in got] == want
 
 
 def test_edges(spark):
