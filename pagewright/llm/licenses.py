@@ -1,10 +1,13 @@
 """License scans by conditional compression.
 
 Sentences and lines with a word of the licensing vocabulary and their neighbours form candidate blocks, across line ends and blank
-lines. In a text with blocks every template is searched word by word, over the whole text, so that no block's bound cuts a notice: it is found where words missing from it and words put in between are at most `MOST_DIFFERENT` of its words. Of
-matches that overlap the one with fewest differences stays, then the longest template's, then the one that saves most when its
-text is compressed with the template as a raw zstandard dictionary. What was found is taken out and the rest searched again, so
-that each notice is reported, with its own place.
+lines. In a text with blocks every template is looked for over the whole text, so that no block's bound cuts a notice. A candidate is a
+place with a stretch of the template's words; it is compressed alone and with the template as a raw zstandard dictionary, and the
+candidates are ranked by the bytes that the template saves. A winner is confirmed by exact wording differences: words missing from it and words put in between are at
+most `MOST_DIFFERENT` of the template's words, and names of licenses and version numbers don't differ at all. No rank is cut off. What was
+found is taken out and the rest searched again, so that each notice is reported, with its own place; of notices over each other the one that saves most stays.
+
+A license text that is longer than its template is found by its title and its opening words. A tag `SPDX-License-Identifier` counts with its first license.
 
 Nulls: a null or empty text has no blocks. Texts are scanned whole; blocks of over `BLOCK_CHARS` characters are cut between
 sentences and overlap, and none is dropped. Repeated rows get equal results; an empty table gives no rows; other columns are ignored,
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
@@ -26,36 +29,101 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-VOCABULARY = r"(?i)licen[cs]|copyright|spdx|creative commons|\bCC[ -]BY|redistribut|without warranty|as is\b|permission is hereby|public domain|unencumbered"
+VOCABULARY = r"(?i)licen[cs]|copyright|spdx|creative commons|\bCC[ -]BY|\bCC0\b|redistribut|without warranty|as[ -]is\b|permission is hereby|permission to use|public domain|unencumbered"
 BLOCK_CHARS, MOST_DIFFERENT, LEVEL = 6000, 0.12, 6
 #: Neighbours of a keyed unit: so many of at most so many characters, and all within this many characters, more than the longest wording has.
 APART, SHORT, REACH = 3, 100, 800
 
-#: Names and wordings of public licenses, as they stand in notices.
-TEMPLATES = [
+#: Names and wordings of public licenses, as they stand in notices and at the head of the texts.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_ADVERTS = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+_MIT = _MIT_GRANT + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_AS_IS = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_WORDINGS = [
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", f"{_BSD} 3. {_BSD_NAMES}"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-4-Clause", f"{_BSD} {_BSD_ADVERTS} 4. {_BSD_NAMES}"),
+    ("0BSD", f"{_ISC}."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", 'Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so'),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0."),
+    ("CDDL-1.0", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"),
+    ("CDDL-1.1", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.1"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2"),
+    ("EUPL-1.2", "EUROPEAN UNION PUBLIC LICENCE v. 1.2"),
+    ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Licensed under the ISC License."),
+    ("JSON", f"{_MIT} The Software shall be used for Good, not Evil."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_AS_IS),
+    ("MIT-0", f"{_MIT_GRANT}.{_MIT_AS_IS}"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("NCSA", "University of Illinois/NCSA Open Source License"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("OFL-1.1", "SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007"),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"),
+    ("X11", f"{_MIT}{_MIT_AS_IS} Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 ]
+#: The GNU licenses, with version and date; the Creative Commons licenses and versions.
+_GNU = [("GPL", "General", "2", "June 1991"), ("GPL", "General", "3", "29 June 2007"), ("LGPL", "Lesser General", "2.1", "February 1999"), ("LGPL", "Lesser General", "3", "29 June 2007"), ("AGPL", "Affero General", "3", "19 November 2007")]
+_COMMONS = [("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+#: Words of which none may be missing or put in where a notice names its license.
+NAMES = frozenset(
+    "gnu lesser library affero gpl lgpl agpl apache artistic boost bsd cc cc0 cddl commons creative attribution noncommercial sharealike noderivatives noderivs nc sa nd "
+    "eclipse epl eupl european illinois isc mit mozilla mpl ncsa sil union wtfpl".split()
+)
+
+
+def _gnu() -> Iterator[tuple[str, str]]:
+    for short, kind, version, date in _GNU:
+        name = f"{short}-{version if '.' in version else version + '.0'}"
+        yield name, f"This work is licensed under the GNU {kind} Public License, version {version}."
+        yield name, f"Licensed under the GNU {kind} Public License v{version}."
+        yield name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+        yield name, f"GNU {kind} Public License Version {version}, {date}"
+
+
+def _commons() -> Iterator[tuple[str, str]]:
+    for code, words in _COMMONS:
+        for version, where in (("3.0", "Unported"), ("4.0", "International")):
+            yield f"CC-{code}-{version}", f"Licensed under CC {code} {version}."
+            yield f"CC-{code}-{version}", f"This work is licensed under a Creative Commons {words} {version} {where} License."
+
+
+def _templates_of() -> list[tuple[str, str]]:
+    known = [*_WORDINGS, *_gnu(), *_commons()]
+    return sorted(known, key=lambda x: x[0]) + [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in known})]
+
+
+TEMPLATES = _templates_of()
 
 _KEY = re.compile(VOCABULARY)
 _UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"\w+")
+#: What can't follow a notice: more of a version or of an identifier.
+_MORE = re.compile(r"\.[1-9]|-(?!or-later\b|only\b)\w")
 
 
 def units(text: str) -> Iterator[tuple[int, int]]:
@@ -93,9 +161,14 @@ class Template(NamedTuple):
     words: tuple[str, ...]
     tail: str  # what follows the last word
     most: int  # differences
+    fixed: frozenset[str]  # names and numbers
     pieces: list[tuple[int, tuple[str, ...]]]  # one more than differences: a match has one of them word for word
     compressor: zstandard.ZstdCompressor
 
+    def same_names(self, words: Sequence[str]) -> bool:
+        """Whether words name the license and version that the template names; one that names none fits all."""
+        return not self.fixed or fixed(words) == self.fixed
+
 
 class Match(NamedTuple):
     start: int
@@ -105,6 +178,11 @@ class Match(NamedTuple):
     differences: int
 
 
+def fixed(words: Iterable[str]) -> frozenset[str]:
+    """Names of licenses and, as 'v2' or '2', numbers but zero."""
+    return frozenset(w.removeprefix("v") for w in words if w in NAMES or (n := w.removeprefix("v")).isdigit() and n != "0")
+
+
 @functools.cache
 def _templates() -> list[Template]:
     out = []
@@ -115,7 +193,8 @@ def _templates() -> list[Template]:
         most = int(MOST_DIFFERENT * len(words))
         cuts = [len(words) * i // (most + 1) for i in range(most + 2)]
         pieces = [(i, words[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
-        out.append(Template(name, words, wording[[*_WORD.finditer(wording)][-1].end() :], most, pieces, compressor))
+        named = fixed(words) if not NAMES.isdisjoint(words) else frozenset()
+        out.append(Template(name, words, wording[[*_WORD.finditer(wording)][-1].end() :], most, named, pieces, compressor))
     return out
 
 
@@ -129,10 +208,12 @@ def _pieces() -> dict[str, list[tuple[int, int, tuple[str, ...]]]]:
     return out
 
 
-def _saving(text: str, compressor: zstandard.ZstdCompressor) -> float:
+def _saving(text: str, compressor: zstandard.ZstdCompressor) -> tuple[int, float]:
+    """Bytes that the template saves, and their share."""
     raw = text.encode("utf-8", "replace")
     alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(raw))
-    return max(0.0, 1 - len(compressor.compress(raw)) / alone)
+    saved = max(0, alone - len(compressor.compress(raw)))
+    return saved, saved / alone
 
 
 def differences(block: list[str], template: list[str]) -> int:
@@ -177,7 +258,7 @@ def _search(words: list[str | None]) -> set[tuple[int, int, int, int]]:
                 seen.setdefault(t, set()).add(p - at)
     found = set()
     for t, starts in seen.items():
-        _, wanted, _, most, _, _ = _templates()[t]
+        wanted, most = _templates()[t].words, _templates()[t].most
         size, windows = len(wanted), []
         for s in sorted(starts):
             if s >= 0 and tuple(words[s : s + size]) == wanted:
@@ -193,23 +274,35 @@ def _search(words: list[str | None]) -> set[tuple[int, int, int, int]]:
     return found
 
 
+def _apart(found: Iterable[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Of one template's matches over each other, those with fewest differences, then the longest."""
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for n, t, a, b in sorted(found, key=lambda x: (x[0], x[2] - x[3], x)):
+        own = taken.setdefault(t, [])
+        if all(b <= s or e <= a for s, e in own):
+            own.append((a, b))
+            yield n, t, a, b
+
+
 def matches(block: str) -> tuple[Match, ...]:
     """All notices in a block or text by place, none over another."""
     places = [*_WORD.finditer(block)]
     words: list[str | None] = [m[0].lower() for m in places]
     out = []
     taken = True
-    while taken and (found := _search(words)):
+    while taken:
         ranked, taken = [], False
-        for n, t, a, b in found:
+        confirmed = {(n, t, a, b) for n, t, a, b in _search(words) if None not in words[a:b] and _templates()[t].same_names(words[a:b]) and not (_templates()[t].fixed and _MORE.match(block, places[b - 1].end()))}
+        for n, t, a, b in _apart(confirmed):
+            template = _templates()[t]
             start, end = places[a].start(), places[b - 1].end()
-            end += len(_templates()[t].tail) * block.startswith(_templates()[t].tail, end)
-            if None not in words[a:b]:
-                ranked.append((n, -len(_templates()[t].words), -_saving(block[start:end], _templates()[t].compressor), _templates()[t].name, a, b, start, end))
-        for n, _, saving, name, a, b, start, end in sorted(ranked):
+            end += len(template.tail) * block.startswith(template.tail, end)
+            saved, share = _saving(block[start:end], template.compressor)
+            ranked.append((-saved, n, -len(template.words), template.name, a, b, start, end, share))
+        for _, n, _, name, a, b, start, end, share in sorted(ranked):
             if None not in words[a:b]:
                 words[a:b] = [None] * (b - a)
-                out.append(Match(start, end, name, -saving, n))
+                out.append(Match(start, end, name, share, n))
                 taken = True
     return tuple(sorted(out))
 
