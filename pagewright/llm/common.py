@@ -28,6 +28,11 @@ def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20)
             spark.conf.set(key, str(most))
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`df` with columns c0, c1 ..., so that an operator's own columns clash with none, and the names to go back to."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), df.columns
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df`, dealt out where it comes in fewer files than there are cores, for work that costs more than a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
+import weakref
 
 import pytest
 
+from pagewright.llm import decontamination
 from pagewright.llm.decontamination import digest, drop_contaminated, find_contamination
 from pagewright.llm.queries import QUERIES
 
@@ -69,3 +72,40 @@ def test_empty(spark, empty):
     items = spark.createDataFrame([] if empty == "items" else [(1, "a b")], "item_id long, text string")
     got = digest(find_contamination(docs, items)).collect()
     assert [r.contaminated for r in got] == ([] if empty == "docs" else [False])
+
+
+def test_clashing_columns_survive(spark):
+    frame = spark.createDataFrame([(1, "tiny item", 777, ["x"], 1), (2, "all else", 778, None, 2)], "doc_id long, text string, n_words long, hit_items array<string>, row int")
+    clean = drop_contaminated(frame, spark.createDataFrame([(1, "tiny item")], "item_id long, text string"))
+    assert clean.schema == frame.schema
+    assert [tuple(r) for r in clean.collect()] == [(2, "all else", 778, None, 2)]
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    """Fifty blocks, some with the same passages: one alive at a time, and the result of one block."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(vocabulary[:6] if rng.random() < 0.3 else vocabulary) for _ in range(n))
+    shared = text(14)
+    items = [(i, f"{shared} {text(5)}" if i % 7 == 0 else text(rng.choice([1, 4, 12, 30]))) for i in range(150)]
+    docs = [(d, " ".join(rng.choice([text(9), shared, rng.choice(items)[1]]) for _ in range(rng.randrange(4)))) for d in range(60)]
+    alive, most, made = weakref.WeakSet(), [0], [0]
+
+    init = decontamination.Block.__init__
+
+    def watched(self, *args):
+        init(self, *args)
+        alive.add(self)
+        made[0] += 1
+        most[0] = max(most[0], len(alive))
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    once = sorted(tuple(r) for r in digest(find_contamination(frame, bench)).collect())
+    monkeypatch.setattr(decontamination.Block, "__init__", watched)
+    size = sum(len(t) + 16 for _, t in items)
+    passes = sorted(tuple(r) for r in digest(find_contamination(frame, bench, block_bytes=size // 50 + 1)).collect())
+    assert made[0] == 50
+    assert most[0] == 1
+    assert passes == once
+    assert {r[0]: r[1:] for r in once} == brute(docs, items)
