@@ -6,21 +6,25 @@ the labelled rows (`PER_LANGUAGE` each, chosen by a hash of their id); smoothed
 languages by buckets, which is broadcast. Its size is fixed by the number of languages. Scoring sums matrix rows over a
 batch's n-grams in numpy, text by text; all of each text counts.
 
+`keep_identified` rejects on two grounds, from `TELLING` characters on: no language is likelier than all others together (score), or the
+best one explains the n-grams no better than equally likely buckets would (gain), as in texts of a language or script that wasn't learned.
+
 Nulls and texts without a letter are `und` with score 0, as is any text when nothing could be learned. Rows with a null id or label aren't
-learned from, but are predicted. Repeated rows get equal results. Ties go to the language that sorts first. Other
-columns pass through; result columns replace columns of their names.
+learned from, but are predicted. Repeated rows get equal results. Ties go to the language that sorts first. More than `MOST_LANGUAGES`
+labels raise an error: such a column holds no languages. Other columns pass through; result columns of `identify` and
+`classify` replace columns of their names, `keep_identified` keeps all columns as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, renamed
 
 BITS = 15
 DIM = 1 << BITS
@@ -29,8 +33,12 @@ ORDERS = (1, 2, 3)
 ALPHA = 0.1
 CHUNK = 1 << 19
 UNKNOWN = "und"
+#: The matrix has a row of DIM doubles for each.
+MOST_LANGUAGES = 256
 #: Texts of fewer characters are too short for a low score to say anything.
 TELLING = 20
+#: Least score and gain of longer ones that are kept.
+LEAST_SCORE, LEAST_GAIN = 0.5, 0.0
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters: list[np.ndarray] = []
@@ -94,11 +102,18 @@ class Model:
         self.priors = np.log(priors / priors.sum()) if languages else priors
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(column))
+        """Language and score of each text."""
+        return self.judge(column)[:2]
+
+    def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and gain of each text: how much likelier its n-grams are in that language than if all buckets were equally likely, as a mean of logarithms."""
+        names, scores, gains = [], np.zeros(len(column)), np.zeros(len(column))
         for at, texts in _parts(column):
             sums = np.repeat(self.priors[:, None], len(texts), 1)
             some = np.zeros(len(texts), bool)
+            count = np.zeros(len(texts))
             for index, starts, some in buckets(texts):
+                count += np.add.reduceat(index < DIM, starts)
                 for row, weights in zip(sums, self.weights, strict=True):
                     row += np.add.reduceat(weights[index], starts)
             if not self.languages:
@@ -108,7 +123,9 @@ class Model:
             share = 1 / np.exp(sums - sums.max(0)).sum(0)
             names += [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
             scores[at : at + len(texts)] = np.where(some, share, 0)
-        return names, scores
+            mean = (sums.max(0) - self.priors[best]) / np.maximum(count, 1)
+            gains[at : at + len(texts)] = np.where(some, mean + np.log(DIM), 0)
+        return names, scores, gains
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
@@ -117,7 +134,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(
         "id is not null and text is not null and label is not null"
     )
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{label_col} has more than {MOST_LANGUAGES} values")
     if not sizes:
         return Model([], np.zeros((0, DIM)), np.zeros(0))
     languages = sorted(sizes)
@@ -145,30 +164,43 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     return Model(languages, counts[seen], np.array([sizes[x] for x in languages], float))
 
 
-def stays(text: str | None, name: str, score: float, least: float, known: bool) -> bool:
-    """Whether a text is kept: with a letter, and not of `TELLING` characters with a score below `least`; if no language is known, any with a letter."""
+def stays(text: str | None, name: str, score: float, least: float, known: bool, gain: float = np.inf, languages: frozenset[str] | None = None) -> bool:
+    """Whether a text is kept.
+
+    It has a letter and, if any language is known, is in one of `languages` (all, if None); from `TELLING` characters
+    on its score is at least `least` and its gain at least `LEAST_GAIN`.
+    """
     if name == UNKNOWN:
         return not known and any(map(str.isalpha, text or ""))
-    return score >= least or len(text) < TELLING
+    if languages is not None and name not in languages:
+        return False
+    return len(text) < TELLING or score >= least and gain >= LEAST_GAIN
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
     """`docs` with lang_pred and score; given `least`, only documents that stay."""
     docs = docs.drop("lang_pred", "score")
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return docs.mapInArrow(_scored(docs, model, text_col, least, None, True), schema)
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str, least: float | None, languages: frozenset[str] | None, add: bool):
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIM
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            names, scores = shared.value.predict(texts)
-            out = batch.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores))
+            names, scores, gains = shared.value.judge(texts)
+            out = batch
+            if add:
+                out = out.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores))
             if least is not None:
-                out = out.filter(pa.array([stays(t.as_py(), n, s, least, bool(shared.value.languages)) for t, n, s in zip(texts, names, scores, strict=True)], pa.bool_()))
+                known = bool(shared.value.languages)
+                out = out.filter(pa.array([stays(t.as_py(), n, s, least, known, g, languages) for t, n, s, g in zip(texts, names, scores, gains, strict=True)], pa.bool_()))
             yield out
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(step, schema)
+    return step
 
 
 def held_out(id_col: str = "doc_id"):
@@ -182,11 +214,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return classify(docs.withColumn("held_out", held_out(id_col)), model)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents in a language that the model knows.
+def keep_identified(docs: DataFrame, languages: Iterable[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """Documents in a language that the model knows, or in one of `languages`, with their columns as they are.
 
-    Those without letters go, and those of `TELLING` characters of which no language is likelier than all others together (a score
-    below `least`). Shorter ones stay, and all with letters where nothing could be learned.
+    Those without letters go, and those of `TELLING` characters whose score or gain is too low. All with letters stay where nothing could be
+    learned.
     """
     model = train(docs.where(~held_out()))
-    return classify(docs, model, least=least).select(*docs.columns)
+    slim, names = renamed(docs)
+    return slim.mapInArrow(_scored(slim, model, slim.columns[names.index("text")], least, None if languages is None else frozenset(languages), False), slim.schema).toDF(*names)

@@ -3,7 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
+from pagewright.llm import language_id
 from pagewright.llm.language_id import DIM, TELLING, Model, buckets, classify, identify, keep_identified, stays, train
 from pagewright.llm.queries import QUERIES
 
@@ -47,8 +50,6 @@ def test_buckets_and_scores_against_brute_force():
     assert sums == [grams(t) for t in texts]
     counts = np.random.default_rng(1).integers(0, 9, (3, DIM))
     model = Model(["a", "b", "c"], counts, np.array([1.0, 2, 3]))
-    import pyarrow as pa
-
     names, scores = model.predict(pa.array([*texts, None]))
     for text, name, score in zip(texts, names, scores):
         if not any(c.isalpha() for c in text):
@@ -86,3 +87,75 @@ def test_what_the_stage_keeps(spark):
     split = Model(["a", "b", "c"], np.ones((3, DIM)), np.ones(3))
     frame = spark.createDataFrame([(1, long), (2, "x")], "doc_id long, text string")
     assert [r.doc_id for r in classify(frame, split, least=0.5).collect()] == [2]
+
+
+FOREIGN = ["В этом доме живёт старая женщина и её кот.", "今天天气很好，我们去公园散步，然后回家吃饭。今天天气很好，我们去公园。", "Trong ngôi nhà này có một bà già sống cùng con mèo của bà, con mèo thích ngủ trên cửa sổ."]
+MADE = [(i, t, x) for i in range(100, 400) for t, x in (("the house and the garden of an old woman", "en"), ("das Haus und der Garten einer alten Frau", "de"))]
+
+
+def test_other_languages_go_and_columns_stay(spark):
+    rows = [(i, t, None, "mine") for i, t in enumerate(FOREIGN)] + [(50, "an old house and the garden", None, "mine"), (51, "alte Frau und das Haus", None, "mine")] + [(*r, "mine") for r in MADE]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    kept = keep_identified(frame)
+    assert kept.schema == frame.schema
+    assert sorted(tuple(r) for r in kept.where("doc_id < 100").collect()) == [(50, "an old house and the garden", None, "mine"), (51, "alte Frau und das Haus", None, "mine")]
+    assert kept.count() == 602
+    assert {r.doc_id for r in keep_identified(frame, ["de"]).where("doc_id < 100").collect()} == {51}
+
+
+def test_gain_against_brute_force():
+    counts = np.random.default_rng(2).integers(0, 50, (2, DIM))
+    model = Model(["a", "b"], counts, np.array([1.0, 2]))
+    texts = ["the cat sat", "x", "", "12", "é" * 40]
+    names, _, gains = model.judge(pa.array(texts))
+    for text, name, gain in zip(texts, names, gains):
+        if name == "und":
+            assert gain == 0
+            continue
+        j, found = "ab".index(name), grams(text)
+        logs = sum(n * math.log((counts[j][g] + 0.1) / (counts[j].sum() + 0.1 * DIM) * DIM) for g, n in found.items())
+        assert math.isclose(gain, logs / sum(found.values()), abs_tol=1e-9)
+
+
+def test_ties_and_repeated_rows(spark):
+    """Equal evidence goes to the language that sorts first; equal rows get equal results."""
+    rows = [(i, "same words here", x) for i in range(60) for x in ("b", "a", "c")]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 180 and {(r.lang_pred, round(r.score, 9)) for r in got} == {("a", round(1 / 3, 9))}
+
+
+def brute(docs):
+    """held_out, language and score of each text by counting n-grams of all learned rows in dictionaries."""
+    learned = [(t, x) for d, t, x in docs if d is not None and zlib.crc32(str(d).encode()) % 3 != 1 and t is not None and x is not None]
+    rows, counts = Counter(x for _, x in learned), {}
+    for t, x in learned:
+        counts.setdefault(x, Counter()).update(grams(t))
+    out = []
+    for d, t, _ in docs:
+        held = d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+        if not any(c.isalpha() for c in t or ""):
+            out.append((d, held, "und", 0.0))
+            continue
+        own = grams(t)
+        logs = {x: math.log(rows[x] / len(learned)) + sum(n * math.log((c[g] + 0.1) / (c.total() + 0.1 * DIM)) for g, n in own.items()) for x, c in counts.items()}
+        best = min(logs, key=lambda x: (-logs[x], x))
+        out.append((d, held, best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_whole_query_against_brute_force(spark, tmp_path):
+    """No language has more rows than the sample takes, so training is exact."""
+    SMALL = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in QUERIES["op6_naive_bayes_language"](spark, SMALL).collect()}
+    want = brute(docs)
+    assert len(got) == len(want)
+    for d, held, name, score in want:
+        assert (got[d].held_out, got[d].lang_pred) == (held, name) and math.isclose(got[d].score, score, rel_tol=1e-6)
+
+
+def test_too_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    frame = spark.createDataFrame([(i, "text", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        train(frame)
