@@ -1,4 +1,9 @@
-"""The training-data pipeline over `documents`: language ID, near-duplicates, benchmark decontamination, packing."""
+"""The training-data pipeline over `documents`: language ID, near-duplicates, benchmark decontamination, packing.
+
+Nulls: a null or empty text has no letters, so its document goes in the first stage; a null id is neither learned from nor linked to others.
+Repeated rows are copies of each other; rows that repeat an id stay or go together with it. Texts are taken whole, whatever their length. An empty table
+gives no rows. Other columns pass through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ from pagewright.llm.queries import word_bpe_path
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without a letter go."""
+    """Documents in a language that the labels teach; those without letters, and longer ones in anything else, go."""
     return keep_identified(docs)
 
 
