@@ -3,7 +3,9 @@
 A rule is a host suffix and a path prefix with a verdict; the longest that fits decides. URLs that rules accept train one
 model, those that rules reject another: Markov models of up to `ORDER` characters of context, each order smoothed by the
 next shorter one (Witten-Bell; contexts never seen drop out, so the order varies). A URL that no rule fits is rejected
-if its log-likelihood ratio, per character, is below a threshold calibrated on the ruled URLs.
+if its log-likelihood ratio, per character, is below a threshold. One in `HELD_OUT` of the ruled strings, by a checksum, trains no model; the threshold is
+calibrated on these, so that its error rates aren't those of URLs the models know (on all ruled ones where the held-out ones
+are of one kind). Logarithms are summed as multiples of 2^-32, so that no order of addition changes a verdict.
 
 Models see the host and path in lower case with every digit as 0. Pages are aggregated to such strings before anything is counted, so
 a hot host is a few rows with large counts. Tables of n-grams and scores are broadcast only if counted and small.
@@ -26,6 +28,8 @@ SMALL = 400_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _START, _END = "\x02", "\x03"
 _SYMBOLS = 256.0
+HELD_OUT = 4
+_UNIT = float(1 << 32)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -62,7 +66,7 @@ def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
 
 
 def model(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, ratio): the difference of the two models' log-probabilities of a gram's last character after the others.
+    """(gram, ratio): the difference of the two models' log-probabilities of a gram's last character after the others, in units of 2^-32.
 
     `counted` has each gram once with its counts `good` and `bad`; counts of shorter contexts are sums of these.
     """
@@ -78,22 +82,29 @@ def model(counted: DataFrame, order: int = ORDER) -> DataFrame:
             rows = rows.withColumn("tail", F.right("key", F.lit(k))).join(lower, "tail")
         p = {c: F.when(F.col(f"{c}_all") > 0, (F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_less")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds"))).otherwise(F.col(f"{c}_less")) for c in ("good", "bad")}
         lower = rows.select(F.col("key").alias("tail"), p["good"].alias("good_less"), p["bad"].alias("bad_less"))
-    return lower.select(F.col("tail").alias("gram"), (F.log("good_less") - F.log("bad_less")).alias("ratio"))
+    return lower.select(F.col("tail").alias("gram"), F.round((F.log("good_less") - F.log("bad_less")) * _UNIT).cast("long").alias("ratio"))
 
 
-def threshold(scores: DataFrame) -> float | None:
-    """The score that divides accepted from rejected best, by the mean of the two error rates, from sums over 2,001 steps of 0.01."""
+def held_out(shape_col: Column) -> Column:
+    return F.crc32(F.encode(shape_col, "UTF-8")) % HELD_OUT == 0
+
+
+def error_rates(scores: DataFrame) -> list[tuple[float, float, float]]:
+    """(threshold, share of accepted rejected, share of rejected accepted) at each step of 0.01, from at most 2,001 sums for the held-out and as many for the others."""
     step = F.least(F.lit(1000), F.greatest(F.lit(-1000), F.floor(F.col("score") * 100))).alias("step")
-    sums = sorted((r["step"], r["good"], r["bad"]) for r in scores.where("good + bad > 0").groupBy(step).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect())
-    good, bad = sum(s[1] for s in sums), sum(s[2] for s in sums)
+    found = scores.where("good + bad > 0").groupBy(held_out(F.col("shape")).alias("held"), step).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    held = [r for r in found if r["held"]]
+    used = held if any(r["good"] for r in held) and any(r["bad"] for r in held) else found
+    good, bad = sum(r["good"] for r in used), sum(r["bad"] for r in used)
     if not good or not bad:
-        return None
-    lost, kept, best = 0, bad, []
-    for s, g, b in sums:
-        best.append((lost / good + kept / bad, abs(s), s))
-        lost, kept = lost + g, kept - b
-    best.append((lost / good + kept / bad, abs(sums[-1][0] + 1), sums[-1][0] + 1))
-    return min(best)[2] / 100
+        return []
+    steps = sorted({r["step"] for r in used})
+    return [(t / 100, sum(r["good"] for r in used if r["step"] < t) / good, sum(r["bad"] for r in used if r["step"] >= t) / bad) for t in (*steps, steps[-1] + 1)]
+
+
+def threshold(scores: DataFrame) -> float | None:
+    """The score that divides accepted from rejected best, by the mean of the two error rates."""
+    return min(((lost + kept, abs(t), t) for t, lost, kept in error_rates(scores)), default=(0, 0, None))[2]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -106,9 +117,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], order: int = ORDER, id
         rows.groupBy("shape").agg(F.sum((F.col("ruled") == "allow").cast("long")).alias("good"), F.sum((F.col("ruled") == "block").cast("long")).alias("bad")).select("shape", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad")),
         "shapes",
     )
-    counted = durable(grams(shapes, order).groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "grams")
+    learned = {c: F.when(held_out(F.col("shape")), 0).otherwise(F.col(c)) for c in ("good", "bad")}
+    counted = durable(grams(shapes.withColumns(learned), order).groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "grams")
     ratios = durable(model(counted, order), "ratios")
-    scored = grams(shapes, order).join(_small(ratios), "gram").groupBy("shape", "good", "bad").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    scored = grams(shapes, order).join(_small(ratios), "gram").groupBy("shape", "good", "bad").agg((F.sum("ratio") / F.count(F.lit(1)) / _UNIT).alias("score"))
     scored = durable(scored, "scores")
     least = threshold(scored)
     judged = F.lit("allow") if least is None else F.when(F.col("score") < least, "block").otherwise("allow")
