@@ -16,6 +16,7 @@ The longest text must fit a task's memory together with its ids.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable
+from .common import bounded_batches, durable, renamed
 from .sharding import numbered
 from .wordhash import LOWER, SPACED, Words, chunks
 
@@ -177,13 +178,52 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Bytes of the UTF-8 of U+0000 to U+02FF.
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(0xC0), *range(0xC2, 0xCC)]] = True
-_loaded: dict[int, WordTokenizer] = {}
+
+#: The normalizer and the cutting of texts with which a text's ids are its words' ids in a row.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+class TextTokenizer:
+    """Ids of whole texts from any tokenizer, text by text."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+
+    def batch(self, words: Words, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for own in found for i in own], np.uint32), np.cumsum([0, *map(len, found)])
+
+
+def by_word(spec: str) -> bool:
+    """Whether `WordTokenizer` gives the ids of the tokenizer with this specification."""
+    own = json.loads(spec)
+    model = own["model"]
+    return (
+        all(own.get(k) == v for k, v in BY_WORD.items())
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout"), model.get("continuing_subword_prefix")) == ("BPE", "</w>", None, None)
+        and all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in own.get("added_tokens", []))
+    )
+
+
+_loaded: dict[int, WordTokenizer | TextTokenizer] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): each document's ids and `end_id`, cut at multiples of the window.
 
-    `ids` is binary, little-endian unsigned 32-bit. The tokenizer file (of fixed size) is read here and sent to the executors.
+    `ids` is binary, little-endian unsigned 32-bit. Tokenizers for which words can't be looked up one by one get whole texts. The tokenizer file (of fixed size) is read here and sent to the executors.
     """
     bounded_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -193,10 +233,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = _loaded.get(hash(spec.value)) or _loaded.setdefault(hash(spec.value), WordTokenizer(spec.value))
+        kind = WordTokenizer if by_word(spec.value) else TextTokenizer
+        tokenizer = _loaded.get(hash(spec.value)) or _loaded.setdefault(hash(spec.value), kind(spec.value))
         for batch in batches:
             for i, j, words in chunks(batch.column(1), SPACED):
-                ids, bounds = tokenizer.batch(words)
+                ids, bounds = tokenizer.batch(words) if kind is WordTokenizer else tokenizer.batch(words, [t.as_py() or "" for t in batch.column(1).slice(i, j - i)])
                 with_end = np.insert(ids, bounds[1:], end_id)
                 bounds = bounds + np.arange(j - i + 1)
                 totals = np.diff(bounds)
@@ -322,12 +363,13 @@ class Places:
 
 
 def pack(cut: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = DEPTH) -> DataFrame:
-    """`cut` (doc_id, start, length and what else the caller wants to carry) with sequence_id and offset."""
+    """`cut` (doc_id, start, length and what else the caller wants to carry, whatever its name) with sequence_id and offset, which replace columns of these names."""
     bins = -(-window // step)
-    order = ("bin", "doc_id", "start")
-    cut = durable(cut, "pieces")  # else the range partitioning, which draws a sample first, would tokenize twice
-    rows, n = numbered(cut.withColumn("bin", F.ceil(F.col("length") / step).cast("int")), *order)
-    kept = [c for c in rows.columns if c not in ("bin", "row_number")]
+    slim, names = renamed(cut.drop("sequence_id", "offset"))
+    kept = slim.columns
+    doc_id, start, length = (kept[names.index(c)] for c in ("doc_id", "start", "length"))
+    slim = durable(slim, "pieces")  # else the range partitioning, which draws a sample first, would tokenize twice
+    rows, n = numbered(slim.withColumn("bin", F.ceil(F.col(length) / step).cast("int")), "bin", doc_id, start)
     counts = {r["bin"]: r["count"] for r in rows.groupBy("bin").count().collect()}  # at most `bins` rows
     starts, total = np.zeros(bins + 1, np.int64), 0
     for b in sorted(counts):
@@ -344,7 +386,8 @@ def pack(cut: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = DE
     schema = rows.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("position")).schema
     placed = rows.mapInArrow(find, schema)
     before = Window.partitionBy("sequence_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)  # a window's pieces, `window` at most
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).drop("position")
+    offset = F.coalesce(F.sum(length).over(before), F.lit(0).cast("long"))
+    return placed.withColumn("offset", offset).select(*(F.col(c).alias(name) for c, name in zip(kept, names, strict=True)), "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from pagewright.llm.packing import WordTokenizer, fillings, nnls, pack, pieces, plan, sequences
+from pagewright.llm.packing import WordTokenizer, by_word, fillings, nnls, pack, pieces, plan, sequences
 from pagewright.llm.queries import QUERIES, word_bpe_path
 from pagewright.llm.wordhash import SPACED, chunks
 
@@ -99,3 +100,27 @@ def test_nnls_and_fillings():
     assert np.allclose(nnls(a, a @ np.array([3.0, 0, 2])), [3, 0, 2], atol=1e-4)
     assert (nnls(a, np.array([-1.0, -1, -1])) == 0).all()
     assert fillings(6, 3) == [(6,), (1, 5), (2, 4), (3, 3), (1, 1, 4), (1, 2, 3), (2, 2, 2)]
+
+
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    spec = json.loads(open(word_bpe_path(), encoding="utf-8").read())
+    assert by_word(json.dumps(spec))
+    spec["normalizer"] = {"type": "Lowercase"}
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    assert not by_word(json.dumps(spec))
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    other = Tokenizer.from_file(str(path))
+    texts = [*ODD, None, "a  b\n\nc " * 3000]
+    cut = pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(path)).collect()
+    for i, text in enumerate(texts):
+        ids = np.frombuffer(b"".join(r.ids for r in sorted((r for r in cut if r.doc_id == i), key=lambda r: r.start)), "<u4")
+        assert ids.tolist() == [*other.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_clashing_columns_are_carried(spark):
+    names = ["row_number", "_part", "_local_number", "_part_start", "position", "bin", "c0", "text"]
+    rows = [(i, 0, 5 + i % 7, *(f"{n}{i}" for n in names)) for i in range(50)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, start long, length long, " + ", ".join(f"{n} string" for n in names)))
+    assert got.columns == ["doc_id", "start", "length", *names, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:-2] for r in got.collect()) == rows
