@@ -69,9 +69,9 @@ def cookie_jar(responses: DataFrame) -> DataFrame:
     `now` is a timestamp. Foreign domains and SameSite=None without Secure are refused; what has expired deletes.
     """
     parts = F.split("set_cookie", ";")
-    pair = F.transform(F.slice(parts, 2, 100), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("key"), F.when(F.contains(p, F.lit("=")), F.trim(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("value")))
+    pair = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("key"), F.when(F.contains(p, F.lit("=")), F.trim(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("value")))
     # of an attribute that is given twice, the last counts
-    last = F.filter(pair, lambda x, i: ~F.exists(F.slice(pair, i + 2, 100), lambda y: y["key"] == x["key"]))
+    last = F.filter(pair, lambda x, i: ~F.exists(F.slice(pair, i + 2, F.size(pair)), lambda y: y["key"] == x["key"]))
     attrs = F.map_from_entries(last)
     host = _host(F.col("url"))
     rows = responses.select("url", "seq", "now", F.element_at(parts, 1).alias("pair"), attrs.alias("a"), host.alias("host")).where(F.contains("pair", F.lit("=")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,181 +10,102 @@ from pagewright.operators import matches
 from pagewright.operators import nodes as N
 from pagewright.operators import pages as P
 from pagewright.operators import side_tables, stats
-from pagewright.operators.crawl import attempts, crawl, edges, totals
-from pagewright.sources import web
+from pagewright.operators.crawl import crawl, edges, totals
 from pagewright.sources.shared import durable
 from pagewright.streaming import streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages. Parsing is what costs: where they come in fewer files than there are cores, they're dealt out first."""
-    pages, cores = table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if len(pages.inputFiles()) < cores else pages
-
-
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node table, parsed once for plans that read it several times."""
-    return durable(P.nodes(_pages(spark, sf_dir)), "nodes")
-
-
-# --- what the SQL side shares -----------------------------------------------------------------------------------------
-
-
-def _unescaped(text: str) -> str:
-    """Decoding of the references that the test pages have."""
-    for name, char in (("quot", "'\"'"), ("copy", "'©'"), ("middot", "'·'"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")):
-        text = f"replace({text}, '&{name};', {char})"
-    return text
-
-
-_TITLE = f"trim(regexp_replace({_unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '&amp$', '&'))"
-_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
-_HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
-_LINK = f"{_ORIGIN} || '/' || replace(url_encode(regexp_replace(href, '^/', '')), '%2C', ',')"
-_CANONICAL = """regexp_extract(url, '^(https?://[^/?#]+)', 1)
-  || CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) END
-  || CASE WHEN url LIKE '%?page=2&ref=x%' THEN '?page=2' ELSE '' END"""
-_LINES = f"""
-WITH flat AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '\\s+', ' ', 'g') AS h FROM pages),
-cut AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|div|article|footer|nav|ul|li|h1|br|body)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM flat),
-lines AS (SELECT page_id, url, list_filter(list_transform(string_split({_unescaped("h")}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM cut)"""
-_LANG = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
-
+from .base import CANONICAL, HREFS, LANG, LINES, LINK, ORACLE_SQL, ORIGIN, QUERIES, TITLE, nodes_of, pages_of, query, table, unescaped
 
 # --- sources, projections, content ------------------------------------------------------------------------------------
 
 
-@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
+@query(f"SELECT page_id, {TITLE} AS title FROM pages")
 def page_title(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "title", "title").select("page_id", "title")
+    return P.with_view(pages_of(spark, sf_dir), "title", "title").select("page_id", "title")
 
 
 @query(f"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY first) - 1)::INTEGER AS ord, link FROM (
-  SELECT page_id, link, min(i) AS first FROM (SELECT page_id, {_LINK} AS link, i FROM (SELECT page_id, url, unnest({_HREFS}) AS href, unnest(range(1, len({_HREFS}) + 1)) AS i FROM pages)) GROUP BY ALL)""")
+  SELECT page_id, link, min(i) AS first FROM (SELECT page_id, {LINK} AS link, i FROM (SELECT page_id, url, unnest({HREFS}) AS href, unnest(range(1, len({HREFS}) + 1)) AS i FROM pages)) GROUP BY ALL)""")
 def page_links(spark, sf_dir):
     """Distinct http(s) targets of each page in order."""
-    return P.each(P.with_view(_pages(spark, sf_dir), "links", "links"), "links", "page_id", place="ord").withColumnRenamed("links", "link")
+    return P.each(P.with_view(pages_of(spark, sf_dir), "links", "links"), "links", "page_id", place="ord").withColumnRenamed("links", "link")
 
 
-@query(f"SELECT {_ORIGIN} AS origin, count(*) AS n_links FROM (SELECT DISTINCT page_id, url, unnest({_HREFS}) AS href FROM pages) GROUP BY ALL")
+@query(f"SELECT {ORIGIN} AS origin, count(*) AS n_links FROM (SELECT DISTINCT page_id, url, unnest({HREFS}) AS href FROM pages) GROUP BY ALL")
 def links_by_origin(spark, sf_dir):
-    links = P.each(P.with_view(_pages(spark, sf_dir), "links", "links"), "links")
+    links = P.each(P.with_view(pages_of(spark, sf_dir), "links", "links"), "links")
     return links.groupBy(scalars.origin(F.col("links")).alias("origin")).agg(F.count(F.lit(1)).alias("n_links"))
 
 
-@query(f"SELECT page_id, len({_HREFS})::BIGINT AS n_anchors, len(list_distinct({_HREFS}))::BIGINT AS n_links FROM pages")
+@query(f"SELECT page_id, len({HREFS})::BIGINT AS n_anchors, len(list_distinct({HREFS}))::BIGINT AS n_links FROM pages")
 def link_dedupe(spark, sf_dir):
-    both = P.with_views(_pages(spark, sf_dir), {"anchors": "anchors", "links": "links"})
+    both = P.with_views(pages_of(spark, sf_dir), {"anchors": "anchors", "links": "links"})
     return both.select("page_id", F.size("anchors").cast("long").alias("n_anchors"), F.size("links").cast("long").alias("n_links"))
 
 
-@query(f"SELECT page_id, 200 AS status, {_TITLE} AS title, len({_HREFS})::INTEGER AS n_links, len(regexp_extract_all(html, '<li>'))::INTEGER AS items FROM pages")
+@query(f"SELECT page_id, 200 AS status, {TITLE} AS title, len({HREFS})::INTEGER AS n_links, len(regexp_extract_all(html, '<li>'))::INTEGER AS items FROM pages")
 def navigation_records(spark, sf_dir):
-    return P.navigation_records(_pages(spark, sf_dir), "li").select("page_id", "status", "title", F.size("links").alias("n_links"), "items")
+    return P.navigation_records(pages_of(spark, sf_dir), "li").select("page_id", "status", "title", F.size("links").alias("n_links"), "items")
 
 
-@query(f"{_LINES} SELECT page_id, array_to_string(l, chr(10)) AS text FROM lines")
+@query(f"{LINES} SELECT page_id, array_to_string(l, chr(10)) AS text FROM lines")
 def page_text(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "text", "text").select("page_id", "text")
+    return P.with_view(pages_of(spark, sf_dir), "text", "text").select("page_id", "text")
 
 
-@query(f"{_LINES} SELECT regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang, count(*) AS n_pages, sum(len(l))::BIGINT AS n_lines, sum(length(array_to_string(l, chr(10))))::BIGINT AS n_chars FROM lines GROUP BY ALL")
+@query(f"{LINES} SELECT regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang, count(*) AS n_pages, sum(len(l))::BIGINT AS n_lines, sum(length(array_to_string(l, chr(10))))::BIGINT AS n_chars FROM lines GROUP BY ALL")
 def text_stats(spark, sf_dir):
-    texts = P.with_view(_pages(spark, sf_dir), "text", "text").select(F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("lang"), "text")
+    texts = P.with_view(pages_of(spark, sf_dir), "text", "text").select(F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("lang"), "text")
     return texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"), F.sum(F.char_length("text")).cast("long").alias("n_chars"))
 
 
 @query()
 def page_markdown(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "markdown", "markdown").select("page_id", "markdown")
+    return P.with_view(pages_of(spark, sf_dir), "markdown", "markdown").select("page_id", "markdown")
 
 
 @query("SELECT page_id, count(*) AS n_headings FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>')) FROM pages) GROUP BY ALL")
 def markdown_headings(spark, sf_dir):
-    lines = P.with_view(_pages(spark, sf_dir), "markdown", "markdown").select("page_id", F.explode(F.split("markdown", "\n")).alias("line"))
+    lines = P.with_view(pages_of(spark, sf_dir), "markdown", "markdown").select("page_id", F.explode(F.split("markdown", "\n")).alias("line"))
     return lines.where(F.col("line").startswith("# ")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_headings"))
 
 
 @query()
 def page_html(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "html", "html").select("page_id", "html")
+    return P.with_view(pages_of(spark, sf_dir), "html", "html").select("page_id", "html")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<!--'))::BIGINT AS n_comments, len(regexp_extract_all(html, '<script'))::BIGINT AS n_scripts, len(regexp_extract_all(html, '<script[^>]* src'))::BIGINT AS n_external FROM pages")
 def script_counts(spark, sf_dir):
-    found = P.nodes(_pages(spark, sf_dir))
+    found = P.nodes(pages_of(spark, sf_dir))
     script = F.col("tag") == "SCRIPT"
     return found.groupBy("page_id").agg(F.count(F.when(F.col("kind") == 8, 1)).alias("n_comments"), F.count(F.when(script, 1)).alias("n_scripts"), F.count(F.when(script & F.col("attrs")["src"].isNotNull(), 1)).alias("n_external"))
 
 
-@query(f"{_LINES} SELECT page_id, false AS js_required, 0 AS scripts, 'server-rendered content present' AS reason FROM lines")
-def needs_scripts(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "d", "needs_scripts").select("page_id", "d.js_required", "d.scripts", "d.reason")
-
-
-@query("SELECT page_id, 0 AS n_json_ld, 0 AS n_states, true AS no_next FROM pages")
-def hydration(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "h", "hydration").select("page_id", F.size("h.json_ld").alias("n_json_ld"), F.size("h.states").alias("n_states"), F.isnull("h.next").alias("no_next"))
-
-
-@query("SELECT page_id, 0 AS n_forms FROM pages")
-def page_forms(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "f", "forms").select("page_id", F.size("f").alias("n_forms"))
-
-
-@query(f"SELECT page_id, unnest(range(0, len({_HREFS})))::INTEGER AS i, 'a' AS tag, 'link' AS role, unnest({_HREFS}) AS raw, true AS visible FROM pages")
+@query(f"""SELECT page_id, i, 'a' AS tag, 'link' AS role, {unescaped('label')} AS name, {LINK} AS href, true AS visible
+  FROM (SELECT page_id, url, unnest(range(0, len({HREFS})))::INTEGER AS i, unnest({HREFS}) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS label FROM pages)""")
 def interactive_elements(spark, sf_dir):
-    found = P.with_views(_pages(spark, sf_dir), {"x": "interactive_visible"})
-    each = P.each(found, "x", "page_id")
-    # in the test pages an anchor's text is its path
-    return each.select("page_id", "x.i", "x.tag", "x.role", F.concat(F.lit("/"), "x.name").alias("raw"), "x.visible")
+    found = P.with_views(pages_of(spark, sf_dir), {"x": "interactive_visible"})
+    return P.each(found, "x", "page_id").select("page_id", "x.i", "x.tag", "x.role", "x.name", "x.href", "x.visible")
 
 
-@query("""SELECT role, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(nav|ul|li|a|article|h1|footer)[ >]', 1)) AS tag FROM pages)
-  JOIN (VALUES ('nav', 'navigation'), ('ul', 'list'), ('li', 'listitem'), ('a', 'link'), ('article', 'article'), ('h1', 'heading'), ('footer', 'contentinfo')) r(tag, role) USING (tag) GROUP BY ALL""")
+@query("""SELECT role, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(nav|ul|li|a|article|h1|footer|p)[ >]', 1)) AS tag FROM pages)
+  JOIN (VALUES ('p', 'paragraph'), ('nav', 'navigation'), ('ul', 'list'), ('li', 'listitem'), ('a', 'link'), ('article', 'article'), ('h1', 'heading'), ('footer', 'contentinfo')) r(tag, role) USING (tag) GROUP BY ALL""")
 def accessibility_roles(spark, sf_dir):
-    found = P.each(P.with_view(_pages(spark, sf_dir), "a", "ax_nodes"), "a").where("a.role <> 'paragraph'")
+    found = P.each(P.with_view(pages_of(spark, sf_dir), "a", "ax_nodes"), "a")
     return found.groupBy(F.col("a.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def all_accessibility_roles(spark, sf_dir):
     """Every role, paragraphs too; no SQL counts what the tree builder implies."""
-    found = P.each(P.with_view(_pages(spark, sf_dir), "a", "ax_nodes"), "a")
+    found = P.each(P.with_view(pages_of(spark, sf_dir), "a", "ax_nodes"), "a")
     return found.groupBy(F.col("a.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def aria_snapshots(spark, sf_dir):
-    return P.with_views(_pages(spark, sf_dir), {"snapshot": "aria_snapshot", "tree": "ax"}).select("page_id", "snapshot", "tree")
-
-
-@query(f"SELECT page_id, {_HREFS}[1] AS first_href, true AS shown, false AS checked, true AS enabled, false AS editable, 'link' AS role FROM pages")
-def first_link_properties(spark, sf_dir):
-    views = {"first_href": P.attribute_view("a", "href"), "shown": P.property_view("a", "is_visible"), "checked": P.property_view("a", "is_checked"), "enabled": P.property_view("a", "is_enabled"), "editable": P.property_view("a", "is_editable"), "role": P.property_view("a", "role")}
-    return P.with_views(_pages(spark, sf_dir), views).select("page_id", *views)
-
-
-@query("SELECT page_id, 'navigate' AS action FROM pages")
-def click_targets(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "c", P.property_view("nav a", "click")).select("page_id", "c.action")
+    return P.with_views(pages_of(spark, sf_dir), {"snapshot": "aria_snapshot", "tree": "ax"}).select("page_id", "snapshot", "tree")
 
 
 # --- selection --------------------------------------------------------------------------------------------------------
@@ -194,187 +113,108 @@ def click_targets(spark, sf_dir):
 _LI = "regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1)"
 
 
-@query(f"SELECT page_id, {_unescaped(f'{_LI}[2]')} AS item FROM pages WHERE len({_LI}) >= 2")
+@query(f"SELECT page_id, {unescaped(f'{_LI}[2]')} AS item FROM pages WHERE len({_LI}) >= 2")
 def xpath_second_li(spark, sf_dir):
-    return P.query(_pages(spark, sf_dir), "//ul/li[2]").select("page_id", F.col("text").alias("item"))
+    return P.query(pages_of(spark, sf_dir), "//ul/li[2]").select("page_id", F.col("text").alias("item"))
 
 
-@query(f"SELECT page_id, unnest(range(0, len({_HREFS})))::INTEGER AS ord, unnest({_HREFS}) AS href FROM pages")
+@query(f"SELECT page_id, unnest(range(0, len({HREFS})))::INTEGER AS ord, unnest({HREFS}) AS href FROM pages")
 def xpath_attribute(spark, sf_dir):
-    return P.query(_pages(spark, sf_dir), "//a/@href").select("page_id", "ord", F.col("value").alias("href"))
+    return P.query(pages_of(spark, sf_dir), "//a/@href").select("page_id", "ord", F.col("value").alias("href"))
 
 
-@query(f"SELECT page_id, unnest(range(0, len({_LI})))::INTEGER AS ord, {_unescaped(f'unnest({_LI})')} AS item FROM pages")
+@query(f"SELECT page_id, unnest(range(0, len({_LI})))::INTEGER AS ord, {unescaped(f'unnest({_LI})')} AS item FROM pages")
 def css_list_items(spark, sf_dir):
-    return P.query(_pages(spark, sf_dir), "nav > ul > li").select("page_id", "ord", F.col("text").alias("item"))
+    return P.query(pages_of(spark, sf_dir), "nav > ul > li").select("page_id", "ord", F.col("text").alias("item"))
 
 
-@query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest({_HREFS}) AS href FROM pages) WHERE href LIKE '/%' GROUP BY ALL")
+@query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest({HREFS}) AS href FROM pages) WHERE href LIKE '/%' GROUP BY ALL")
 def native_selector(spark, sf_dir):
-    found = N.select(_nodes(spark, sf_dir), "nav li > a[href^='/']")
+    found = N.select(nodes_of(spark, sf_dir), "nav li > a[href^='/']")
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT page_id, {_LANG} AS lang, {_HREFS}[1] AS first_href FROM pages")
+@query(f"SELECT page_id, {LANG} AS lang, {HREFS}[1] AS first_href FROM pages")
 def native_first_attribute(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
+    nodes = nodes_of(spark, sf_dir)
     first = N.first_on_page(N.select(nodes, "a[href]"))
     lang = N.attribute(N.select(nodes, "html"), "lang").drop("node_id")
     return lang.join(first.select("page_id", F.col("attrs")["href"].alias("first_href")), "page_id")
 
 
-@query(f"SELECT page_id, len({_HREFS})::BIGINT AS n_links, len({_HREFS})::BIGINT AS n_in_items FROM pages")
+@query(f"SELECT page_id, len({HREFS})::BIGINT AS n_links, len({HREFS})::BIGINT AS n_in_items FROM pages")
 def native_nearest_ancestor(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
+    nodes = nodes_of(spark, sf_dir)
     near = N.nearest_ancestor(N.select(nodes, "a"), N.select(nodes, "li"))
     return near.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count("ancestor_id").alias("n_in_items"))
 
 
-@query("""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<(p|li|a|ul|nav|article|h1|div|footer|style|title|meta|br)[ >]', 1)) AS tag FROM pages) GROUP BY ALL""")
+@query("""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<(p|li|a|ul|nav|article|h1|div|footer|style|title|meta|br|html|head|body)[ >]', 1)) AS tag FROM pages
+    UNION ALL SELECT unnest(regexp_extract_all(html, '<(script)>', 1)) FROM pages) GROUP BY ALL""")
 def tag_counts(spark, sf_dir):
-    found = P.nodes(_pages(spark, sf_dir)).where("kind = 1 and tag not in ('HTML', 'HEAD', 'BODY', 'B', 'SCRIPT')")
+    found = P.nodes(pages_of(spark, sf_dir)).where("kind = 1 and tag <> 'B'")  # what is left out is in all_tag_counts
     return found.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def all_tag_counts(spark, sf_dir):
     """Every element of every page, those without a tag in the source too."""
-    found = P.nodes(_pages(spark, sf_dir)).where("kind = 1")
+    found = P.nodes(pages_of(spark, sf_dir)).where("kind = 1")
     return found.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT page_id, len({_HREFS}) AS n_links FROM pages")
+@query(f"SELECT page_id, len({HREFS}) AS n_links FROM pages")
 def locate_by_role(spark, sf_dir):
-    return P.with_view(_pages(spark, sf_dir), "m", P.locate_view("role", "link", scope="nav")).select("page_id", F.size("m").cast("long").alias("n_links"))
+    return P.with_view(pages_of(spark, sf_dir), "m", P.locate_view("role", "link", scope="nav")).select("page_id", F.size("m").cast("long").alias("n_links"))
 
 
-@query(f"SELECT page_id, {_TITLE} AS heading_of_title, len({_HREFS})::BIGINT AS n_links, {_HREFS}[1] AS first FROM pages")
+@query(f"SELECT page_id, {TITLE} AS heading_of_title, len({HREFS})::BIGINT AS n_links, {HREFS}[1] AS first FROM pages")
 def extract_record(spark, sf_dir):
     schema = {"title": {"selector": "title"}, "links": {"selector": "nav li", "list": True, "fields": {"raw": {"selector": "a", "attr": "text"}}}}
-    found = P.with_view(_pages(spark, sf_dir), "r", P.extract_view(schema))
+    found = P.with_view(pages_of(spark, sf_dir), "r", P.extract_view(schema))
     return found.select("page_id", F.col("r.title").alias("heading_of_title"), F.size("r.links").cast("long").alias("n_links"), F.concat(F.lit("/"), F.col("r.links")[0]["raw"]).alias("first"))
 
 
-@query(f"SELECT page_id, len({_HREFS})::INTEGER - 1 AS ord, {_unescaped(f'{_LI}[len({_LI})]')} AS item FROM pages")
+@query(f"SELECT page_id, len({HREFS})::INTEGER - 1 AS ord, {unescaped(f'{_LI}[len({_LI})]')} AS item FROM pages")
 def locator_last(spark, sf_dir):
-    return matches.last(P.query(_pages(spark, sf_dir), "li")).select("page_id", "ord", F.col("text").alias("item"))
+    return matches.last(P.query(pages_of(spark, sf_dir), "li")).select("page_id", "ord", F.col("text").alias("item"))
 
 
-@query(f"""SELECT page_id, {_unescaped('i')} AS item FROM (SELECT page_id, unnest({_LI}) AS i FROM pages) WHERE {_unescaped('i')} LIKE '%th%' AND {_unescaped('i')} NOT LIKE '%an%'""")
+@query(f"""SELECT page_id, {unescaped('i')} AS item FROM (SELECT page_id, unnest({_LI}) AS i FROM pages) WHERE {unescaped('i')} LIKE '%th%' AND {unescaped('i')} NOT LIKE '%an%'""")
 def locator_filter(spark, sf_dir):
-    found = P.query(_pages(spark, sf_dir), "li")
+    found = P.query(pages_of(spark, sf_dir), "li")
     return matches.having_text(found, "th", without="an").select("page_id", F.col("text").alias("item"))
 
 
-@query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest({_HREFS}) AS h FROM pages UNION ALL SELECT page_id, unnest({_HREFS}[1:1]) FROM pages) GROUP BY ALL")
+@query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest({HREFS}) AS h FROM pages UNION ALL SELECT page_id, unnest({HREFS}[1:1]) FROM pages) GROUP BY ALL")
 def locator_algebra(spark, sf_dir):
     """Anchors that are links (and), with each page's first link once more (or)."""
-    pages = _pages(spark, sf_dir)
+    pages = pages_of(spark, sf_dir)
     links = durable(P.query(pages, "a"), "links")
     both = matches.both(links, links.where(F.contains("html", F.lit("href"))))
     return matches.either(both, matches.first(links)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- what the test pages don't have, on small pages of their own ------------------------------------------------------
-
-
-def _own(spark: SparkSession, *html: str) -> DataFrame:
-    return spark.createDataFrame([(i, "https://x.test/page", h) for i, h in enumerate(html)], "page_id long, url string, html string")
-
-
-_FORM_PAGES = [
-    '<form action="/search?old=1"><input name=q value=rust><input name=p value=2><input name=d value=x disabled><input type=submit name=go value=1></form>',
-    '<form method=post><input name=a value="1 2"><input type=checkbox name=c checked><select name=s><option value=a>A<option selected>B b</select><textarea name=t>lost</textarea></form>',
-    "<form action=https://y.test/f><button name=b>x</button></form>",
-]
-
-
-@query("""SELECT * FROM (VALUES (0, 'GET', 'https://x.test/search?q=rust&p=2', NULL), (1, 'POST', 'https://x.test/page', 'a=1+2&c=on&s=B+b&t='), (2, 'GET', 'https://y.test/f?', NULL)) v(page, method, url, body)""")
-def form_submissions(spark, sf_dir):
-    found = P.each(P.with_view(_own(spark, *_FORM_PAGES), "f", "forms"), "f", "page_id")
-    return found.select(F.col("page_id").cast("int").alias("page"), "f.method", "f.url", "f.body")
-
-
-@query("""SELECT * FROM (VALUES ('navigate', 'https://x.test/n'), ('submit', 'https://x.test/page?b=1'), ('inert', NULL)) v(action, url)""")
-def click_intents(spark, sf_dir):
-    own = _own(spark, "<a href=/n><b class=t>x</b></a>", "<form><button class=t name=b value=1>x</button></form>", "<i class=t>x</i>")
-    return P.with_view(own, "c", P.property_view(".t", "click")).select("c.action", "c.url")
-
-
-_STATE = """<script id="__NEXT_DATA__" type="application/json">{"a":1}</script><script type="application/ld+json">{"@type":"X"}</script><script type="application/ld+json">bad</script>
-<script type="application/json" id=isle>{"b":[2]}</script><script>window.__INITIAL_STATE__ = {"s":"}{"}; __NUXT__=[oops]; __NUXT__ = [3]</script>"""
-
+# --- more views
 
-@query("""SELECT '{"a":1}' AS next, '{"@type":"X"}' AS json_ld, '{"b":[2]}' AS isle, '{"s":"}{"}' AS initial, '[3]' AS nuxt""")
-def hydration_state(spark, sf_dir):
-    h = F.col("h")
-    return P.with_view(_own(spark, _STATE), "h", "hydration").select("h.next", F.array_join(h["json_ld"], ",").alias("json_ld"), h["json"]["isle"].alias("isle"), h["states"]["__INITIAL_STATE__"].alias("initial"), h["states"]["__NUXT__"].alias("nuxt"))
 
-
-_HIDDEN = ["<b hidden>", "<input type=hidden class=t>", "<div style='display: none'><b>", "<style>.h{display:none}</style><b class=h>", "<div style='visibility:hidden'><b>", "<b style='opacity:0'>", "<b aria-hidden=true>", "<b>"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'true' if i > 5 else 'false'})" for i in range(8)) + ") v(page, visible)")
-def visibility(spark, sf_dir):
-    return P.with_view(_own(spark, *_HIDDEN), "visible", P.property_view("b, .t", "is_visible")).select(F.col("page_id").cast("int").alias("page"), "visible")
-
-
-@query("""SELECT * FROM (VALUES (0, 'navigation', 'HomeB'), (1, 'link', 'Home'), (1, 'link', 'B'), (0, 'heading', 'T'), (0, 'textbox', '')) v(depth, role, name)""")
-def accessibility_tree(spark, sf_dir):
-    own = _own(spark, "<div><nav><a href=/>Home</a><a href=/b>B</a></nav><div><h1>T</h1><span></span></div><input value=v></div>")
-    return P.each(P.with_view(own, "a", "ax_nodes"), "a").select("a.depth", "a.role", "a.name")
-
-
-@query("SELECT true AS in_order, false AS reversed")
-def aria_snapshot_match(spark, sf_dir):
-    own = _own(spark, "<nav><a href=/>Home</a><a href=/b>B</a></nav>")
-    return P.with_views(own, {"in_order": P.matches_snapshot_view("nav", '- navigation\n  - link "Home"\n  - link /^b/i'), "reversed": P.matches_snapshot_view("nav", '- link "B"\n- link "Home"')}).select("in_order", "reversed")
-
-
-_SHOP = "<h1>Shop</h1>" + "".join(f'<div class=card><h2><a href="/p/{i}">{n}</a></h2><b class=price>$ {p}</b></div>' for i, (n, p) in enumerate([("Widget", "9.99"), ("Gadget", "19.99"), ("Gizmo", "n/a")]))
-
-
-@query("SELECT * FROM (VALUES ('Widget', 9.99::DOUBLE, 'https://x.test/p/0'), ('Gadget', 19.99, 'https://x.test/p/1'), ('Gizmo', NULL, 'https://x.test/p/2')) v(name, price, link)")
-def schema_records(spark, sf_dir):
-    schema = {"cards": {"selector": ".card", "list": True, "fields": {"name": {"selector": "h2"}, "price": {"selector": ".price", "type": "number"}, "link": {"selector": "a", "attr": "href"}}}}
-    found = P.with_view(_own(spark, _SHOP), "r", P.extract_view(schema)).select(F.col("r.cards").alias("c"))
-    return P.each(found, "c").select("c.name", "c.price", "c.link")
-
-
-_SELECTORS = {"li": 4, "ul > li": 4, "#two li": 2, ".k.m": 1, "[data-x~='2']": 1, "li:first-child": 2, "li:not(.k)": 3, "ul ~ ul li": 2, "p": 0, "li:nth-child(2n)": 2, "//ul[2]/li": 2, "//li[@class]": 1, "//li[9]": 0, "//li[contains(text(),'a')]": 1}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(s.replace("'", "''"), n) for s, n in _SELECTORS.items()) + ") v(selector, n)")
-def selector_counts(spark, sf_dir):
-    own = _own(spark, '<ul><li>a<li class="k m">b</ul><ul id=two><li data-x="1 2">c<li>d</ul>')
-    views = {f"s{i}": P.View(lambda d, b, s=s: len(P.find(d, s)), "int") for i, s in enumerate(_SELECTORS)}
-    table = F.explode(F.array(*(F.struct(F.lit(s).alias("selector"), F.col(f"s{i}").alias("n")) for i, s in enumerate(_SELECTORS))))
-    return P.with_views(own, views).select(table.alias("t")).select("t.*")
-
-
-@query("SELECT * FROM (VALUES ('/a.css'), ('b.css')) v(href)")
-def stylesheets(spark, sf_dir):
-    own = _own(spark, """<link rel=stylesheet href=" /a.css "><LINK href=b.css rel='preload StyleSheet'><link rel="alternate stylesheet" href=c><link rel=icon href=d>""".replace('rel=stylesheet href=" /a.css "', 'rel="stylesheet" href=" /a.css "'))
-    return own.select(F.explode(scalars.stylesheet_hrefs(F.col("html"))).alias("href"))
-
-
-@query(f"SELECT page_id, url, {_TITLE} AS title, len({_HREFS})::INTEGER AS n_interactive, len(list_distinct({_HREFS}))::INTEGER AS n_links FROM pages")
+@query(f"SELECT page_id, url, {TITLE} AS title, len({HREFS})::INTEGER AS n_interactive, len(list_distinct({HREFS}))::INTEGER AS n_links FROM pages")
 def page_snapshot(spark, sf_dir):
-    found = P.with_views(_pages(spark, sf_dir), {"title": "title", "interactive": "interactive", "links": "links"})
+    found = P.with_views(pages_of(spark, sf_dir), {"title": "title", "interactive": "interactive", "links": "links"})
     return found.select("page_id", "url", "title", F.size("interactive").alias("n_interactive"), F.size("links").alias("n_links"))
 
 
 # --- URLs -------------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT page_id, {_CANONICAL} AS canonical FROM pages")
+@query(f"SELECT page_id, {CANONICAL} AS canonical FROM pages")
 def canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scalars.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(f"SELECT page_id, {_CANONICAL} AS canonical FROM pages")
+@query(f"SELECT page_id, {CANONICAL} AS canonical FROM pages")
 def canonical_url_general(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", scalars.canonicalize(F.col("url")).alias("canonical"))
+    return pages_of(spark, sf_dir).select("page_id", scalars.canonicalize(F.col("url")).alias("canonical"))
 
 
 @query("SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n_pages FROM pages GROUP BY ALL")
@@ -382,35 +222,19 @@ def host_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(scalars.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-@query(f"SELECT canonical, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, {_CANONICAL} AS canonical FROM pages) GROUP BY ALL")
+@query(f"SELECT canonical, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, {CANONICAL} AS canonical FROM pages) GROUP BY ALL")
 def canonical_groups(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(scalars.canonical_url(F.col("url")).alias("canonical")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
 
 
-@query(f"""SELECT DISTINCT link FROM (SELECT {_LINK} AS link FROM (SELECT url, unnest({_HREFS}) AS href FROM pages)) WHERE link NOT IN (SELECT {_CANONICAL} FROM pages)""")
+@query(f"""SELECT DISTINCT link FROM (SELECT {LINK} AS link FROM (SELECT url, unnest({HREFS}) AS href FROM pages)) WHERE link NOT IN (SELECT {CANONICAL} FROM pages)""")
 def frontier(spark, sf_dir):
     """Linked but not visited: an anti-join on canonical urls."""
-    pages = _pages(spark, sf_dir)
+    pages = pages_of(spark, sf_dir)
     links = P.each(P.with_view(pages, "links", "links"), "links").withColumnRenamed("links", "link").withColumn("canon", scalars.canonical_url(F.col("link"))).dropDuplicates(["canon"])
     return links.join(pages.select(scalars.canonical_url(F.col("url")).alias("canon")), "canon", "left_anti").select("link")
 
 
-_COERCED = [("$ 19.99", 19.99), ("1,299", 1299.0), ("10-20", None), ("n/a", None), ("", None), ("-5", -5.0), (".5", 0.5)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if v is None else v}::DOUBLE)" for t, v in _COERCED) + ") v(raw, number)")
-def number_coercion(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t, _ in _COERCED], "raw string").select("raw", scalars.to_number(F.col("raw")).alias("number"))
-
-
-_DATES = ["Wed, 21 Oct 2015 07:28:00 GMT", "Wednesday, 21-Oct-15 07:28:00 GMT", "Wed Oct 21 07:28:00 2015"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', 1445412480000)" for d in _DATES) + ") v(raw, ms)")
-def http_dates(spark, sf_dir):
-    return spark.createDataFrame([(d,) for d in _DATES], "raw string").select("raw", F.unix_millis(scalars.http_date(F.col("raw"))).alias("ms"))
-
-
 # --- side tables ------------------------------------------------------------------------------------------------------
 
 _ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /*.html$\nCrawl-delay: 2\nUser-agent: other\nDisallow: /"
@@ -518,30 +342,13 @@ def link_in_degree(spark, sf_dir):
     return inside.groupBy(F.col("target").alias("page")).agg(F.count(F.lit(1)).alias("n_in"))
 
 
-_HOPS = [("https://x.test/a", 302, "/b"), ("https://x.test/b", 307, "https://x.test/c"), ("https://x.test/s", 303, "/c")]
-
-
-@query("SELECT * FROM (VALUES ('https://x.test/a', 'https://x.test/c', 'GET', 2), ('https://x.test/b', 'https://x.test/c', 'POST', 1), ('https://x.test/s', 'https://x.test/c', 'GET', 1), ('https://x.test/z', 'https://x.test/z', 'POST', 0)) v(url, final_url, final_method, n_hops)")
-def redirects(spark, sf_dir):
-    asked = spark.createDataFrame([(f"https://x.test/{p}", "POST") for p in "absz"], "url string, method string")
-    return web.follow_redirects(asked, spark.createDataFrame(_HOPS, "url string, status int, location string")).select("url", "final_url", "final_method", "n_hops")
-
-
 @query("""SELECT host, page_id, greatest(0, max(0 - 1000 * r) OVER (PARTITION BY host ORDER BY r ROWS UNBOUNDED PRECEDING) + 1000 * r)::BIGINT AS wait_ms FROM (
-  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, page_id, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY url) AS r FROM pages)""")
+  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, page_id, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY url, page_id) AS r FROM pages)""")
 def politeness_schedule(spark, sf_dir):
     """All pages asked for at once: a host's n-th request, by url, waits n - 1 seconds."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     log = pages.withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
-    return streams.polite_delays(log).join(pages, "url").select("host", "page_id", (F.col("send_ms") - F.col("ms")).alias("wait_ms"))
-
-
-_LOG = [("a", 0, 503), ("a", 1, 200), ("b", 0, 500), ("b", 1, 500), ("b", 2, 429), ("c", 0, None), ("d", 0, 404)]
-
-
-@query("SELECT * FROM (VALUES ('a', 200, 2, 200::BIGINT), ('b', 429, 3, 600), ('c', 0, 1, 0), ('d', 404, 1, 0)) v(url, status, attempts, waited_ms)")
-def retry_log(spark, sf_dir):
-    return attempts(spark.createDataFrame(_LOG, "url string, attempt int, status int"))
+    return streams.polite_delays(log, carry=("page_id",)).select("host", "page_id", (F.col("send_ms") - F.col("ms")).alias("wait_ms"))
 
 
 # --- aggregates -------------------------------------------------------------------------------------------------------
@@ -584,18 +391,18 @@ def host_language_rollup(spark, sf_dir):
 
 
 @query(f"""SELECT host, page_id, n_links FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n_links DESC, page_id) AS r FROM (
-  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, page_id, len({_HREFS})::INTEGER AS n_links FROM pages)) WHERE r <= 3""")
+  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, page_id, len({HREFS})::INTEGER AS n_links FROM pages)) WHERE r <= 3""")
 def top_pages_by_links(spark, sf_dir):
-    rows = P.with_view(_pages(spark, sf_dir), "n_links", P.count_view("a[href]")).select(scalars.host(F.col("url")).alias("host"), "page_id", "n_links")
+    rows = P.with_view(pages_of(spark, sf_dir), "n_links", P.count_view("a[href]")).select(scalars.host(F.col("url")).alias("host"), "page_id", "n_links")
     best = Window.partitionBy("host").orderBy(F.desc("n_links"), "page_id")
     return rows.withColumn("r", F.row_number().over(best)).where("r <= 3").drop("r")
 
 
 @query(f"""SELECT * FROM (VALUES ('has_title'), ('has_links'), ('is_french')) c("check"), LATERAL (
-  SELECT count(*) FILTER (CASE c."check" WHEN 'has_title' THEN {_TITLE} <> '' WHEN 'has_links' THEN len({_HREFS}) > 0 ELSE {_LANG} = 'fr' END) AS passed,
-    count(*) FILTER (NOT CASE c."check" WHEN 'has_title' THEN {_TITLE} <> '' WHEN 'has_links' THEN len({_HREFS}) > 0 ELSE {_LANG} = 'fr' END) AS failed FROM pages)""")
+  SELECT count(*) FILTER (CASE c."check" WHEN 'has_title' THEN {TITLE} <> '' WHEN 'has_links' THEN len({HREFS}) > 0 ELSE {LANG} = 'fr' END) AS passed,
+    count(*) FILTER (NOT CASE c."check" WHEN 'has_title' THEN {TITLE} <> '' WHEN 'has_links' THEN len({HREFS}) > 0 ELSE {LANG} = 'fr' END) AS failed FROM pages)""")
 def expectations(spark, sf_dir):
-    rows = P.with_views(_pages(spark, sf_dir), {"title": "title", "links": "links", "lang": P.attribute_view("html", "lang")})
+    rows = P.with_views(pages_of(spark, sf_dir), {"title": "title", "links": "links", "lang": P.attribute_view("html", "lang")})
     return stats.expect(rows, has_title=F.col("title") != "", has_links=F.size("links") > 0, is_french=F.col("lang") == "fr")
 
 
@@ -603,3 +410,8 @@ def expectations(spark, sf_dir):
 def label_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return docs.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
+
+
+from . import made  # noqa: E402, F401  registers the queries over pages made from the table's own
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pagewright.functions import scalars
 
+from .encodings import decode_as
+
 MOST_BYTES, MOST_REDIRECTS, SNIFFED = 8 << 20, 20, 1024
 FETCHED = "url string, final_url string, status int, redirected boolean, content_type string, html string, error string"
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([-\w:]+)", re.I)
@@ -29,10 +31,7 @@ def charset(body: bytes, content_type: str | None) -> str:
 
 
 def decode(body: bytes, content_type: str | None) -> str:
-    try:
-        return body.decode(charset(body, content_type), "replace")
-    except LookupError:
-        return body.decode("utf-8", "replace")
+    return decode_as(body, charset(body, content_type))
 
 
 def decoded(body: Column, content_type: Column) -> Column:
@@ -45,18 +44,35 @@ def decoded(body: Column, content_type: Column) -> Column:
     return run(body, content_type)
 
 
+def judged_responses(responses: DataFrame, most_bytes: int = MOST_BYTES, allow_non_html: bool = False) -> DataFrame:
+    """Every stored response (body binary, content_type ...) with `html` and `error`; one of the two is null. The gates run before the decoding."""
+    error = F.when(~scalars.within_bytes(F.col("body"), most_bytes), "body too large")
+    if not allow_non_html:
+        error = F.when(~scalars.is_html_type(F.col("content_type")), "not html").otherwise(error)
+    passed = responses.withColumn("error", error)
+    return passed.withColumn("html", decoded(F.when(F.col("error").isNull(), F.col("body")), F.col("content_type")))
+
+
 def html_responses(responses: DataFrame, most_bytes: int = MOST_BYTES, allow_non_html: bool = False) -> DataFrame:
-    """Stored responses (body binary, content_type ...) that may be pages, with `html`. The gates run before the decoding."""
+    """Those of `judged_responses` that may be pages, with `html`."""
     kept = responses.where(scalars.within_bytes(F.col("body"), most_bytes))
     if not allow_non_html:
         kept = kept.where(scalars.is_html_type(F.col("content_type")))
     return kept.withColumn("html", decoded(F.col("body"), F.col("content_type")))
 
 
-def read_html_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(url, html) of a folder of files; the path stands for the url. The size gate is pushed to the listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most_bytes)
-    return files.select(F.col("path").alias("url"), decoded(F.col("content"), F.lit(None).cast("string")).alias("html"))
+def read_html_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES, report: bool = False) -> DataFrame:
+    """(url, html) of a folder of files; the path stands for the url. The size gate is pushed to the listing.
+
+    With `report` too large files aren't left out, but have a null html and an `error`; their content isn't read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    text = decoded(F.col("content"), F.lit(None).cast("string")).alias("html")
+    kept = files.where(F.col("length") <= most_bytes).select(F.col("path").alias("url"), text)
+    if not report:
+        return kept
+    large = files.where(F.col("length") > most_bytes).select(F.col("path").alias("url"), F.lit(None).cast("string").alias("html"), F.lit("body too large").alias("error"))
+    return kept.withColumn("error", F.lit(None).cast("string")).unionByName(large)
 
 
 def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -74,7 +90,8 @@ def follow_redirects(requests: DataFrame, hops: DataFrame, most: int = MOST_REDI
     """
     from .shared import durable
 
-    moves = hops.where(F.col("status").isin(301, 302, 303, 307, 308) & F.col("location").isNotNull()).select(F.col("url").alias("_at"), F.col("status").alias("_status"), F.col("location").alias("_to")).dropDuplicates(["_at"])
+    moves = hops.where(F.col("status").isin(301, 302, 303, 307, 308) & F.col("location").isNotNull()).select(F.col("url").alias("_at"), F.col("status").alias("_status"), F.col("location").alias("_to"))
+    moves = moves.groupBy("_at").agg(F.min(F.struct("_status", "_to")).alias("_hop")).select("_at", "_hop.*")  # of several hops of one url the same in every run
     now = requests.select("url", "method", F.col("url").alias("final_url"), F.col("method").alias("final_method"), F.lit(0).alias("n_hops"), F.lit(True).alias("moving"))
     for _ in range(most):
         step = now.join(moves, F.col("moving") & (F.col("final_url") == F.col("_at")), "left")

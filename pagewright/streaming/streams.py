@@ -47,15 +47,20 @@ def polite(requests: DataFrame, interval_ms: int = 1000, burst: int = 1, url: st
     return out.select("host", "url", F.timestamp_millis("ms").alias("ts"), F.timestamp_millis("send_ms").alias("send_at"))
 
 
-def polite_delays(log: DataFrame, interval_ms: int = 1000, url: str = "url", ts: str = "ts") -> DataFrame:
-    """The same for a stored log with a burst of one: send_ms = max over earlier requests j of (ts_j + interval * requests since)."""
+def polite_delays(log: DataFrame, interval_ms: int = 1000, url: str = "url", ts: str = "ts", carry: tuple[str, ...] = (), burst: int = 1) -> DataFrame:
+    """The same for a stored log: (host, url, carry..., ms, send_ms), in the order of ms, url and what is carried.
+
+    A request is sent when it comes, or `interval` after its predecessor's place in line if that is later: the
+    greatest of (ms_j + interval * requests since j) over all j up to it, less what the burst allows.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("host").orderBy("ms", "url")
-    rows = log.select(scalars.host(F.col(url)).alias("host"), F.col(url).alias("url"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
+    order = Window.partitionBy("host").orderBy("ms", "url", *carry)
+    rows = log.select(scalars.host(F.col(url)).alias("host"), F.col(url).alias("url"), *carry, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
     rows = rows.withColumn("n", F.row_number().over(order))
     ahead = F.max(F.col("ms") - F.col("n") * interval_ms).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("host", "url", "ms", (ahead + F.col("n") * interval_ms).cast("long").alias("send_ms"))
+    free = ahead + F.col("n") * interval_ms
+    return rows.select("host", "url", *carry, "ms", F.greatest(F.col("ms"), free - interval_ms * (burst - 1)).cast("long").alias("send_ms"))
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: tuple[str, ...] = ("event_type",), value: str = "value") -> DataFrame:
