@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 from typing import NamedTuple
 
@@ -249,6 +250,27 @@ def ax_json(tree: dict) -> dict:
     return own | ({"children": [ax_json(c) for c in tree["children"]]} if tree["children"] else {})
 
 
+def ax_text(tree: dict) -> str:
+    """`ax_json` as text, however deep the tree."""
+    out: list[str] = []
+    todo: list[dict | str] = [tree]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        own = ",".join(f"{json.dumps(k)}:{json.dumps(v, ensure_ascii=False)}" for k, v in item.items() if k != "children" and v)
+        out.append("{" + own)
+        if kids := item["children"]:
+            out.append(("," if own else "") + '"children":[')
+            todo.append("]}")
+            for i, kid in enumerate(reversed(kids)):
+                todo += [",", kid] if i else [kid]
+        else:
+            out.append("}")
+    return "".join(out)
+
+
 def flat(tree: dict | None, depth: int = 0) -> list[tuple[int, str, str, str | None]]:
     """(depth, role, name, value) of the nodes that show; wrappers don't, nor do they deepen."""
     if tree is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pagewright.functions.urls import is_http, resolve
+from pagewright.functions.urls import is_http, resolve, resolve_all
 
 from .selectors import select, select_first
 from .tree import ELEMENT, TEXT_NODE, Node, outer_html
@@ -160,13 +160,21 @@ def title(document: Node) -> str:
 
 def resolved_anchors(document: Node, base: str) -> list[str]:
     """Every anchor's target that resolves, repeated and of any scheme."""
-    targets = (resolve(base, a.attrs.get("href")) for a in select(document, "a[href]"))
-    return [t for t in targets if t is not None]
+    return resolved(base, [a.attrs.get("href") for a in select(document, "a[href]")])
+
+
+def resolved(base: str, hrefs: list[str | None]) -> list[str]:
+    """The hrefs that resolve against base."""
+    return [t for t in resolve_all(base, hrefs) if t is not None]
 
 
 def links(document: Node, base: str) -> list[str]:
     """Distinct http(s) targets in order of first occurrence."""
-    return [t for t in dict.fromkeys(resolved_anchors(document, base)) if is_http(t)]
+    return distinct_http(resolved_anchors(document, base))
+
+
+def distinct_http(targets: list[str]) -> list[str]:
+    return [t for t in dict.fromkeys(targets) if is_http(t)]
 
 
 def matched(nodes: list[Node]) -> list[dict]:

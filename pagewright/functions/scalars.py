@@ -111,9 +111,14 @@ def resolve(base: Column, href: Column) -> Column:
     return _arrow(urls.resolve, base, href)
 
 
+#: URLs for which `canonical_url` gives what the general rules give.
+PLAIN = r"^https?://(?:[a-z0-9]+(?:-[a-z0-9]+)*\.)+[a-z]{2,}(?::[1-9][0-9]{0,3})?(?:/[A-Za-z0-9_-]+)*/?(?:\?[A-Za-z0-9_-]*(?:=[A-Za-z0-9_-]*)?(?:&[A-Za-z0-9_-]*(?:=[A-Za-z0-9_-]*)?)*)?(?:#[A-Za-z0-9_-]*)?$"
+
+
 def canonicalize(url: Column) -> Column:
-    """The canonical form under the general rules."""
-    return _arrow(urls.canonicalize, url)
+    """The canonical form under the general rules; only URLs that aren't plainly written leave the JVM."""
+    plain = F.coalesce(url.rlike(PLAIN) & ~F.contains(url, F.lit("\n")), F.lit(False))
+    return F.when(plain, canonical_url(url)).otherwise(_arrow(urls.canonicalize, F.when(~plain, url)))
 
 
 def http_date(c: Column) -> Column:

@@ -119,10 +119,17 @@ def _slashes(text: str) -> str:
 
 def resolve(base: str | None, href: str | None) -> str | None:
     """href against base; None if href is empty or no URL results."""
-    if not href or not href.strip():
-        return None
-    found = parse(href, parse(base) if base else None)
-    return None if found is None else str(found)
+    return resolve_all(base, [href])[0]
+
+
+def resolve_all(base: str | None, hrefs: list[str | None]) -> list[str | None]:
+    """Each href against the one base, which is parsed once."""
+    against = parse(base) if base and hrefs else None
+    out = []
+    for href in hrefs:
+        found = parse(href, against) if href and href.strip() else None
+        out.append(None if found is None else str(found))
+    return out
 
 
 _FORM_SAFE = "*-._"

@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from pagewright.dom import access, content, data, forms
+from pagewright.dom.flat import COUNTED, Flat, read
 from pagewright.dom.selectors import select, select_first
 from pagewright.dom.tree import ELEMENT, Node, inner_html, outer_html, parse
 from pagewright.dom.xpath import xpath, xpath_values
 
 
+#: Characters of html whose views are held as Python objects at a time.
+SLICE_CHARS = 1 << 20
+
+
 class View(NamedTuple):
-    """What a page gives: a function of its document and base URL, and the result's type."""
+    """What a page gives: a function of its document and base URL, and the result's type; perhaps the same from its tokens alone."""
 
     of: Callable[[Node, str], Any]
     type: str
+    flat: Callable[[Flat, str], Any] | None = None
 
 
 def _json(value: Any) -> str:
@@ -59,15 +65,15 @@ def _forms(d: Node, base: str) -> list[dict]:
 NODE_TYPE = "array<struct<node_id:int,parent_id:int,end_id:int,depth:int,kind:int,tag:string,attrs:map<string,string>,value:string>>"
 INTERACTIVE_TYPE = "array<struct<i:int,tag:string,role:string,name:string,value:string,href:string,type:string,visible:boolean,js_handler:boolean,node:int>>"
 VIEWS: dict[str, View] = {
-    "title": View(lambda d, b: content.title(d), "string"),
+    "title": View(lambda d, b: content.title(d), "string", lambda f, b: (f.title or "").strip()),
     "text": View(lambda d, b: content.reading_text(d), "string"),
     "markdown": View(content.markdown, "string"),
     "html": View(lambda d, b: outer_html(d), "string"),
-    "links": View(content.links, "array<string>"),
-    "anchors": View(content.resolved_anchors, "array<string>"),
+    "links": View(content.links, "array<string>", lambda f, b: content.distinct_http(content.resolved(b, f.hrefs))),
+    "anchors": View(content.resolved_anchors, "array<string>", lambda f, b: content.resolved(b, f.hrefs)),
     "interactive": View(lambda d, b: access.interactive(d, b), INTERACTIVE_TYPE),
     "interactive_visible": View(lambda d, b: access.interactive(d, b, True), INTERACTIVE_TYPE),
-    "ax": View(lambda d, b: _json(access.ax_json(access.ax_tree(d))), "string"),
+    "ax": View(lambda d, b: access.ax_text(access.ax_tree(d)), "string"),
     "ax_nodes": View(lambda d, b: [{"depth": x[0], "role": x[1], "name": x[2], "value": x[3]} for x in access.flat(access.ax_tree(d))], "array<struct<depth:int,role:string,name:string,value:string>>"),
     "aria_snapshot": View(lambda d, b: access.aria_snapshot(select_first(d, "body") or d), "string"),
     "hydration": View(_hydration, "struct<next:string,json_ld:array<string>,json:map<string,string>,states:map<string,string>>"),
@@ -97,7 +103,10 @@ def query_view(selector: str, kind: str = "auto") -> View:
 
 
 def count_view(selector: str) -> View:
-    return View(lambda d, b: len(select(d, selector)), "int")
+    of = lambda d, b: len(select(d, selector))
+    if selector == "a[href]":
+        return View(of, "int", lambda f, b: len(f.hrefs))
+    return View(of, "int", (lambda f, b: f.counts[selector]) if selector in COUNTED else None)
 
 
 def locate_view(how: str, *args, scope: str | None = None, **named) -> View:
@@ -199,29 +208,47 @@ def _arrow(kind: str) -> pa.DataType:
     return to_arrow_type(T._parse_datatype_string(kind))
 
 
+def batch_views(chosen: dict[str, View], types: pa.DataType) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """The function from htmls and base URLs to structs of the views."""
+    by_tokens = all(v.flat is not None for v in chosen.values())
+
+    def page(html: str | None, base: str | None) -> dict | None:
+        if html is None:
+            return None
+        if by_tokens and (tokens := read(html)) is not None:
+            return {name: v.flat(tokens, base or "") for name, v in chosen.items()}
+        document = parse(html)
+        return {name: v.of(document, base or "") for name, v in chosen.items()}
+
+    def run(htmls: pa.Array, bases: pa.Array) -> pa.Array:
+        done, held, size = [], [], 0
+        for h, b in zip(htmls, bases, strict=True):
+            html = h.as_py()
+            held.append(page(html, b.as_py()))
+            size += len(html or "")
+            if size >= SLICE_CHARS:
+                done.append(pa.array(held, types))
+                held, size = [], 0
+        return pa.concat_arrays([*done, pa.array(held, types)])
+
+    return run
+
+
 def with_views(pages: DataFrame, views: dict[str, View | str], html: str | Column = "html", base: str | Column = "url") -> DataFrame:
     """`pages` with a column for each view. The views of a row share one parse; a null page gives nulls.
 
     The columns come from a single Arrow UDF: filters on other columns run before it, and without a use of the views it
-    doesn't run at all. A page that no view can cope with (nested deeper than the interpreter allows) gives nulls too.
+    doesn't run at all. Where all views can do with a page's tokens, no tree is built. Python objects are held for
+    about `SLICE_CHARS` of html at a time, then they are Arrow data.
     """
     chosen = {name: VIEWS[v] if isinstance(v, str) else v for name, v in views.items()}
     kind = "struct<" + ",".join(f"`{name}`:{v.type}" for name, v in chosen.items()) + ">"
 
-    types = _arrow(kind)
-
-    def page(html: str | None, base: str | None) -> dict | None:
-        if html is None:
-            return None
-        try:
-            document = parse(html)
-            return {name: v.of(document, base or "") for name, v in chosen.items()}
-        except RecursionError:
-            return None
+    views_of = batch_views(chosen, _arrow(kind))
 
     @F.arrow_udf(kind)
     def run(htmls: pa.Array, bases: pa.Array) -> pa.Array:
-        return pa.array([page(h.as_py(), b.as_py()) for h, b in zip(htmls, bases)], types)
+        return views_of(htmls, bases)
 
     html_col = F.col(html) if isinstance(html, str) else html
     base_col = F.col(base) if isinstance(base, str) else base
@@ -252,12 +279,39 @@ def query_first(pages: DataFrame, selector: str, kind: str = "auto", key: str =
     return query(pages, selector, kind, key).where("ord = 0").drop("ord")
 
 
+def node_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of the node table from batches (key, html), some for each `SLICE_CHARS` of html at a time."""
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array(keys, schema.field(0).type), *(pa.array([r[f.name] for r in rows], f.type) for f in list(schema)[1:])]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    keys, rows, size = [], [], 0
+    for batch in batches:
+        for key, html in zip(batch.column(0), batch.column(1), strict=True):
+            html = html.as_py()
+            if html is None:
+                continue
+            found = _nodes(parse(html), "")
+            keys += [key.as_py()] * len(found)
+            rows += found
+            size += len(html)
+            if size >= SLICE_CHARS:
+                yield made()
+                keys, rows, size = [], [], 0
+    yield made()
+
+
 def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The node table: one row a node; a node's descendants are those with ids from its own to its end_id."""
-    return each(with_view(pages, "n", "nodes"), "n", key).select(key, "n.*")
+    slim = pages.select(F.col(key), F.col("html"))
+    node = T._parse_datatype_string(NODE_TYPE).elementType
+    types = T.StructType([T.StructField(key, slim.schema[key].dataType), *node.fields])
+    schema = to_arrow_schema(types)
+    return slim.mapInArrow(lambda batches: node_batches(batches, schema), types)
 
 
 def navigation_records(pages: DataFrame, item_selector: str | None = None, key: str = "page_id", status: Column | None = None) -> DataFrame:
     """(key, url, status, title, links, items): what one navigation leaves; links repeat and keep every scheme."""
-    found = with_views(pages, {"title": "title", "links": "anchors", "items": count_view(item_selector) if item_selector else View(lambda d, b: 0, "int")})
+    found = with_views(pages, {"title": "title", "links": "anchors", "items": count_view(item_selector) if item_selector else View(lambda d, b: 0, "int", lambda f, b: 0)})
     return found.select(key, "url", (F.lit(200) if status is None else status).cast("int").alias("status"), "title", "links", "items")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewright.operators import pages as P
 from pagewright.sources.shared import durable
@@ -33,9 +34,12 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.repartition(cores) if len(pages.inputFiles()) < cores else pages
 
 
-def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node table, parsed once for plans that read it several times."""
-    return durable(P.nodes(pages_of(spark, sf_dir)), "nodes")
+def elements_of(spark: SparkSession, sf_dir: str, *tags: str) -> DataFrame:
+    """The elements of the node table, parsed once for plans that read it several times; given tags, only these."""
+    found = P.nodes(pages_of(spark, sf_dir)).where("kind = 1").drop("value")
+    if tags:
+        found = found.where(F.col("tag").isin(*tags))
+    return durable(found, "nodes")
 
 
 # --- what the SQL side shares -----------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pagewright.operators.crawl import crawl, edges, totals
 from pagewright.sources.shared import durable
 from pagewright.streaming import streams
 
-from .base import CANONICAL, HREFS, LANG, LINES, LINK, ORACLE_SQL, ORIGIN, QUERIES, TITLE, nodes_of, pages_of, query, table, unescaped
+from .base import CANONICAL, HREFS, LANG, LINES, LINK, ORACLE_SQL, ORIGIN, QUERIES, TITLE, elements_of, pages_of, query, table, unescaped
 
 # --- sources, projections, content ------------------------------------------------------------------------------------
 
@@ -130,13 +130,13 @@ def css_list_items(spark, sf_dir):
 
 @query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest({HREFS}) AS href FROM pages) WHERE href LIKE '/%' GROUP BY ALL")
 def native_selector(spark, sf_dir):
-    found = N.select(nodes_of(spark, sf_dir), "nav li > a[href^='/']")
+    found = N.select(elements_of(spark, sf_dir, "NAV", "LI", "A"), "nav li > a[href^='/']")
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT page_id, {LANG} AS lang, {HREFS}[1] AS first_href FROM pages")
 def native_first_attribute(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
+    nodes = elements_of(spark, sf_dir, "A", "HTML")
     first = N.first_on_page(N.select(nodes, "a[href]"))
     lang = N.attribute(N.select(nodes, "html"), "lang").drop("node_id")
     return lang.join(first.select("page_id", F.col("attrs")["href"].alias("first_href")), "page_id")
@@ -144,7 +144,7 @@ def native_first_attribute(spark, sf_dir):
 
 @query(f"SELECT page_id, len({HREFS})::BIGINT AS n_links, len({HREFS})::BIGINT AS n_in_items FROM pages")
 def native_nearest_ancestor(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
+    nodes = elements_of(spark, sf_dir, "A", "LI")
     near = N.nearest_ancestor(N.select(nodes, "a"), N.select(nodes, "li"))
     return near.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count("ancestor_id").alias("n_in_items"))
 

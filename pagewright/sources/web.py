@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import http.client
 import re
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ from pagewright.functions import scalars
 from .encodings import decode_as
 
 MOST_BYTES, MOST_REDIRECTS, SNIFFED = 8 << 20, 20, 1024
-FETCHED = "url string, final_url string, status int, redirected boolean, content_type string, html string, error string"
+FETCHED = "url string, final_url string, status int, redirected boolean, content_type string, html string, error string, attempts int, etag string, last_modified string, set_cookie array<string>"
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([-\w:]+)", re.I)
 
 
@@ -110,39 +112,82 @@ def follow_redirects(requests: DataFrame, hops: DataFrame, most: int = MOST_REDI
 # --- HTTP ------------------------------------------------------------------------------------------------------------
 
 
-def fetch_one(url: str, user_agent: str = "pagewright", timeout: float = 30, most_bytes: int = MOST_BYTES, allow_non_html: bool = False) -> tuple:
-    """A row of FETCHED; what fails has status 0 and an error, nothing is raised."""
+class _Hops(urllib.request.HTTPRedirectHandler):
+    max_redirections = MOST_REDIRECTS
+    max_repeats = MOST_REDIRECTS
+
+
+def _once(url: str, headers: dict[str, str], timeout: float, most_bytes: int, allow_non_html: bool) -> tuple:
     try:
-        request = urllib.request.Request(url, headers={"User-Agent": user_agent})
+        request = urllib.request.Request(url, headers=headers)
         try:
-            response = urllib.request.urlopen(request, timeout=timeout)
+            response = urllib.request.build_opener(_Hops).open(request, timeout=timeout)
         except urllib.error.HTTPError as e:
             response = e
         with response:
-            kind = response.headers.get("content-type", "")
+            got = response.headers
+            kind, extra = got.get("content-type", ""), (got.get("etag"), got.get("last-modified"), got.get_all("set-cookie") or [])
+            head = (url, response.url, response.status, response.url != url, kind)
+            if response.status == 304:
+                return *head, None, None, *extra
             if kind and not allow_non_html and not re.search(r"text/html|application/xhtml\+xml|application/xml|text/xml", kind.lower()):
-                return url, response.url, response.status, response.url != url, kind, None, "not html"
-            if int(response.headers.get("content-length") or 0) > most_bytes or len(body := response.read(most_bytes + 1)) > most_bytes:
-                return url, response.url, response.status, response.url != url, kind, None, "body too large"
-            return url, response.url, response.status, response.url != url, kind, decode(body, kind), None
-    except (OSError, ValueError) as e:
-        return url, url, 0, False, None, None, f"{type(e).__name__}: {e}"
+                return *head, None, "not html", *extra
+            if int(got.get("content-length") or 0) > most_bytes or len(body := response.read(most_bytes + 1)) > most_bytes:
+                return *head, None, "body too large", *extra
+            return *head, decode(body, kind), None, *extra
+    except (OSError, ValueError, http.client.HTTPException) as e:
+        return url, url, 0, False, None, None, f"{type(e).__name__}: {e}", None, None, []
+
 
+def fetch_one(
+    url: str, user_agent: str = "pagewright", timeout: float = 30, most_bytes: int = MOST_BYTES, allow_non_html: bool = False, headers: dict[str, str | None] | None = None, retries: int = 0, backoff_ms: int = 200
+) -> tuple:
+    """A row of FETCHED; what fails has status 0 and an error, nothing is raised.
 
-def fetch(urls: DataFrame, concurrency: int = 4, url: str = "url", **options) -> DataFrame:
-    """(ord, FETCHED...) for each row of (ord, url); a host's urls go to one partition, so politeness needs no shared lock."""
+    429, 5xx and transport errors are tried again up to `retries` times, after backoff * 2^attempt. Urls that are none aren't.
+    """
+    sent = {"User-Agent": user_agent} | {k: v for k, v in (headers or {}).items() if v}
+    for attempt in range(retries + 1):
+        row = _once(url, sent, timeout, most_bytes, allow_non_html)
+        again = row[2] == 429 or row[2] >= 500 or row[2] == 0 and not row[6].startswith("ValueError")
+        if not again or attempt == retries:
+            break
+        time.sleep(backoff_ms * 2**attempt / 1000)
+    return *row[:7], attempt + 1, *row[7:]
+
+
+def fetch(urls: DataFrame, concurrency: int | None = None, url: str = "url", politeness_ms: int = 0, **options) -> DataFrame:
+    """(ord, FETCHED...) for each row of (ord, url), with `options` as of `fetch_one`.
+
+    `concurrency` tasks work at a time, as many as there are cores by default. A host's urls go to one of them, which
+    keeps `politeness_ms` between its requests, or the row's crawl_delay in seconds if that is longer; no lock is shared. Columns cookie,
+    if_none_match and if_modified_since, as of `cookie_headers` and `conditional_headers`, are sent as headers.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL("ord long, " + FETCHED)
     arrow = to_arrow_schema(schema)
+    known = {"cookie": "Cookie", "if_none_match": "If-None-Match", "if_modified_since": "If-Modified-Since"}
+    carried = [c for c in known if c in urls.columns]
+    delay = F.col("crawl_delay").cast("double") if "crawl_delay" in urls.columns else F.lit(None).cast("double")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free: dict[str | None, float] = {}  # of the hosts of this task
         for batch in batches:
-            rows = [(o, *fetch_one(u, **options)) for o, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = []
+            for r in batch.to_pylist():
+                now = time.monotonic()
+                if (wait := free.get(r["host"], now) - now) > 0:
+                    time.sleep(wait)
+                rows.append((r["ord"], *fetch_one(r["url"], headers={known[c]: r[c] for c in carried}, **options)))
+                interval = max(politeness_ms / 1000, r["delay"] or 0)
+                if interval:
+                    free[r["host"]] = max(now, free.get(r["host"], now)) + interval
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
 
-    return urls.select("ord", F.col(url).alias("url")).repartition(concurrency, scalars.host(F.col("url"))).mapInArrow(step, schema)
+    slim = urls.select("ord", F.col(url).alias("url"), scalars.host(F.col(url)).alias("host"), delay.alias("delay"), *carried)
+    return slim.repartition(concurrency or urls.sparkSession.sparkContext.defaultParallelism, "host").mapInArrow(step, schema)
 
 
 class WebFetch(DataSource):

@@ -20,3 +20,4 @@ def assert_same(spark, sf_dir, query, sql, folder):
     want = con.execute(sql).fetch_df()
     assert rows(got) == rows(want)
     assert {c: got[c].dtype for c in got} == {c: want[c].dtype for c in want} or not len(want)
+    return len(want)

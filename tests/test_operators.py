@@ -8,7 +8,8 @@ from pagewright.dom.selectors import select as select_tree
 from pagewright.dom.tree import parse
 from pagewright.functions import scalars, urls
 from pagewright.operators import matches, nodes, pages, side_tables, stats
-from pagewright.operators.crawl import attempts, crawl, totals
+from pagewright.operators import crawl as crawls
+from pagewright.operators.crawl import attempts, crawl, schedule, totals
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,9 +90,9 @@ def one(spark, *columns):
 
 
 def test_scalars(spark):
-    values = ["$ 19.99", "1,299", "10-20", "n/a", "", "-5", None]
+    values = ["EUR 7.25", "3,450 m", "7-9", "none left", "", "-5", None]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(scalars.to_number(F.col("v"))).collect()]
-    assert got == [19.99, 1299.0, None, None, None, -5.0, None]
+    assert got == [7.25, 3450.0, None, None, None, -5.0, None]
     plain = ["https://X.test/p?b=2&utm_source=g&a=1#frag", "https://x.test", "http://x.test:80/a", "https://x.test/p?z=1&a=2&a=1", "https://x.test/?REF=1", "https://x.test/?a", "http://x.test:8080/?a=1&&b="]
     frame = spark.createDataFrame([(u,) for u in plain], "u string")
     rows = frame.select("u", scalars.canonical_url(F.col("u")).alias("native"), scalars.canonicalize(F.col("u")).alias("general"), scalars.host(F.col("u")).alias("h"), scalars.origin(F.col("u")).alias("o"), scalars.is_http(F.col("u")).alias("w")).collect()
@@ -197,3 +198,42 @@ def test_stats(spark):
     assert tuple(stats.parity(a, b, ["step"], "v").collect()[0]) == (1, 2, 0.5)
     checks = stats.expect(ten, positive=F.col("ms") > 0, small=F.col("ms") < 30, never=F.lit(None).cast("boolean"))
     assert {r.check: (r.passed, r.failed) for r in checks.collect()} == {"positive": (7, 0), "small": (4, 3), "never": (0, 7)}
+
+
+def test_attempts_with_repeated_rows(spark):
+    log = [("a", 0, 503), ("a", 0, 503), ("a", 1, 200), ("a", 1, 200), ("b", 0, 500), ("b", 0, None), ("c", 1, 404), ("c", 1, 500)]
+    for order in (log, log[::-1]):
+        assert {r.url: tuple(r)[1:] for r in attempts(spark.createDataFrame(order, "url string, attempt int, status int")).collect()} == {"a": (200, 2, 200), "b": (500, 1, 0), "c": (404, 2, 200)}
+
+
+def test_crawls_repeat(spark):
+    """Of pages with one canonical url the same one counts, however the corpus is ordered; null and repeated rows do no harm."""
+    rows = [("https://x.test/?utm_source=2", 200, "two", ["https://x.test/b"], 1), ("https://x.test/", 200, "one", ["https://x.test/a"], 1), ("https://x.test/#f", 404, "three", ["https://x.test/c"], 1), (None, 200, "none", [], 0), ("https://x.test/a", 200, "a", None, 1)]
+    for order in (rows, rows[::-1], rows * 3):
+        got = crawl(spark.createDataFrame(order, "url string, status int, title string, links array<string>, items int"), ["https://x.test/", "mailto:a@b.test"]).collect()
+        assert sorted((r.url, r.depth, r.status, r.title) for r in got) == [("https://x.test/", 0, 200, "one"), ("https://x.test/a", 1, 200, "a")]
+    empty = spark.createDataFrame([], "url string, status int, title string, links array<string>")
+    assert [r.error for r in crawl(empty, ["https://x.test/"]).collect()] == ["not in the corpus"]
+
+
+def test_long_crawls_and_tables_of_starts(spark, monkeypatch):
+    monkeypatch.setattr(crawls, "MOST_PARTS", 2)
+    corpus = site(spark, {f"/{i}": [f"/{i + 1}", "/0"] for i in range(7)})
+    starts = spark.createDataFrame([(0, "https://x.test/0"), (1, "https://x.test/5")], "place int, url string")
+    found = crawl(corpus.withColumn("error", F.when(F.col("title") == "/2", "cut off")), starts, max_depth=50).collect()
+    assert sorted((r.url[15:], r.depth) for r in found) == [("0", 0), ("1", 1), ("2", 2), ("3", 3), ("4", 4), ("5", 0), ("6", 1), ("7", 2)]
+    assert {r.url[15:]: r.error for r in found if r.error} == {"2": "cut off", "7": "not in the corpus"}
+
+
+def test_schedule(spark):
+    records = spark.createDataFrame([(f"https://{h}.test/{i}", i) for h in "xy" for i in range(3)], "url string, depth int")
+    rules = side_tables.robots_rules(spark.createDataFrame([("https://x.test", "User-agent: *\nCrawl-delay: 2")], "origin string, text string"))
+    waits = {r.url: r.wait_ms for r in schedule(records, 500, rules).collect()}
+    assert [waits[f"https://x.test/{i}"] for i in range(3)] == [0, 2000, 4000] and [waits[f"https://y.test/{i}"] for i in range(3)] == [0, 500, 1000]
+    assert sorted(r.wait_ms for r in schedule(records, 500, burst=2).collect()) == [0, 0, 0, 0, 500, 500]
+
+
+def test_cookie_of_many_attributes(spark):
+    line = "a=1" + "; x=1" * 300 + "; Path=/p; Secure"
+    jar = side_tables.cookie_jar(spark.createDataFrame([("https://x.test/", line, 0, datetime.datetime(2020, 1, 1))], "url string, set_cookie string, seq int, now timestamp")).collect()
+    assert [(r.path, r.secure) for r in jar] == [("/p", True)]

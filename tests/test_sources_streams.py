@@ -1,16 +1,31 @@
 import datetime
 import http.server
+import os
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.sources import web
+from pagewright.sources.encodings import decode_as
 from pagewright.streaming import streams
 
 
+SEEN = []
+
+
 class Site(http.server.BaseHTTPRequestHandler):
     def do_GET(self):
+        SEEN.append((self.path, time.monotonic(), self.headers.get("Cookie"), self.headers.get("If-None-Match")))
+        if self.path.startswith("/busy") and sum(s[0] == self.path for s in SEEN) < 3:
+            self.send_response(503)
+            self.end_headers()
+            return
+        if self.path == "/same" and self.headers.get("If-None-Match") == "e1":
+            self.send_response(304)
+            self.end_headers()
+            return
         kind, body, status = {
             "/page": ("text/html; charset=latin-1", "é".encode("latin-1"), 200), "/img": ("image/png", b"x", 200), "/big": ("text/html", b"y" * (9 << 20), 200), "/gone": ("text/html", b"gone", 404),
         }.get(self.path, ("text/html", b"", 302))
@@ -18,6 +33,10 @@ class Site(http.server.BaseHTTPRequestHandler):
         if status == 302:
             self.send_header("Location", "/page")
         self.send_header("Content-Type", kind)
+        if self.path == "/page":
+            self.send_header("ETag", "e1")
+            self.send_header("Set-Cookie", "a=1")
+            self.send_header("Set-Cookie", "b=2; Path=/")
         self.end_headers()
         try:
             self.wfile.write(body)
@@ -47,6 +66,19 @@ def test_fetching(spark, server):
     assert [r.status for r in spark.read.format("webfetch").option("urls", "\n".join(urls[:2])).load().orderBy("url").collect()] == [200, 200]
 
 
+def test_retries_headers_and_politeness(spark, server):
+    rows = [(0, server + "/busy", None, None), (1, server + "/page", "a=1", None), (2, server + "/same", None, "e1"), (3, server + "/gone", None, None), (4, "http://127.0.0.1:1/", None, None), (5, "none", None, None)]
+    asked = spark.createDataFrame(rows, "ord long, url string, cookie string, if_none_match string")
+    SEEN.clear()
+    got = {r.ord: r for r in web.fetch(asked, politeness_ms=150, retries=2, backoff_ms=10).collect()}
+    assert [(got[i].status, got[i].attempts) for i in range(6)] == [(200, 3), (200, 1), (304, 1), (404, 1), (0, 3), (0, 1)]
+    assert got[2].html is None and got[2].error is None
+    assert (got[1].etag, got[1].set_cookie) == ("e1", ["a=1", "b=2; Path=/"])
+    assert {(s[0], s[2], s[3]) for s in SEEN} >= {("/page", "a=1", None), ("/same", None, "e1")}
+    first = sorted({p: min(s[1] for s in SEEN if s[0] == p) for p in ("/busy", "/page", "/same", "/gone")}.values())
+    assert all(b - a > 0.1 for a, b in zip(first, first[1:]))
+
+
 def test_stored_responses(spark, tmp_path):
     rows = [(b"\xe9", "text/html; charset=latin-1"), (b"<meta charset='latin-1'>\xe9", None), ("é".encode(), ""), (b"x", "image/png"), (b"\xff", "text/html; charset=nope"), (b"z" * 50, "text/html")]
     got = web.html_responses(spark.createDataFrame(rows, "body binary, content_type string"), most_bytes=40)
@@ -113,3 +145,67 @@ def test_windows_of_streams_and_tables_agree(spark, stream):
     batch = streams.windowed_counts(spark.createDataFrame(rows, schema)).collect()
     assert sorted(map(tuple, live)) == sorted(map(tuple, batch)) and sorted(r.n for r in batch) == [1, 1, 3]
     assert sorted(r.n for r in streams.sessions(spark.createDataFrame(rows, schema)).collect()) == [1, 2, 2]
+
+
+@pytest.mark.parametrize(
+    ("label", "body", "want"),
+    [
+        ("iso-8859-1", b"\x80\x81\x93\xe9", "€\x81“é"), ("ASCII", b"\x99", "™"), (" Latin1 ", b"\x85", "…"), ("us-ascii", b"\xa0", "\xa0"), ("windows-1252", b"\x8d", "\x8d"), ("iso-8859-9", b"\x80\xfd", "€ı"), ("tis-620", b"\xa1", "ก"), ("iso-8859-2", b"\xf5", "ő"),
+        ("gb2312", "中文".encode("gbk"), "中文"), ("euc-kr", "한".encode("cp949"), "한"), ("shift_jis", "①".encode("cp932"), "①"), ("big5", "中".encode("big5"), "中"), ("koi8-ru", "ж".encode("koi8-u"), "ж"), ("x-sjis", "カ".encode("cp932"), "カ"), ("macintosh", b"\x8e", "é"),
+        ("utf-16", "é".encode("utf-16-le"), "é"), ("utf-7", b"+AOk-", "+AOk-"), ("cp437", "é".encode(), "é"), ("rot13", b"abc", "abc"), ("nope", b"\xff", "�"), ("hz-gb-2312", b"abc", "�"), ("iso-2022-kr", b"", ""), ("windows-1253", b"\xaa", "�"),
+        ("iso-8859-1", b"\xef\xbb\xbf\xc3\xa9", "é"), ("utf-8", b"\xfe\xff\x00a", "a"), ("iso-8859-8-i", b"\xe0", "א"), ("", b"\xc3\xa9", "é"),
+    ],
+)
+def test_encodings_of_the_web(label, body, want):
+    assert decode_as(body, label) == want
+
+
+def test_what_fails_is_reported(spark, tmp_path):
+    rows = [(1, b"ok", None), (2, b"x" * 50, "text/html"), (3, b"x", "image/png"), (4, None, "text/html"), (5, b"x" * 50, "image/png")]
+    got = web.judged_responses(spark.createDataFrame(rows, "id int, body binary, content_type string"), most_bytes=40).orderBy("id").collect()
+    assert [(r.html, r.error) for r in got] == [("ok", None), (None, "body too large"), (None, "not html"), (None, None), (None, "not html")]
+    (tmp_path / "a.html").write_text("<p>hi")
+    (tmp_path / "b.html").write_text("<p>" + "x" * 99)
+    assert {r.url[-6:]: (r.html, r.error) for r in web.read_html_files(spark, str(tmp_path), most_bytes=50, report=True).collect()} == {"a.html": ("<p>hi", None), "b.html": (None, "body too large")}
+
+
+def test_redirects_of_repeated_hops(spark):
+    hops = [("https://x.test/a", 302, "/c"), ("https://x.test/a", 302, "/b"), ("https://x.test/a", 307, "/d")]
+    asked = spark.createDataFrame([("https://x.test/a", "GET")], "url string, method string")
+    for order in (hops, hops[::-1]):
+        got = web.follow_redirects(asked, spark.createDataFrame(order, "url string, status int, location string")).collect()
+        assert [(r.final_url, r.n_hops) for r in got] == [("https://x.test/b", 1)]
+
+
+def test_polite_delays_of_repeated_urls_and_bursts(spark):
+    rows = [(i, "https://x.test/1", AT) for i in range(3)] + [(9, "https://x.test/2", AT + datetime.timedelta(seconds=9))]
+    frame = spark.createDataFrame(rows, "id int, url string, ts timestamp_ntz")
+    start = int(AT.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    assert {r.id: r.send_ms - start for r in streams.polite_delays(frame, carry=("id",)).collect()} == {0: 0, 1: 1000, 2: 2000, 9: 9000}
+    assert {r.id: r.send_ms - start for r in streams.polite_delays(frame, carry=("id",), burst=2).collect()} == {0: 0, 1: 0, 2: 1000, 9: 9000}
+
+
+def test_shared_folder(spark):
+    from pagewright.sources import shared
+
+    frame = shared.durable(spark.range(3), "x")
+    path = frame.inputFiles()[0]
+    assert frame.count() == 3
+    shared.drop_durable(frame)
+    assert not os.path.exists(path.removeprefix("file://"))
+    kept = shared.durable(spark.range(2), "x").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(kept)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from pagewright.sources import shared
+
+    class Session:
+        def __init__(self, master):
+            self.conf = {}
+            self.sparkContext = type("C", (), {"master": master})()
+
+    assert shared.shared_dir(Session("local[4]")).startswith("file://")
+    for master in ("spark://h:7077", "yarn", "k8s://h", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared.shared_dir(Session(master))

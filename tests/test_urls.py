@@ -1,7 +1,9 @@
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from pagewright.functions import scalars
 from pagewright.functions.urls import canonicalize, host_of, is_http, origin_of, resolve
 
 
@@ -40,3 +42,16 @@ def test_parts():
 def test_canonical_form_is_stable(path, query):
     once = canonicalize(f"https://x.test/{path}?{query}")
     assert once is None or canonicalize(once) == once
+
+
+HOSTS = ["x.test", "a-b.x.test", "x.test:80", "x.test:443", "x.test:8080", "X.test", "1.2.3.4", "x.1", "xn--e1afmkfd.test", "é.test", "x", "x..test", "x.test:0", "x.test:99999", "u@x.test", "-a.test"]
+PATHS = ["", "/", "/a/b_c-d/", "/a//b", "/a/../b", "/./a", "/a.html", "/%41", "/é", "/a b"]
+QUERIES = ["", "?", "?a", "?b=2&a=1&a=0", "?utm_source=x&k=v", "?UTM_Source=x", "?ref=1&REF=2", "?a=b=c", "?&&a=", "?q=a+b", "?q=%20", "?=v", "?a&a="]
+REST = ["", "#f", "#", "#a/b", "\n"]
+
+
+def test_native_and_general_agree(spark):
+    urls_ = [f"{s}://{h}{p}{q}{r}" for s in ("http", "https", "HTTP", "ftp") for h in HOSTS for p in PATHS for q in QUERIES for r in REST] + ["", None, "nonsense", "//x.test/", "https:x.test"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "i int, u string")
+    got = {r.i: r.c for r in frame.select("i", scalars.canonicalize(F.col("u")).alias("c")).collect()}
+    assert [got[i] for i in range(len(urls_))] == [canonicalize(u) for u in urls_]
