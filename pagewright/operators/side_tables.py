@@ -11,10 +11,12 @@ from pagewright.functions import scalars
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
-    """(origin, group_no, agents, rule_no, allow, pattern, len, crawl_delay) from (origin, text), one row a rule.
+    """(origin, group_no, agents, rule_no, allow, pattern, len, crawl_delay) from (origin, text, perhaps status), one row a rule.
 
-    Neighbouring User-agent lines share a group; any rule closes it. Groups without rules have one row with null pattern.
+    A file whose status isn't 2xx has no rules, which allows everything. Neighbouring User-agent lines share a group; any rule closes it. Groups without rules have one row with null pattern.
     """
+    if "status" in files.columns:
+        files = files.where(F.col("status").between(200, 299))
     lines = files.select("origin", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")).alias("at", "line"))
     clean = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*", ""))).where(F.contains("line", F.lit(":")))
     clean = clean.select("origin", "at", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))

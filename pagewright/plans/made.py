@@ -513,3 +513,12 @@ def text_concat(spark, sf_dir):
     nodes = durable(P.nodes(own), "nodes")
     found = N.text_of(nodes, N.select(nodes, "p"))
     return found.select("page_id", scalars.collapse_words(F.col("text_content")).alias("text"))
+
+
+@query("SELECT page_id, page_id AS number, 'x' || page_id AS name, 'application/json' AS content_type FROM pages")
+def raw_json(spark, sf_dir):
+    """Responses that are no pages, read as they are."""
+    body = F.concat(F.lit('{"number":'), F.col("page_id").cast("string"), F.lit(',"list":[1,{"name":"x'), F.col("page_id").cast("string"), F.lit('"}]}'))
+    rows = table(spark, sf_dir, "pages").select("page_id", body.cast("binary").alias("body"), F.lit("application/json").alias("content_type"))
+    read = web.html_responses(rows, allow_non_html=True).withColumn("json", F.parse_json("html"))
+    return read.select("page_id", F.variant_get("json", "$.number", "long").alias("number"), F.variant_get("json", "$.list[1].name", "string").alias("name"), "content_type")

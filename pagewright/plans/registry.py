@@ -10,7 +10,7 @@ from pagewright.operators import matches
 from pagewright.operators import nodes as N
 from pagewright.operators import pages as P
 from pagewright.operators import side_tables, stats
-from pagewright.operators.crawl import crawl, edges, totals
+from pagewright.operators.crawl import crawl, edges, schedule, totals
 from pagewright.sources.shared import durable
 from pagewright.streaming import streams
 
@@ -59,7 +59,15 @@ def text_stats(spark, sf_dir):
     return texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"), F.sum(F.char_length("text")).cast("long").alias("n_chars"))
 
 
-@query()
+#: The paragraphs of each page as they're built: a b that is never closed goes on in all later paragraphs and in the footer, three at most; `deep` counts them.
+_BUILT = f"""WITH cut AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS foot,
+    regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS items, regexp_extract_all(regexp_replace(replace(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<br><p>', '<br></p><p>'), '<br>$', '<br></p>'), '(?s)<p>(.*?)</p>', 1) AS ps FROM pages),
+  built AS (SELECT *, list_transform(ps, lambda x, i: least(3, len(list_filter(ps[1:i - 1], lambda y: starts_with(y, '<b>')))) + starts_with(x, '<b>')::INT) AS deep, least(3, len(list_filter(ps, lambda y: starts_with(y, '<b>')))) AS after FROM cut)"""
+_PLAIN_P = unescaped("regexp_replace(regexp_replace(x, '^<b>', ''), '<br>$', '')")
+
+
+@query(f"""{_BUILT} SELECT page_id, array_to_string(list_filter([trim(regexp_replace({unescaped('ad')}, '\\s+', ' ', 'g')), CASE WHEN h1 <> '' THEN '# ' || trim(regexp_replace(regexp_replace({unescaped('h1')}, '&amp$', '&'), '\\s+', ' ', 'g')) END]
+    || list_transform(ps, lambda x, i: trim(repeat('**', deep[i]) || regexp_replace({_PLAIN_P}, '\\s+', ' ', 'g') || CASE WHEN x LIKE '%<br>' THEN chr(10) ELSE '' END || repeat('**', deep[i]))), lambda x: x <> ''), chr(10) || chr(10)) AS markdown FROM built""")
 def page_markdown(spark, sf_dir):
     return P.with_view(pages_of(spark, sf_dir), "markdown", "markdown").select("page_id", "markdown")
 
@@ -70,8 +78,15 @@ def markdown_headings(spark, sf_dir):
     return lines.where(F.col("line").startswith("# ")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_headings"))
 
 
-@query()
+_REFERENCES = "replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
+
+
+@query(f"""{_BUILT} SELECT page_id, {_REFERENCES.format("regexp_replace(regexp_replace(regexp_replace(head, '^<!DOCTYPE html>', ''), '&amp</', '&amp;</', 'g'), '&(am|a|)</', '&amp;\\1</', 'g')")}
+    || {_REFERENCES.format("array_to_string(list_transform(ps, lambda x, i: '<p>' || repeat('<b>', deep[i]) || regexp_replace(x, '^<b>', '') || repeat('</b>', deep[i]) || '</p>'), '')")}
+    || '</article><footer>' || repeat('<b>', after) || {_REFERENCES.format('foot')} || repeat('</b>', after) || '</footer></body></html>' AS html
+  FROM (SELECT *, regexp_extract(html, '(?s)^(.*?</h1>)', 1) AS head FROM built)""")
 def page_html(spark, sf_dir):
+    """The tree of every page written out."""
     return P.with_view(pages_of(spark, sf_dir), "html", "html").select("page_id", "html")
 
 
@@ -96,14 +111,17 @@ def accessibility_roles(spark, sf_dir):
     return found.groupBy(F.col("a.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def all_accessibility_roles(spark, sf_dir):
-    """Every role, paragraphs too; no SQL counts what the tree builder implies."""
-    found = P.each(P.with_view(pages_of(spark, sf_dir), "a", "ax_nodes"), "a")
-    return found.groupBy(F.col("a.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+_WORDS = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_H1 = f"regexp_replace({unescaped('h1')}, '&amp$', '&')"
+_NAMED = f"""{_BUILT}, named AS (SELECT page_id, {_WORDS.format(unescaped("array_to_string(items, '')"))} AS menu, list_transform(items, lambda x: {_WORDS.format(unescaped('x'))}) AS items, {_WORDS.format(_H1)} AS h1,
+    list_transform(ps, lambda x: {_WORDS.format(_PLAIN_P)}) AS ps, {_WORDS.format(f"{_H1} || array_to_string(list_transform(ps, lambda x: {_PLAIN_P}), '')")} AS whole, {_WORDS.format(unescaped('foot'))} AS foot FROM built)"""
 
 
-@query()
+@query(f"""{_NAMED} SELECT page_id, array_to_string(['- navigation "' || menu || '"', '  - list "' || menu || '"'] || list_transform(items, lambda x: '    - listitem "' || x || '"' || chr(10) || '      - link "' || x || '"')
+    || ['- article "' || whole || '"', '  - heading "' || h1 || '"'] || list_transform(ps, lambda x: '  - paragraph "' || x || '"') || ['- contentinfo "' || foot || '"'], chr(10)) AS snapshot,
+  '{{"role":"generic","children":[{{"role":"navigation","name":' || to_json(menu) || ',"children":[{{"role":"list","name":' || to_json(menu) || ',"children":['
+    || array_to_string(list_transform(items, lambda x: '{{"role":"listitem","name":' || to_json(x) || ',"children":[{{"role":"link","name":' || to_json(x) || '}}]}}'), ',') || ']}}]}},{{"role":"article","name":' || to_json(whole)
+    || ',"children":[{{"role":"heading","name":' || to_json(h1) || '}},' || array_to_string(list_transform(ps, lambda x: '{{"role":"paragraph","name":' || to_json(x) || '}}'), ',') || ']}},{{"role":"contentinfo","name":' || to_json(foot) || '}}]}}' AS tree FROM named""")
 def aria_snapshots(spark, sf_dir):
     return P.with_views(pages_of(spark, sf_dir), {"snapshot": "aria_snapshot", "tree": "ax"}).select("page_id", "snapshot", "tree")
 
@@ -149,15 +167,9 @@ def native_nearest_ancestor(spark, sf_dir):
     return near.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count("ancestor_id").alias("n_in_items"))
 
 
-@query("""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<(p|li|a|ul|nav|article|h1|div|footer|style|title|meta|br|html|head|body)[ >]', 1)) AS tag FROM pages
-    UNION ALL SELECT unnest(regexp_extract_all(html, '<(script)>', 1)) FROM pages) GROUP BY ALL""")
+@query(f"""{_BUILT} SELECT tag, sum(n)::BIGINT AS n FROM (SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<(p|li|a|ul|nav|article|h1|div|footer|style|title|meta|br|html|head|body)[ >]', 1)) AS tag FROM pages
+    UNION ALL SELECT unnest(regexp_extract_all(html, '<(script)>', 1)) FROM pages) GROUP BY ALL UNION ALL SELECT 'b', sum(list_sum(deep) + after) FROM built) GROUP BY tag""")
 def tag_counts(spark, sf_dir):
-    found = P.nodes(pages_of(spark, sf_dir)).where("kind = 1 and tag <> 'B'")  # what is left out is in all_tag_counts
-    return found.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def all_tag_counts(spark, sf_dir):
     """Every element of every page, those without a tag in the source too."""
     found = P.nodes(pages_of(spark, sf_dir)).where("kind = 1")
     return found.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
@@ -290,6 +302,46 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(url(n).alias("url"), F.lit(200).alias("status"), n.cast("string").alias("title"), F.array(url(2 * n + 1), url(2 * n + 2), url(F.floor(n / 2))).alias("links"), (n % 5).cast("int").alias("items"))
 
 
+@query(f"""WITH first AS (SELECT canon, min(struct_pack(page_id := page_id, url := url, html := html)) AS p FROM (SELECT *, {CANONICAL} AS canon FROM pages) GROUP BY ALL),
+  linked AS (SELECT DISTINCT {LINK} AS link FROM (SELECT p.url AS url, unnest({HREFS.replace('html', 'p.html')}) AS href FROM first))
+  SELECT p.url AS url, 0 AS depth, 200 AS status, {TITLE.replace('html', 'p.html')} AS title, NULL AS error FROM first
+  UNION ALL SELECT link, 1, 0, '', 'not in the corpus' FROM linked WHERE link NOT IN (SELECT canon FROM first)""")
+def crawl_page_links(spark, sf_dir):
+    """The table's own pages as starts, and all that they link to on their hosts."""
+    pages = pages_of(spark, sf_dir)
+    # of pages with one canonical url the first counts, as corpus and as start
+    first = pages.groupBy(scalars.canonical_url(F.col("url")).alias("canon")).agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("p.*")
+    corpus = durable(P.with_views(first, {"title": "title", "links": "links"}).withColumn("status", F.lit(200)), "corpus")
+    found = crawl(corpus, corpus.select(F.col("page_id").alias("place"), "url"), max_pages=corpus.count() + 1, max_depth=1)
+    return found.select("url", "depth", "status", "title", "error")
+
+
+@query(f"""SELECT page_id, (greatest(row_number() OVER (PARTITION BY host ORDER BY url) - 2, 0) * CASE WHEN host LIKE '%.com' THEN 2000 ELSE 500 END)::BIGINT AS wait_ms
+  FROM (SELECT min(page_id) AS page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages GROUP BY url)""")
+def crawl_schedule(spark, sf_dir):
+    """When each page may be fetched: two at once a host, then one an interval, which Crawl-delay lengthens for some."""
+    pages = table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("page_id")).withColumn("depth", F.lit(0))
+    files = pages.select(scalars.origin(F.col("url")).alias("origin")).distinct().where(F.col("origin").endswith(".com")).withColumn("text", F.lit("User-agent: *\nCrawl-delay: 2"))
+    return schedule(pages, 500, side_tables.robots_rules(files), burst=2).select("page_id", "wait_ms")
+
+
+@query("""SELECT page_id, NOT (path LIKE '/fr/%' AND page_id % 2 >= 0 AND host NOT LIKE '%.net') AS allowed
+  FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS path FROM pages)""")
+def robots_statuses(spark, sf_dir):
+    """A robots file that wasn't delivered with success allows everything."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    files = pages.select(scalars.origin(F.col("url")).alias("origin")).distinct()
+    files = files.select("origin", F.lit("User-agent: *\nDisallow: /fr/").alias("text"), F.when(F.col("origin").endswith(".net"), 503).otherwise(200).alias("status"))
+    return side_tables.robots_gate(pages, side_tables.robots_rules(files), "crawler/1.0").select("page_id", "allowed")
+
+
+@query("""SELECT page_id, greatest(0, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY url, page_id) - 3) * 250::BIGINT AS wait_ms FROM pages""")
+def politeness_bursts(spark, sf_dir):
+    """Three requests of a host at once, the others one a quarter of a second."""
+    log = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    return streams.polite_delays(log, 250, carry=("page_id",), burst=3).select("page_id", (F.col("send_ms") - F.col("ms")).alias("wait_ms"))
+
+
 _BFS = """WITH RECURSIVE reach(n, depth) AS (
   SELECT 0::BIGINT, 0 UNION SELECT t, depth + 1 FROM reach, (VALUES (1), (2)) k(k), LATERAL (SELECT 2 * n + k AS t) WHERE depth < 4 AND n IN (SELECT page_id FROM pages))"""
 
