@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.sources.shared import durable
+from pagewright.sources.shared import drop_durable, durable
 
 EDGES_A_FILE = 100_000
 
@@ -20,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
     """Arrow batches of at most so many rows and about so many bytes, unless the session has smaller ones.
 
-    Spark's 10,000 rows may be gigabytes of long texts; a batch and what is made of it must fit a Python worker.
+    Spark's 10,000 rows may be gigabytes of long texts; a batch and what is made of it must fit a Python worker. The settings stay, as
+    they count when a lazy result is run; they change no result.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(key).removesuffix("b")
@@ -39,14 +38,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def drop_durable(df: DataFrame) -> None:
-    """Delete the files behind a result of `durable` that nothing will read again."""
-    spark = df.sparkSession
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for each end of the undirected `edges` (a, b); component is the smallest id reachable.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, durable
+from .common import bounded_batches, connected_components, drop_durable, durable
 from .wordhash import SPACED, chunks, grams
 
 M, M32 = np.uint64, np.uint32
@@ -312,7 +312,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     final = reps.select("set_key", "id").join(found.select("id", F.col("component").alias("linked")), "id", "left").select("set_key", F.least("id", "linked").alias("component_id"))
     out = member.join(final, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = durable(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "near")
+    for used in (rows, reps, sets, groups, found):
+        drop_durable(used)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, renamed
+from .common import bounded_batches, drop_durable, durable, renamed
 from .sharding import numbered
 from .wordhash import LOWER, SPACED, Words, chunks
 
@@ -370,6 +370,7 @@ def pack(cut: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = DE
     doc_id, start, length = (kept[names.index(c)] for c in ("doc_id", "start", "length"))
     slim = durable(slim, "pieces")  # else the range partitioning, which draws a sample first, would tokenize twice
     rows, n = numbered(slim.withColumn("bin", F.ceil(F.col(length) / step).cast("int")), "bin", doc_id, start)
+    drop_durable(slim)
     counts = {r["bin"]: r["count"] for r in rows.groupBy("bin").count().collect()}  # at most `bins` rows
     starts, total = np.zeros(bins + 1, np.int64), 0
     for b in sorted(counts):

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drop_durable, durable
 
 ORDER = 4
 #: Rows up to which an n-gram or score table is broadcast; one has some 50 bytes.
@@ -122,6 +122,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], order: int = ORDER, id
     ratios = durable(model(counted, order), "ratios")
     scored = grams(shapes, order).join(_small(ratios), "gram").groupBy("shape", "good", "bad").agg((F.sum("ratio") / F.count(F.lit(1)) / _UNIT).alias("score"))
     scored = durable(scored, "scores")
+    for used in (shapes, counted, ratios):
+        drop_durable(used)
     least = threshold(scored)
     judged = F.lit("allow") if least is None else F.when(F.col("score") < least, "block").otherwise("allow")
     return rows.join(_small(scored.select("shape", "score")), "shape").select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score")
