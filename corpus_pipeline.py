@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import durable, spread, table
+from pagewright.llm.common import drop_durable, durable, spread, table
 from pagewright.llm.decontamination import drop_contaminated
 from pagewright.llm.language_id import keep_identified
 from pagewright.llm.minhash import drop_near_duplicates
@@ -52,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table; what one returns is on shared storage before the next reads it."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    """All stages over the table; what one returns is on shared storage before the next reads it, and goes when that is done."""
+    docs, read = spread(table(spark, sf_dir, "documents")), []
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
+        for used in read:
+            drop_durable(used)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

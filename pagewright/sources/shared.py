@@ -42,6 +42,7 @@ def drop_durable(df: DataFrame) -> None:
     """Delete the files behind a result of `durable` that nothing will read again."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
         _delete(df.sparkSession, path)
+        _written[:] = [p for p in _written if os.path.basename(p) != os.path.basename(path)]
 
 
 def release(spark: SparkSession) -> None:
