@@ -500,9 +500,9 @@ def engine_parity(spark, sf_dir):
     return stats.parity(by_tree, other, ["step"], "v")
 
 
-@query("SELECT DISTINCT event_type || '.k' || (user_id % 3) AS gap FROM events GROUP BY event_type, user_id % 3 HAVING NOT bool_or(value > 99.9)")
+@query("SELECT DISTINCT event_type || '.u' || user_id AS gap FROM events GROUP BY event_type, user_id HAVING NOT bool_or(value > 100)")
 def probe_gaps(spark, sf_dir):
-    seen = table(spark, sf_dir, "events").select(F.col("event_type").alias("target"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("prop"), F.lit("get").alias("kind"), (F.col("value") > 99.9).alias("defined"))
+    seen = table(spark, sf_dir, "events").select(F.col("event_type").alias("target"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("prop"), F.lit("get").alias("kind"), (F.col("value") > 100).alias("defined"))
     return stats.probe_gaps(stats.probe_accesses(seen))
 
 
