@@ -53,12 +53,15 @@ COMMENTS = frozenset("comment comments reply replies respond disqus reviews komm
 #: Names of what is never article text.
 FIRM = COMMENTS | frozenset(
     "ad ads advert advertisement adverts sponsor sponsored anzeige werbung publicite publicidad cookie cookies consent gdpr newsletter subscribe subscription signup login "
-    "share sharing menu nav navigation navbar breadcrumb breadcrumbs pagination pager contentinfo".split()
+    "share sharing menu nav navigation navbar breadcrumb breadcrumbs pagination pager contentinfo sidebar complementary widget toolbar promo promotion popup modal overlay "
+    "related recommended recommendations".split()
 )
 #: Names that long text with few links outweighs.
 HINTS = FIRM | frozenset(
-    "promo promotion banner notice notices alert popup modal overlay social related recommended recommendations sidebar discussion widget toolbar search complementary dialog hidden".split()
+    "banner notice notices alert social discussion search dialog hidden".split()
 )
+#: Often in names of what is around a whole page; with an h1 in it, an element of such a name isn't furniture.
+WRAPS = frozenset("sidebar widget popup modal overlay".split())
 #: These name page furniture outside an article only.
 OUTER_HINTS = frozenset({"header", "footer", "masthead"})
 #: May stand beside a hint in a name of several words; any other word makes it a name of something else.
@@ -92,10 +95,10 @@ _LEGAL = re.compile(
 class Mark:
     """What an element says of the blocks in it, until something in it speaks against that."""
 
-    __slots__ = ("name", "inner", "furniture", "hinted", "comments")
+    __slots__ = ("name", "inner", "furniture", "hinted", "comments", "wraps")
 
-    def __init__(self, name: str, inner: bool, furniture: bool, hinted: bool, comments: bool = False):
-        self.name, self.inner, self.furniture, self.hinted, self.comments = name, inner, furniture, hinted, comments
+    def __init__(self, name: str, inner: bool, furniture: bool, hinted: bool, comments: bool = False, wraps: bool = False):
+        self.name, self.inner, self.furniture, self.hinted, self.comments, self.wraps = name, inner, furniture, hinted, comments, wraps
 
     def release(self) -> None:
         self.furniture = self.hinted = False
@@ -208,6 +211,9 @@ def blocks(html: str) -> list[Block]:
                         links = 0
                 if name in PAGE_PARTS and marks:
                     release(("form",))
+                    for m in marks:
+                        if name == "h1" and m.wraps and not m.inner:
+                            m.release()
                 own = attributes(raw)
                 if name in ARTICLE:
                     if any(m.comments for m in marks) or any(_named(token, COMMENTS) for token in own.get("class", "").split()):
@@ -221,7 +227,7 @@ def blocks(html: str) -> list[Block]:
                     hinted = bool(own) and _hits(name, own, article, HINTS)
                     firm = hinted and _hits(name, own, article, FIRM)
                     apart = name in FURNITURE or name == "header" and not article or name in FORM_PARTS and any(x[0] == "form" for x in stack)
-                    mark = Mark(name, article, apart or firm, hinted, firm and _hits(name, own, article, COMMENTS))
+                    mark = Mark(name, article, apart or firm, hinted, firm and _hits(name, own, article, COMMENTS), firm and not apart and _hits(name, own, article, WRAPS))
                     stack.append((name, article, hidden or bool(own) and _hidden(own), (*marks, mark) if mark.furniture or mark.hinted else marks))
                 state()
         elif kind == END:

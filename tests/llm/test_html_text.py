@@ -98,6 +98,8 @@ def test_silence(page, want):
         ("<nav><a href=1>One</a></nav><h1>Summer in Rome</h1><h2>Getting there</h2><p>It rained.</p><footer>c</footer>", "Summer in Rome\nGetting there\nIt rained."),
         ("<form><h1>T</h1><p>It was so.</p></form>", "T\nIt was so."),
         ("<article><p>A <math><mi>x</mi></math></p><p><label>Lab</label> text</p></article>", "A x\nLab\ntext"),
+        (f"<div class='layout sidebar-right'><p>Before.</p><h1>Name</h1><p>{LONG}</p></div>", f"Before.\nName\n{LONG.strip()}"),
+        (f"<div class='sidebar'><p>{LONG * 9}</p></div><div class=related>{LONG * 9}</div><h1>Name</h1><p>{LONG}</p><aside class=sidebar><h1>No</h1>{LONG}</aside>", f"Name\n{LONG.strip()}"),
         (f"<p>{LONG * 3}</p><div>Copyright 2020 {LONG * 3}</div><div>&copy; us</div><div>|</div>", (LONG * 3).strip()),
         (f"<article><p>{LONG}<ul>{'<li><a href=x>Go on</a>' * 4}</ul><p>End.</article>", f"{LONG.strip()}\nEnd."),
         (f"<article><h1><a href=x>Name</a></h1><p>{LONG}<p><a href=y>See this</a><p>{LONG}</article>", f"Name\n{LONG.strip()}\nSee this\n{LONG.strip()}"),
