@@ -47,12 +47,16 @@ def decoded(body: Column, content_type: Column) -> Column:
 
 
 def judged_responses(responses: DataFrame, most_bytes: int = MOST_BYTES, allow_non_html: bool = False) -> DataFrame:
-    """Every stored response (body binary, content_type ...) with `html` and `error`; one of the two is null. The gates run before the decoding."""
+    """Every stored response (body binary, content_type ...) with `html` and `error`; one of the two is null. The gates run before the decoding.
+
+    Spark keeps the rows that wait for a Python function, on disk where they're large. Hence what failed a gate isn't among their
+    columns; the two uses of `_passed` keep Spark from merging it into the function's arguments, which would need the whole body there.
+    """
     error = F.when(~scalars.within_bytes(F.col("body"), most_bytes), "body too large")
     if not allow_non_html:
         error = F.when(~scalars.is_html_type(F.col("content_type")), "not html").otherwise(error)
-    passed = responses.withColumn("error", error)
-    return passed.withColumn("html", decoded(F.when(F.col("error").isNull(), F.col("body")), F.col("content_type")))
+    judged = responses.withColumn("error", error).withColumn("_passed", F.when(F.col("error").isNull(), F.col("body")))
+    return judged.withColumn("html", decoded(F.col("_passed"), F.when(F.col("_passed").isNotNull(), F.col("content_type")))).drop("_passed")
 
 
 def html_responses(responses: DataFrame, most_bytes: int = MOST_BYTES, allow_non_html: bool = False) -> DataFrame:

@@ -169,6 +169,17 @@ def test_what_fails_is_reported(spark, tmp_path):
     assert {r.url[-6:]: (r.html, r.error) for r in web.read_html_files(spark, str(tmp_path), most_bytes=50, report=True).collect()} == {"a.html": ("<p>hi", None), "b.html": (None, "body too large")}
 
 
+def test_bodies_that_fail_a_gate_are_not_held_for_decoding(spark):
+    rows = spark.range(3).select("id", F.when(F.col("id") < 2, F.repeat(F.lit("x"), (30 * (F.col("id") + 1)).cast("int"))).cast("binary").alias("body"), F.lit("text/html").alias("content_type"))
+    got = web.judged_responses(rows, most_bytes=40).select("id", "error", F.char_length("html").alias("n"))
+    assert sorted(map(tuple, got.collect())) == [(0, None, 30), (1, "body too large", None), (2, None, None)]
+    at = got._jdf.queryExecution().optimizedPlan()
+    while at.nodeName() != "ArrowEvalPython":
+        at = at.children().apply(0)
+    held = at.children().apply(0).output()
+    assert {held.apply(i).name() for i in range(held.size())} == {"id", "error", "_passed"}
+
+
 def test_redirects_of_repeated_hops(spark):
     hops = [("https://x.test/a", 302, "/c"), ("https://x.test/a", 302, "/b"), ("https://x.test/a", 307, "/d")]
     asked = spark.createDataFrame([("https://x.test/a", "GET")], "url string, method string")
