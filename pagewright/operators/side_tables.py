@@ -70,20 +70,26 @@ def cookie_jar(responses: DataFrame) -> DataFrame:
 
     `now` is a timestamp. Foreign domains and SameSite=None without Secure are refused; what has expired deletes.
     """
-    parts = F.split("set_cookie", ";")
-    pair = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("key"), F.when(F.contains(p, F.lit("=")), F.trim(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("value")))
-    # of an attribute that is given twice, the last counts
-    last = F.filter(pair, lambda x, i: ~F.exists(F.slice(pair, i + 2, F.size(pair)), lambda y: y["key"] == x["key"]))
-    attrs = F.map_from_entries(last)
-    host = _host(F.col("url"))
-    rows = responses.select("url", "seq", "now", F.element_at(parts, 1).alias("pair"), attrs.alias("a"), host.alias("host")).where(F.contains("pair", F.lit("=")))
-    domain = F.lower(F.regexp_replace(F.coalesce(F.nullif(F.col("a")["domain"], F.lit("")), F.col("host")), r"^\.", ""))
-    max_age = F.col("a")["max-age"].try_cast("long")
-    expires = F.when(max_age.isNotNull(), F.timestamp_micros(F.unix_micros("now") + max_age * 1_000_000)).otherwise(scalars.http_date(F.col("a")["expires"]))
-    same_site = F.lower(F.coalesce(F.nullif(F.col("a")["samesite"], F.lit("")), F.lit("lax")))
+    # of an attribute that is given twice, the last counts: a greedy start finds it from the end, in time that grows with the header's length only
+    form = r"(?is)^.*; *{} *(?:=([^;]*))?(?:;|\z)"
+
+    def given(name: str) -> Column:
+        return F.rlike("set_cookie", F.lit(form.format(name)))
+
+    def attribute(name: str) -> Column:
+        return F.trim(F.regexp_extract("set_cookie", form.format(name), 1))
+
+    rows = responses.select("url", "seq", "now", "set_cookie", F.substring_index("set_cookie", ";", 1).alias("pair"), _host(F.col("url")).alias("host")).where(F.contains("pair", F.lit("=")))
+    rows = rows.select(
+        "seq", "now", "pair", "host", attribute("domain").alias("of"), attribute("path").alias("path"), attribute("max-age").try_cast("long").alias("age"), attribute("expires").alias("until"),
+        attribute("samesite").alias("same_site"), given("secure").alias("secure"), given("httponly").alias("http_only"),
+    )
+    domain = F.lower(F.regexp_replace(F.coalesce(F.nullif("of", F.lit("")), F.col("host")), r"^\.", ""))
+    expires = F.when(F.col("age").isNotNull(), F.timestamp_micros(F.unix_micros("now") + F.col("age") * 1_000_000)).otherwise(scalars.http_date(F.col("until")))
+    same_site = F.lower(F.coalesce(F.nullif("same_site", F.lit("")), F.lit("lax")))
     rows = rows.select(
-        domain.alias("domain"), F.when(F.col("a")["path"].startswith("/"), F.col("a")["path"]).otherwise("/").alias("path"), F.trim(F.substring_index("pair", "=", 1)).alias("name"), F.trim(F.regexp_replace("pair", "^[^=]*=", "")).alias("value"),
-        F.map_contains_key("a", "secure").alias("secure"), F.map_contains_key("a", "httponly").alias("http_only"), same_site.alias("same_site"), expires.alias("expires_at"), "seq", "now", "host",
+        domain.alias("domain"), F.when(F.col("path").startswith("/"), F.col("path")).otherwise("/").alias("path"), F.trim(F.substring_index("pair", "=", 1)).alias("name"), F.trim(F.regexp_replace("pair", "^[^=]*=", "")).alias("value"),
+        "secure", "http_only", same_site.alias("same_site"), expires.alias("expires_at"), "seq", "now", "host",
     )
     good = rows.where(((F.col("host") == F.col("domain")) | F.col("host").endswith(F.concat(F.lit("."), "domain"))) & ((F.col("same_site") != "none") | F.col("secure")) & (F.col("name") != ""))
     last = good.groupBy("domain", "path", "name").agg(F.max_by(F.struct("value", "secure", "http_only", "same_site", "expires_at", "now"), "seq").alias("c"))
