@@ -114,9 +114,11 @@ def cookie_headers(requests: DataFrame, jar: DataFrame, now: Column, url: str =
 # --- cache -----------------------------------------------------------------------------------------------------------
 
 
-def http_cache(responses: DataFrame) -> DataFrame:
-    """(url, etag, last_modified, html): the last response of each url that has a validator."""
+def http_cache(responses: DataFrame, versions: bool = False) -> DataFrame:
+    """(url, etag, last_modified, html): the last response of each url that has a validator; with `versions`, of each url and etag."""
     kept = responses.where("(etag is not null or last_modified is not null) and status = 200")
+    if versions:
+        return kept.groupBy("url", "etag").agg(F.max_by(F.struct("last_modified", "html"), "seq").alias("c")).select("url", "etag", "c.*")
     return kept.groupBy("url").agg(F.max_by(F.struct("etag", "last_modified", "html"), "seq").alias("c")).select("url", "c.*")
 
 
@@ -126,10 +128,16 @@ def conditional_headers(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def reuse_unchanged(responses: DataFrame, cache: DataFrame) -> DataFrame:
-    """`responses` (url, status, html) with the cached body where the status is 304; unknown urls have an empty one."""
-    known = cache.select("url", F.col("html").alias("_cached"))
+    """`responses` (url, status, html) with the cached body where the status is 304; unknown urls have an empty one.
+
+    With a column etag they get the version that it names, from a cache with `versions`.
+    """
+    known = cache.select(F.col("url").alias("_url"), F.col("html").alias("_cached"), *([F.col("etag").alias("_etag")] if "etag" in responses.columns else []))
+    same = F.col("url") == F.col("_url")
+    if "etag" in responses.columns:
+        same &= F.col("etag").eqNullSafe(F.col("_etag"))
     body = F.when(F.col("status") == 304, F.coalesce("_cached", F.lit(""))).otherwise(F.col("html"))
-    return responses.join(known, "url", "left").withColumn("html", body).drop("_cached")
+    return responses.join(known, same, "left").withColumn("html", body).select(*responses.columns)
 
 
 # --- walls -----------------------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pagewright.functions import scalars, urls
 from pagewright.operators import matches, nodes, pages, side_tables, stats
 from pagewright.operators import crawl as crawls
 from pagewright.operators.crawl import attempts, crawl, schedule, totals
+from pagewright.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -252,3 +253,18 @@ def test_cookie_attributes_are_found_in_one_pass(spark):
         ("a", "1", "/y=z", True, True, "lax"), ("b", "domain=y.test", "/q", False, False, "lax"), ("c", "1", "/", False, False, "lax"), ("d", "1", "/", False, False, "lax"), ("e", "1", "/", False, False, "lax\n"), ("h", "1", "/h", True, False, "lax"), ("path", "/f", "/", False, False, "lax"),
     ]
     assert {r.domain for r in got} == {"x.test"} and not any(r.expires_at for r in got)
+
+
+def test_a_304_reuses_the_version_that_its_etag_names(spark):
+    stored = spark.createDataFrame([("u", "a", None, "first", 200, 0), ("u", "b", None, "second", 200, 1), ("u", "a", None, "first again", 200, 2), ("u", None, "m", "undated", 200, 3)], "url string, etag string, last_modified string, html string, status int, seq int")
+    cache = side_tables.http_cache(stored, versions=True)
+    asked = spark.createDataFrame([("u", "a", 304), ("u", "b", 304), ("u", None, 304), ("u", "c", 304), ("v", "a", 304)], "url string, etag string, status int").withColumn("html", F.lit(None).cast("string"))
+    got = side_tables.reuse_unchanged(asked, cache)
+    assert got.columns == ["url", "etag", "status", "html"]
+    assert {(r.url, r.etag): r.html for r in got.collect()} == {("u", "a"): "first again", ("u", "b"): "second", ("u", None): "undated", ("u", "c"): "", ("v", "a"): ""}
+
+
+def test_cache_reuse_of_pages_with_one_url(spark, tmp_path):
+    spark.createDataFrame([(i, "https://x.test/", "x" * (9 - i)) for i in range(7)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.n_chars, r.reused) for r in QUERIES["cache_reuse"](spark, str(tmp_path)).collect()}
+    assert got == {i: (9 - i, i % 3 == 0) for i in range(7)}
