@@ -16,6 +16,7 @@ from pagewright.dom import access, content, data, forms
 from pagewright.dom.flat import COUNTED, Flat, read
 from pagewright.dom.selectors import select, select_first
 from pagewright.dom.tree import ELEMENT, Node, inner_html, outer_html, parse
+from pagewright.dom.tokenizer import unescape_closed
 from pagewright.dom.xpath import xpath, xpath_values
 
 
@@ -208,16 +209,16 @@ def _arrow(kind: str) -> pa.DataType:
     return to_arrow_type(T._parse_datatype_string(kind))
 
 
-def batch_views(chosen: dict[str, View], types: pa.DataType) -> Callable[[pa.Array, pa.Array], pa.Array]:
+def batch_views(chosen: dict[str, View], types: pa.DataType, closed: bool = False) -> Callable[[pa.Array, pa.Array], pa.Array]:
     """The function from htmls and base URLs to structs of the views."""
-    by_tokens = all(v.flat is not None for v in chosen.values())
+    by_tokens = not closed and all(v.flat is not None for v in chosen.values())
 
     def page(html: str | None, base: str | None) -> dict | None:
         if html is None:
             return None
         if by_tokens and (tokens := read(html)) is not None:
             return {name: v.flat(tokens, base or "") for name, v in chosen.items()}
-        document = parse(html)
+        document = parse(html, unescape_closed) if closed else parse(html)
         return {name: v.of(document, base or "") for name, v in chosen.items()}
 
     def run(htmls: pa.Array, bases: pa.Array) -> pa.Array:
@@ -234,17 +235,18 @@ def batch_views(chosen: dict[str, View], types: pa.DataType) -> Callable[[pa.Arr
     return run
 
 
-def with_views(pages: DataFrame, views: dict[str, View | str], html: str | Column = "html", base: str | Column = "url") -> DataFrame:
+def with_views(pages: DataFrame, views: dict[str, View | str], html: str | Column = "html", base: str | Column = "url", closed: bool = False) -> DataFrame:
     """`pages` with a column for each view. The views of a row share one parse; a null page gives nulls.
 
     The columns come from a single Arrow UDF: filters on other columns run before it, and without a use of the views it
     doesn't run at all. Where all views can do with a page's tokens, no tree is built. Python objects are held for
-    about `SLICE_CHARS` of html at a time, then they are Arrow data.
+    about `SLICE_CHARS` of html at a time, then they are Arrow data. With `closed`, references in text count only if a
+    semicolon ends them; browsers decode "&amp" and "&copy" without one, too.
     """
     chosen = {name: VIEWS[v] if isinstance(v, str) else v for name, v in views.items()}
     kind = "struct<" + ",".join(f"`{name}`:{v.type}" for name, v in chosen.items()) + ">"
 
-    views_of = batch_views(chosen, _arrow(kind))
+    views_of = batch_views(chosen, _arrow(kind), closed)
 
     @F.arrow_udf(kind)
     def run(htmls: pa.Array, bases: pa.Array) -> pa.Array:
@@ -256,8 +258,8 @@ def with_views(pages: DataFrame, views: dict[str, View | str], html: str | Colum
     return held.select(*[c for c in pages.columns if c not in chosen], *(F.col("_views").getField(name).alias(name) for name in chosen))
 
 
-def with_view(pages: DataFrame, name: str, view: View | str, html: str = "html", base: str = "url") -> DataFrame:
-    return with_views(pages, {name: view}, html, base)
+def with_view(pages: DataFrame, name: str, view: View | str, html: str = "html", base: str = "url", closed: bool = False) -> DataFrame:
+    return with_views(pages, {name: view}, html, base, closed)
 
 
 def each(rows: DataFrame, column: str, *keys: str, place: str | None = None) -> DataFrame:

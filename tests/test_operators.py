@@ -268,3 +268,12 @@ def test_cache_reuse_of_pages_with_one_url(spark, tmp_path):
     spark.createDataFrame([(i, "https://x.test/", "x" * (9 - i)) for i in range(7)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: (r.n_chars, r.reused) for r in QUERIES["cache_reuse"](spark, str(tmp_path)).collect()}
     assert got == {i: (9 - i, i % 3 == 0) for i in range(7)}
+
+
+def test_texts_of_cut_references(spark, tmp_path):
+    """A title may be cut within a reference; the registered texts keep what the cut left, the view decodes as browsers do."""
+    html = "<html><head></head><body><h1>a &amp; b&amp</h1><p>&copy &copy; &#65 &#66; &x; &ampy; &quo</p><xmp>&amp;</xmp></body></html>"
+    frame = spark.createDataFrame([(0, "https://x.test/en/", html)], "page_id long, url string, html string")
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    assert QUERIES["page_text"](spark, str(tmp_path)).first().text == "a & b&amp\n&copy © &#65 B &x; &ampy; &quo\n&amp;"
+    assert pages.with_view(frame, "t", "text").first().t == "a & b&\n© © A B &x; &y; &quo\n&amp;"
