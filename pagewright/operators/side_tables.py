@@ -79,13 +79,14 @@ def cookie_jar(responses: DataFrame) -> DataFrame:
     def attribute(name: str) -> Column:
         return F.trim(F.regexp_extract("set_cookie", form.format(name), 1))
 
-    rows = responses.select("url", "seq", "now", "set_cookie", F.substring_index("set_cookie", ";", 1).alias("pair"), _host(F.col("url")).alias("host")).where(F.contains("pair", F.lit("=")))
-    rows = rows.select(
-        "seq", "now", "pair", "host", attribute("domain").alias("of"), attribute("path").alias("path"), attribute("max-age").try_cast("long").alias("age"), attribute("expires").alias("until"),
+    # exploded, as Spark would otherwise put the tests below before the parsing, and parse once for each of them
+    parsed = F.struct(
+        F.substring_index("set_cookie", ";", 1).alias("pair"), _host(F.col("url")).alias("host"), attribute("domain").alias("of"), attribute("path").alias("path"), attribute("max-age").try_cast("long").alias("age"), attribute("expires").alias("until"),
         attribute("samesite").alias("same_site"), given("secure").alias("secure"), given("httponly").alias("http_only"),
     )
+    rows = responses.where(F.contains("set_cookie", F.lit("="))).select("seq", "now", F.explode(F.array(parsed)).alias("c")).select("seq", "now", "c.*").where(F.contains("pair", F.lit("=")))
     domain = F.lower(F.regexp_replace(F.coalesce(F.nullif("of", F.lit("")), F.col("host")), r"^\.", ""))
-    expires = F.when(F.col("age").isNotNull(), F.timestamp_micros(F.unix_micros("now") + F.col("age") * 1_000_000)).otherwise(scalars.http_date(F.col("until")))
+    expires = F.when(F.col("age").isNotNull(), F.timestamp_micros(F.unix_micros("now") + F.col("age") * 1_000_000)).when(F.col("until") != "", scalars.http_date(F.col("until")))
     same_site = F.lower(F.coalesce(F.nullif("same_site", F.lit("")), F.lit("lax")))
     rows = rows.select(
         domain.alias("domain"), F.when(F.col("path").startswith("/"), F.col("path")).otherwise("/").alias("path"), F.trim(F.substring_index("pair", "=", 1)).alias("name"), F.trim(F.regexp_replace("pair", "^[^=]*=", "")).alias("value"),

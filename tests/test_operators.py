@@ -278,3 +278,10 @@ def test_texts_of_cut_references(spark, tmp_path):
     assert QUERIES["page_text"](spark, str(tmp_path)).first().text == "a & b&amp\n&copy © &#65 B &x; &ampy; &quo\n&amp;"
     assert tuple(QUERIES["text_stats"](spark, str(tmp_path)).first()) == ("en", 1, 3, 46)
     assert pages.with_view(frame, "t", "text").first().t == "a & b&\n© © A B &x; &y; &quo\n&amp;"
+
+
+def test_cookie_headers_are_parsed_once(spark):
+    """No test of a cookie is pushed below the parsing, which would be repeated for each."""
+    rows = spark.range(3).selectExpr("concat('https://x.test/', id) as url", "concat('a=', id) as set_cookie", "id as seq", "timestamp'2020-01-01' as now")
+    plan = side_tables.cookie_jar(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("; *samesite *") == plan.count("; *domain *") == plan.count("; *secure *") == 1
